@@ -20,7 +20,8 @@ def clip_measures(samples: DataFrame) -> DataFrame:
     """Mergeable per-clip sums: one pass, combined before the shuffle, safe for a hot clip."""
     ch = F.col("ch")
     broken = F.exists(ch, lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    loud = _total(ch, lambda x: F.when(F.abs(x) >= C.CLIP_LEVEL, 1.0).otherwise(0.0))
+    # NaN compares above every number in Spark, so it is excluded by name
+    loud = _total(ch, lambda x: F.when(~F.isnan(x) & (F.abs(x) >= C.CLIP_LEVEL), 1.0).otherwise(0.0))
     values = F.sum(F.size(ch))
     return samples.groupBy("clip_id").agg(
         F.count("*").alias("n_samples"),

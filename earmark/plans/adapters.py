@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from earmark import constants as C
 from earmark.functions.ordered import dense_index
+from earmark.sources.dims import taxonomy_dim
 
 RAW = C.raw_labels()
 EVENT_RAW = {
@@ -66,6 +67,32 @@ def frame_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_time() -> Column:
+    """Milliseconds since 2024 as event time, whatever the session's zone."""
+    return F.timestamp_millis(F.floor(_elapsed_us() / 1000).cast("long"))
+
+
+def outcome() -> Column:
+    return _case(F.col("event_type"), EVENT_OUTCOME)
+
+
+def streamed_scores(events: DataFrame) -> DataFrame:
+    """Canonical scores straight from an event stream: each event is one window of one raw label,
+    so no aggregation is needed before the stateful step."""
+    start = _elapsed_us() / F.lit(1e6) / 3600
+    raw = _case(F.col("event_type"), EVENT_RAW)
+    dim = taxonomy_dim(events.sparkSession).select("canonical_label", "raw_label")
+    return events.select(
+        F.col("user_id").alias("clip_id"),
+        raw.alias("raw_label"),
+        F.col("event_id").alias("window_idx"),
+        start.alias("start_s"),
+        (start + 2.0).alias("end_s"),
+        F.least(F.col("value") / 97.3, F.lit(1.0)).alias("score"),
+        event_time().alias("event_time"),
+    ).join(F.broadcast(dim), "raw_label")
+
+
 def window_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clip = label of the embedding, one window per vector, 53 raw label scores."""
     rows = dense_index(
