@@ -320,7 +320,7 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("text"), 256).alias("sha"),
         F.when(F.col("n_chars") % 4 == 0, "default").otherwise("calibrated_public_v1").alias("profile"),
         (F.col("n_chars") % 3 == 0).alias("separation"),
-        F.col("source"),
+        F.col("lang"),
     )
 
 
@@ -428,7 +428,7 @@ ADAPTER_SQL = {
     "submissions": """
         SELECT doc_id AS seq, sha256(text) AS sha,
                CASE WHEN n_chars % 4 = 0 THEN 'default' ELSE 'calibrated_public_v1' END AS profile,
-               (n_chars % 3 = 0)::INT AS separation, source FROM documents""",
+               (n_chars % 3 = 0)::INT AS separation, lang FROM documents""",
 }
 
 

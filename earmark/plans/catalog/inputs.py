@@ -1,0 +1,243 @@
+"""Sources, sinks and configuration dimensions, written to the shared folder and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from earmark import constants as C
+from earmark.operators.labels import canonical_scores_dense, explode_scores
+from earmark.plans import adapters as A
+from earmark.plans.activity import label_decisions, label_intervals
+from earmark.plans.adapters import profile_sql, rules_sql, with_inputs
+from earmark.plans.catalog.registry import register, tidied, tidy
+from earmark.plans.catalog.scores import EVENTS, events_canonical, interval_parts, score_parts
+from earmark.session import scratch_path
+from earmark.sources import files
+from earmark.sources.dims import interval_rule_dim, label_dim, taxonomy_dim, with_profile
+
+PROFILE = "calibrated_public_v1"
+
+
+@register("labelled_scores_csv", tidied(with_inputs(["predictions"], """
+    SELECT label, target, score AS model_score FROM predictions"""), "model_score"))
+def labelled_csv_query(spark, d):
+    path = scratch_path(spark, "labelled")
+    files.write_scores_csv(A.predictions(spark, d).select("label", "target", F.col("score").alias("model_score")), path)
+    return tidy(files.read_scores_csv(spark, path))
+
+
+@register("predictions_csv", tidied(with_inputs(["predictions"], """
+    SELECT sample_id, dataset, split, label, target, score AS model_score FROM predictions"""), "model_score"))
+def predictions_csv_query(spark, d):
+    path = scratch_path(spark, "predictions")
+    rows = A.predictions(spark, d).withColumnRenamed("score", "model_score")
+    files.write_scores_csv(rows.select("sample_id", "dataset", "split", "label", "target", "model_score"), path)
+    return tidy(files.read_scores_csv(spark, path, files.PREDICTIONS))
+
+
+@register("tracks_tsv", tidied("""
+    SELECT 'track_' || lpad(doc_id::VARCHAR, 7, '0') AS track_id, doc_id AS numeric_id, lang || '/' || doc_id || '.mp3' AS path,
+           n_chars / 10.0::DOUBLE AS duration_s, lang || '|' || source AS tags FROM documents WHERE lang <> source""", "duration_s"))
+def tracks_query(spark, d):
+    """Documents as a tab-separated track list with prefixed tags, written and parsed back."""
+    path = scratch_path(spark, "tracks")
+    key = F.col("doc_id").cast("string")
+    A.table(spark, d, "documents").filter(F.col("lang") != F.col("source")).select(
+        F.concat(F.lit(C.TRACK_PREFIX), F.lpad(key, 7, "0")).alias("TRACK_ID"),
+        F.lit("x").alias("ARTIST_ID"),
+        F.concat("lang", F.lit("/"), key, F.lit(".mp3")).alias("PATH"),
+        (F.col("n_chars") / F.lit(10.0)).alias("DURATION"),
+        F.concat_ws(",", F.concat(F.lit(C.TAG_PREFIX), "lang"), F.concat(F.lit(C.TAG_PREFIX), "source")).alias("TAGS"),
+    ).write.csv(path, header=True, sep="\t")
+    return tidy(files.read_tracks_tsv(spark, path).withColumn("tags", F.concat_ws("|", "tags")))
+
+
+_LINES = "SELECT doc_id AS file, k - 1 AS line_no, lines[k] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents)"
+
+
+@register("line_offset_lookup", with_inputs([], """
+    SELECT line, arg_max(value, (file, line_no)) AS value FROM (
+        SELECT h.line, h.file, h.line_no, b.line AS value FROM lines h JOIN lines b ON b.file = h.file AND b.line_no = h.line_no + 2
+        WHERE h.line LIKE '%.') GROUP BY line""", lines=_LINES))
+def line_lookup_query(spark, d):
+    """Whole documents as numbered lines; what stands two below a line ending in a full stop."""
+    lines = A.table(spark, d, "documents").select(
+        F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+    )
+    return files.line_offset_lookup(lines, ".", 2, order=["file", "line_no"])
+
+
+@register("track_licenses", """
+    SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN 'license ' || page_id
+                         ELSE 'Creative Commons; exact license unavailable in parsed metadata' END AS license FROM pages""")
+def license_query(spark, d):
+    """License text of a track by path, with the default where the list has none."""
+    pages = A.table(spark, d, "pages").select("page_id", "url")
+    tracks = pages.withColumn("path", F.concat("page_id", F.lit(".mp3")))
+    listed = tracks.filter(F.col("page_id") % 3 == 0).select(
+        F.col("page_id").alias("file"),
+        F.posexplode(F.array("path", F.lit(""), F.concat(F.lit("license "), "page_id"))).alias("line_no", "line"),
+    )
+    found = files.with_license(tracks, files.line_offset_lookup(listed, ".mp3"))
+    return found.select("page_id", "url", "license")
+
+
+def _manifest(spark, d):
+    """Manifest records: three-valued targets per document, some without a group."""
+    key = F.col("doc_id")
+    target = [
+        F.when((key + k) % 3 == 0, True).when((key + k) % 3 == 1, False) for k in range(len(C.TARGET_LABELS))
+    ]
+    pairs = [part for label, value in zip(C.TARGET_LABELS, target) for part in (F.lit(label), value)]
+    return A.table(spark, d, "documents").select(
+        key.cast("string").alias("sample_id"),
+        F.col("source").alias("dataset"),
+        F.when(key % 4 == 0, "calibration").otherwise("evaluation").alias("split"),
+        F.concat(key.cast("string"), F.lit(".mp3")).alias("audio_path"),
+        F.lit("").alias("source_url"),
+        F.lit("CC BY 4.0").alias("source_license"),
+        F.create_map(*pairs).alias("targets"),
+        F.array("lang").alias("source_tags"),
+        F.sha2("text", 256).alias("sha256"),
+        F.when(key % 5 != 0, F.col("lang")).alias("group_id"),
+    )
+
+
+@register("manifest_targets", f"""
+    SELECT doc_id::VARCHAR AS sample_id, source AS dataset, CASE WHEN doc_id % 4 = 0 THEN 'calibration' ELSE 'evaluation' END AS split,
+           CASE WHEN doc_id % 5 <> 0 THEN lang ELSE doc_id::VARCHAR END AS group_id,
+           ({A._list_sql(C.TARGET_LABELS)})[k + 1] AS label, ((doc_id + k) % 3 = 0)::INT AS target
+    FROM documents, (SELECT unnest(range(0, {len(C.TARGET_LABELS)})) AS k) WHERE (doc_id + k) % 3 <> 2""")
+def manifest_query(spark, d):
+    path = scratch_path(spark, "manifest")
+    files.write_manifest(_manifest(spark, d), path)
+    return files.targets_long(files.read_manifest(spark, path, lines=True))
+
+
+def _documents(spark, d):
+    canonical = events_canonical(spark, d)
+    names = label_dim(spark).select("canonical_label", "display_name")
+    decisions = label_decisions(canonical, PROFILE).join(F.broadcast(names), "canonical_label")
+    intervals = label_intervals(canonical, PROFILE).withColumn("start_s", F.round("start_s", 6)).withColumn("end_s", F.round("end_s", 6))
+    return files.nest_results(
+        decisions.select("clip_id", "canonical_label", "display_name", "decision", F.round("score", 6).alias("score")), intervals
+    )
+
+
+_DOC_PARTS = score_parts("frame_scores") | interval_parts()
+_NAMES = "(SELECT DISTINCT canonical_label, display_name FROM taxonomy) n"
+
+
+@register("nested_results", tidied(with_inputs(EVENTS, f"""
+    SELECT d.clip_id::VARCHAR AS analysis_id, d.canonical_label, n.display_name, d.decision, d.score, count(i.start_s) AS n_ranges,
+           coalesce(sum(i.end_s - i.start_s), 0.0::DOUBLE) AS active_s
+    FROM decided d JOIN {_NAMES} USING (canonical_label) LEFT JOIN intervals i USING (clip_id, canonical_label) GROUP BY ALL""", **_DOC_PARTS),
+    "score", "active_s").replace("round(active_s, 6)", "round(active_s, 3)"))
+def nested_query(spark, d):
+    path = scratch_path(spark, "results")
+    files.write_results(_documents(spark, d), path)
+    rows = files.result_rows(files.read_results(spark, path))
+    length = F.aggregate("time_ranges", F.lit(0.0), lambda total, r: total + (r["end_s"] - r["start_s"]))
+    return tidy(rows.select(
+        "analysis_id", "canonical_label", "display_name", "decision", "score",
+        F.size("time_ranges").cast("long").alias("n_ranges"), F.round(length, 3).alias("active_s"),
+    ))
+
+
+@register("flat_export", with_inputs(EVENTS, f"""
+    SELECT d.clip_id::VARCHAR AS analysis_id, d.canonical_label, n.display_name, d.decision, printf('%.6f', d.score) AS model_score,
+           coalesce(string_agg(printf('%.2f', i.start_s) || '-' || printf('%.2f', i.end_s), '; ' ORDER BY i.start_s), '') AS time_ranges
+    FROM decided d JOIN {_NAMES} USING (canonical_label) LEFT JOIN intervals i USING (clip_id, canonical_label) GROUP BY ALL""", **_DOC_PARTS))
+def export_query(spark, d):
+    return files.flatten_results(_documents(spark, d))
+
+
+@register("content_inventory", """
+    SELECT doc_id::VARCHAR AS path, sha256(text) AS sha256, strlen(text) AS size_bytes FROM documents""")
+def inventory_query(spark, d):
+    docs = A.table(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
+    return files.content_inventory(docs, body="text")
+
+
+@register("integrity_check", """
+    SELECT doc_id::VARCHAR AS path, CASE WHEN lang IN ('de', 'fr') THEN 'integrity_failure' END AS error FROM documents""")
+def integrity_query(spark, d):
+    """French texts are missing, and the manifest has other digests for the German ones."""
+    docs = A.table(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
+    present = files.content_inventory(docs.filter(F.col("lang") != "fr"), body="text")
+    digest = F.sha2(F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256)
+    return files.integrity_check(present, docs.select("path", digest.alias("sha256"))).select("path", "error")
+
+
+# --- configuration dimensions, joined to scores ------------------------------------
+
+@register("taxonomy_dimension", with_inputs(["raw_scores", "taxonomy"], """
+    SELECT canonical_label, display_name, count(DISTINCT raw_label) AS n_raw, count(*) AS n_scores
+    FROM raw_scores JOIN taxonomy USING (raw_label) GROUP BY ALL"""))
+def taxonomy_query(spark, d):
+    scores = explode_scores(A.window_vectors(spark, d), A.RAW)
+    per_raw = scores.groupBy("raw_label").agg(F.count("*").alias("n"))
+    return per_raw.join(F.broadcast(taxonomy_dim(spark)), "raw_label").groupBy("canonical_label", "display_name").agg(
+        F.countDistinct("raw_label").alias("n_raw"), F.sum("n").alias("n_scores")
+    )
+
+
+@register("threshold_profile_dimension", tidied(with_inputs(["predictions"], """
+    SELECT label, coalesce(candidate, 0.3::DOUBLE) AS candidate, coalesce(confirmed, 0.7::DOUBLE) AS confirmed,
+           coalesce(auto_confirm, false) AS auto_confirm, count(*) AS n_scores
+    FROM (SELECT CASE WHEN dataset = 'set_b' THEN 'unlisted_' || label ELSE label END AS label FROM predictions) p
+    LEFT JOIN profile t ON t.canonical_label = p.label GROUP BY ALL""", profile=profile_sql(PROFILE)), "candidate", "confirmed"))
+def profile_query(spark, d):
+    """Labels without an entry take the whole default entry."""
+    label = F.when(F.col("dataset") == "set_b", F.concat(F.lit("unlisted_"), "label")).otherwise(F.col("label"))
+    counts = A.predictions(spark, d).groupBy(label.alias("label")).agg(F.count("*").alias("n_scores"))
+    return tidy(with_profile(counts, PROFILE, label="label").drop("minimum_positives"))
+
+
+@register("interval_rule_dimension", tidied(with_inputs(["raw_scores", "taxonomy"], """
+    SELECT canonical_label, release_ratio, min_duration_s, gap_s, min_windows, count(*) AS n_windows
+    FROM (SELECT DISTINCT clip_id, window_idx, canonical_label FROM raw_scores JOIN taxonomy USING (raw_label))
+    JOIN rules USING (canonical_label) GROUP BY ALL""", rules=rules_sql()), "release_ratio", "min_duration_s", "gap_s"))
+def rules_query(spark, d):
+    dense = canonical_scores_dense(A.window_vectors(spark, d), A.RAW)
+    counts = dense.groupBy("canonical_label").agg(F.count("*").alias("n_windows"))
+    return tidy(counts.join(F.broadcast(interval_rule_dim(spark)), "canonical_label"))
+
+
+# --- review sessions -----------------------------------------------------------------
+
+@register("review_session_log", tidied(with_inputs(["review_events"], """
+    SELECT session_id::VARCHAR AS analysis_id, seq AS session_no, CASE WHEN seq % 6 <> 0 THEN 0 END AS position,
+           CASE WHEN seq % 6 <> 0 THEN field_id END AS field_id, CASE WHEN seq % 6 <> 0 THEN outcome END AS outcome,
+           CASE WHEN seq % 6 <> 0 THEN label END AS label, CASE WHEN seq % 6 <> 0 THEN decision END AS decision,
+           CASE WHEN seq % 6 <> 0 THEN elapsed_s END AS elapsed_s FROM review_events
+    UNION ALL
+    SELECT session_id::VARCHAR, seq, 1, field_id || '_b', outcome, NULL, NULL, 1.0::DOUBLE FROM review_events WHERE seq % 6 = 1"""), "elapsed_s"))
+def session_log_query(spark, d):
+    """Sessions of no, one or two events, appended in two batches and read back."""
+    path = scratch_path(spark, "sessions")
+    predicted = F.struct("field_name", F.col("label").alias("instrument_label"), "decision")
+    one = F.struct(
+        "field_id", "outcome", F.when(F.col("decision").isNotNull(), predicted).alias("original_prediction"),
+        F.col("profile").alias("threshold_profile_name"), F.col("elapsed_s").alias("field_elapsed_seconds"),
+    )
+    two = F.struct(
+        F.concat("field_id", F.lit("_b")).alias("field_id"), "outcome",
+        F.lit(None).cast(files.FORM_FIELD).alias("original_prediction"),
+        F.col("profile").alias("threshold_profile_name"), F.lit(1.0).alias("field_elapsed_seconds"),
+    )
+    kind = F.col("seq") % 6
+    sessions = A.review_events(spark, d).select(
+        F.col("session_id").cast("string").alias("analysis_id"),
+        F.col("seq").alias("session_no"),
+        F.when(kind == 0, F.array().cast(f"array<{files.REVIEW_EVENT}>"))
+        .when(kind == 1, F.array(one, two))
+        .otherwise(F.array(one))
+        .alias("events"),
+        F.col("elapsed_s").alias("total_review_seconds"),
+        F.lit(None).cast("double").alias("baseline_manual_seconds"),
+        F.lit(1.2).alias("model_analysis_seconds"),
+    )
+    files.append_sessions(sessions.filter(F.col("session_no") % 2 == 0), path)
+    files.append_sessions(sessions.filter(F.col("session_no") % 2 == 1), path)
+    return tidy(files.read_review_events(spark, path).drop("field_name", "profile"))
