@@ -15,6 +15,8 @@ from earmark.functions.columns import value_bucket
 
 # rows of one group that a single task may hold as an array
 MAX_GROUP_ROWS = 200_000
+# rows of one group that a single task may sort in a window (it spills to disk)
+MAX_WINDOW_ROWS = 5_000_000
 # oversized keys that may be sent to every executor
 MAX_BROADCAST_KEYS = 100_000
 
@@ -61,13 +63,16 @@ def running_totals(
 
 
 def dense_index(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, *, limit: int = MAX_WINDOW_ROWS
 ) -> DataFrame:
     """Position 0, 1, 2, ... within a key; the first order column must be numeric.
 
-    Counts per (key, slice of the first order column) give each slice its offset, so a hot key
-    is numbered by many tasks.
+    With a key of more than ``limit`` rows, counts per (key, slice of the first order column) give
+    each slice its offset, so a hot key is numbered by many tasks.
     """
+    if oversized_keys(df, keys, limit) is None:
+        position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+        return df.withColumn(name, position.cast("long"))
     placed = df.withColumn("_bucket", value_bucket(F.col(order[0])))
     along = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -123,6 +128,7 @@ def order_statistics(
     aggregates: Mapping[str, Column] | None = None,
     limit: int = MAX_GROUP_ROWS,
     counted: tuple[DataFrame, int] | None = None,
+    known_small: bool = False,
 ) -> DataFrame:
     """Exact percentiles ``{out: (column, p)}`` and means of the top share per key.
 
@@ -130,13 +136,14 @@ def order_statistics(
     array. Larger groups go through value histograms and running totals instead; both are exact.
     Null values are ignored. ``aggregates`` are ordinary aggregates computed alongside.
     ``counted`` = (source, r) says that a group has at most one row per ``r`` rows of a source
-    table, so that sizes are read off the source instead of a derived table.
+    table, so that sizes are read off the source instead of a derived table. ``known_small``
+    skips the size check where the caller has made it.
     """
     tops = dict(top_means or {})
     extra = dict(aggregates or {})
     columns = list(dict.fromkeys(c for c, _ in [*percentiles.values(), *tops.values()]))
     source, rows_each = counted or (df, 1)
-    big = oversized_keys(source, keys, limit * rows_each)
+    big = None if known_small else oversized_keys(source, keys, limit * rows_each)
     usual = df if big is None else df.join(big, [*keys], "left_anti") if keys else df.limit(0)
 
     arrays = usual.groupBy(*keys).agg(

@@ -1,8 +1,9 @@
 """Activity intervals: hysteresis, gap merging and summaries.
 
-Windows of a key are ordered by (start_s, window_idx). Every step works on (key, time slice) and
-passes one summary row per slice along the key, so a clip that holds a third of all windows is
-spread over its slices and a usual clip is exactly one slice.
+Windows of a key are ordered by (start_s, window_idx). Usual keys are plain windows over the key:
+one shuffle and one sort for all steps. Where a key is too large for one task, every step works on
+(key, time slice) instead and passes one summary row per slice along the key, so a clip that holds
+a third of all windows is spread over its slices. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -11,11 +12,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from earmark.functions.ordered import MAX_WINDOW_ROWS, oversized_keys
+
 KEYS = ("clip_id", "canonical_label")
 ORDER = ("start_s", "window_idx")
 SLICE_SECONDS = 7200.0
 
 
+def slice_for(sized: DataFrame, keys: Sequence[str], *, limit: int = MAX_WINDOW_ROWS) -> float | None:
+    """Slice length to use: None (no slicing) unless some key has more than ``limit`` rows."""
+    return None if oversized_keys(sized, keys, limit) is None else SLICE_SECONDS
+
+
 def _slice(slice_s: float) -> Column:
     return F.floor(F.col("start_s") / F.lit(float(slice_s)))
 
@@ -34,7 +42,7 @@ def hysteresis(
     keys: Sequence[str] = KEYS,
     threshold: str = "threshold",
     release_ratio: str = "release_ratio",
-    slice_s: float = SLICE_SECONDS,
+    slice_s: float | None = None,
 ) -> DataFrame:
     """Add ``is_active``: on at score >= threshold, off below threshold x ratio, held in between.
 
@@ -43,9 +51,12 @@ def hysteresis(
     """
     on = F.col("score") >= F.col(threshold)
     off = F.col("score") < F.col(threshold) * F.col(release_ratio)
-    marked = windows.withColumn("_slice", _slice(slice_s)).withColumn(
-        "_switch", F.when(on, True).when(off, False)
-    )
+    switch = F.when(on, True).when(off, False)
+    if slice_s is None:
+        whole = Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+        state = F.last(switch, ignorenulls=True).over(whole)
+        return windows.withColumn("is_active", F.coalesce(state, F.lit(False)))
+    marked = windows.withColumn("_slice", _slice(slice_s)).withColumn("_switch", switch)
     upto = _inside(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = marked.withColumn("_state", F.last("_switch", ignorenulls=True).over(upto))
     when_switched = F.when(F.col("_switch").isNotNull(), F.struct(*ORDER))
@@ -67,14 +78,17 @@ def merge_gaps(
     keys: Sequence[str] = KEYS,
     gap: str = "gap_s",
     keep: Sequence[str] = (),
-    slice_s: float = SLICE_SECONDS,
+    slice_s: float | None = None,
 ) -> DataFrame:
     """Active windows joined into ranges: a window belongs to the running range if it starts no
     later than the range's end plus the gap. Gives start, end, peak, score sum and window count.
 
-    ``keep`` are columns constant within a key. Ranges are built per slice; only the first and the
-    last range of a slice can touch a neighbour, so at most two rows per slice are stitched.
+    ``keep`` are columns constant within a key. With slices, ranges are built per slice; only the
+    first and the last range of a slice can touch a neighbour, so at most two rows per slice are
+    stitched.
     """
+    if slice_s is None:
+        return _merge_whole(windows.filter("is_active"), keys, gap, keep)
     active = windows.filter("is_active").withColumn("_slice", _slice(slice_s))
     reach = (
         active.groupBy(*keys, "_slice")
@@ -128,6 +142,27 @@ def merge_gaps(
     )
 
 
+def _merge_whole(active: DataFrame, keys: Sequence[str], gap: str, keep: Sequence[str]) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy(*ORDER)
+    furthest = F.max("end_s").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = furthest.isNull() | (F.col("start_s") > furthest + F.col(gap))
+    number = F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (
+        active.withColumn("_opens", opens.cast("int"))
+        .withColumn("_range", number)
+        .groupBy(*keys, "_range")
+        .agg(
+            F.min("start_s").alias("start_s"),
+            F.max("end_s").alias("end_s"),
+            F.max("score").alias("peak_score"),
+            F.sum("score").alias("score_sum"),
+            F.count("*").alias("n_windows"),
+            *[F.max(c).alias(c) for c in keep],
+        )
+        .drop("_range")
+    )
+
+
 def summarise_intervals(
     ranges: DataFrame,
     *,
@@ -148,11 +183,12 @@ def summarise_intervals(
 
 
 def activity_intervals(
-    windows: DataFrame, *, keys: Sequence[str] = KEYS, slice_s: float = SLICE_SECONDS
+    windows: DataFrame, *, keys: Sequence[str] = KEYS, slice_s: float | None = None
 ) -> DataFrame:
     """Hysteresis, gap merging and summary in one go.
 
     ``windows`` carries its rules: threshold, release_ratio, gap_s, min_duration_s, min_windows.
+    ``slice_for`` tells whether the keys need slices.
     """
     active = hysteresis(windows, keys=keys, slice_s=slice_s)
     ranges = merge_gaps(active, keys=keys, keep=["min_duration_s", "min_windows"], slice_s=slice_s)

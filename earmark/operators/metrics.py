@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earmark import constants as C
 from earmark.functions.columns import f1_score, ratio, value_bucket
-from earmark.functions.ordered import running_totals
+from earmark.functions.ordered import MAX_WINDOW_ROWS, oversized_keys, running_totals
 from earmark.operators.decisions import decision
 
 
@@ -49,28 +49,31 @@ def _tie_slice(preds: DataFrame, column: str) -> Column:
 
 
 def average_precision(
-    preds: DataFrame, keys: Sequence[str], tie_break: Sequence[str]
+    preds: DataFrame, keys: Sequence[str], tie_break: Sequence[str], *, limit: int = MAX_WINDOW_ROWS
 ) -> DataFrame:
     """Non-interpolated average precision; equal scores are ranked by ``tie_break``, a total order.
 
-    Counts per (key, score, tie slice) give every slice the rank and the hits before it; only
-    rows of one slice are then ordered together. Neither a label nor a hot score value (say,
-    a third of all rows at exactly 1.0) is ever sorted by one task.
+    Counts per (key, score) give every tie group the rank and the hits before it, and only rows of
+    one tie group are ordered together, never a label. If a tie group exceeds ``limit`` rows (say,
+    a third of all rows at exactly 1.0), ties are cut further into slices along ``tie_break``.
     """
-    sliced = preds.select(*keys, "score", "target", *tie_break, _tie_slice(preds, tie_break[0]).alias("_tie"))
-    hist = sliced.groupBy(*keys, "score", "_tie").agg(
-        F.count("*").alias("n"), F.sum(F.col("target").cast("long")).alias("tp")
-    )
-    before = running_totals(hist, keys, "score", ["n", "tp"], descending=True, then=["_tie"])
-    inside = Window.partitionBy(*keys, "score", "_tie").orderBy(*tie_break)
+    ties = [*keys, "score"]
+    then: list[str] = []
+    rows = preds.select(*ties, "target", *tie_break)
+    if oversized_keys(rows, ties, limit) is not None:
+        then = ["_tie"]
+        rows = rows.withColumn("_tie", _tie_slice(preds, tie_break[0]))
+    groups = [*ties, *then]
+    hits = F.sum(F.col("target").cast("long"))
+    hist = rows.groupBy(*groups).agg(F.count("*").alias("n"), hits.alias("tp"))
+    before = running_totals(hist, keys, "score", ["n", "tp"], descending=True, then=then)
+    inside = Window.partitionBy(*groups).orderBy(*tie_break)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = sliced.join(
-        before.select(*keys, "score", "_tie", "n_before", "tp_before"), [*keys, "score", "_tie"]
-    ).select(
+    ranked = rows.join(before.select(*groups, "n_before", "tp_before"), groups).select(
         *keys,
         "target",
         (F.col("n_before") + F.row_number().over(inside)).alias("rank"),
-        (F.col("tp_before") + F.sum(F.col("target").cast("long")).over(upto)).alias("hits"),
+        (F.col("tp_before") + hits.over(upto)).alias("hits"),
     )
     gain = F.sum(F.when(F.col("target") == 1, F.col("hits") / F.col("rank")))
     positives = F.sum(F.col("target").cast("long"))

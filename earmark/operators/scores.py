@@ -19,6 +19,7 @@ def score_statistics(
     *,
     keys: Sequence[str] = KEYS,
     limit: int = MAX_GROUP_ROWS,
+    known_small: bool = False,
 ) -> DataFrame:
     """Mean, median, max, p90, p95, top-20 % mean and active ratio, with the label's thresholds."""
     leveled = with_profile(canonical, profile)
@@ -37,6 +38,7 @@ def score_statistics(
             "auto_confirm": F.max("auto_confirm"),
         },
         limit=limit,
+        known_small=known_small,
     )
 
 

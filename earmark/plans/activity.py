@@ -8,16 +8,29 @@ from pyspark.sql import DataFrame, functions as F
 
 from earmark import constants as C
 from earmark.operators.decisions import decide, demote_ambiguous
+from earmark.functions.ordered import MAX_GROUP_ROWS, oversized_keys
 from earmark.operators.intervals import SLICE_SECONDS, activity_intervals
 from earmark.operators.scores import presence_score, score_statistics
 from earmark.sources.dims import interval_rule_dim, label_dim, with_profile
 
 
+def small_clips(scores: DataFrame, *, limit: int = MAX_GROUP_ROWS) -> bool:
+    """True when no clip has more than ``limit`` rows: a count over the clip column alone."""
+    return oversized_keys(scores, ["clip_id"], limit) is None
+
+
 def label_decisions(
-    canonical: DataFrame, profile: str, *, taxonomy: Mapping | None = None, margin: float = C.SUBTYPE_MARGIN
+    canonical: DataFrame,
+    profile: str,
+    *,
+    taxonomy: Mapping | None = None,
+    margin: float = C.SUBTYPE_MARGIN,
+    limit: int = MAX_GROUP_ROWS,
+    known_small: bool = False,
 ) -> DataFrame:
     """Statistics, presence score and decision per (clip, canonical label)."""
-    decided = decide(presence_score(score_statistics(canonical, profile)))
+    stats = score_statistics(canonical, profile, limit=limit, known_small=known_small)
+    decided = decide(presence_score(stats))
     return demote_ambiguous(decided, taxonomy=taxonomy, margin=margin)
 
 
@@ -31,9 +44,10 @@ def with_rules(canonical: DataFrame, profile: str, *, rules: Mapping | None = No
 
 
 def label_intervals(
-    canonical: DataFrame, profile: str, *, rules: Mapping | None = None, slice_s: float = SLICE_SECONDS
+    canonical: DataFrame, profile: str, *, rules: Mapping | None = None, slice_s: float | None = None
 ) -> DataFrame:
-    """Activity intervals per (clip, canonical label) at the candidate threshold."""
+    """Activity intervals per (clip, canonical label) at the candidate threshold; give a slice
+    length where a clip may be too large for one task."""
     return activity_intervals(with_rules(canonical, profile, rules=rules), slice_s=slice_s)
 
 
@@ -43,12 +57,19 @@ def label_activity(
     *,
     taxonomy: Mapping | None = None,
     rules: Mapping | None = None,
+    sized_by: DataFrame | None = None,
+    limit: int = MAX_GROUP_ROWS,
     slice_s: float = SLICE_SECONDS,
 ) -> DataFrame:
-    """Every label of every clip with its decision, and one row per interval (or one without)."""
-    decisions = label_decisions(canonical, profile, taxonomy=taxonomy)
+    """Every label of every clip with its decision, and one row per interval (or one without).
+
+    ``sized_by`` is the table ``canonical`` was made from; clip sizes are read off it. Only if a
+    clip exceeds ``limit`` rows there do the statistics and intervals take their sliced way.
+    """
+    small = small_clips(canonical if sized_by is None else sized_by, limit=limit)
+    decisions = label_decisions(canonical, profile, taxonomy=taxonomy, limit=limit, known_small=small)
     names = label_dim(canonical.sparkSession, taxonomy).select("canonical_label", "display_name")
-    intervals = label_intervals(canonical, profile, rules=rules, slice_s=slice_s)
+    intervals = label_intervals(canonical, profile, rules=rules, slice_s=None if small else slice_s)
     return (
         decisions.select("clip_id", "canonical_label", "decision", "score")
         .join(intervals, ["clip_id", "canonical_label"], "left")

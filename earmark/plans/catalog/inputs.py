@@ -118,9 +118,9 @@ def _documents(spark, d):
     canonical = events_canonical(spark, d)
     names = label_dim(spark).select("canonical_label", "display_name")
     decisions = label_decisions(canonical, PROFILE).join(F.broadcast(names), "canonical_label")
-    intervals = label_intervals(canonical, PROFILE).withColumn("start_s", F.round("start_s", 6)).withColumn("end_s", F.round("end_s", 6))
+    intervals = label_intervals(canonical, PROFILE)
     return files.nest_results(
-        decisions.select("clip_id", "canonical_label", "display_name", "decision", F.round("score", 6).alias("score")), intervals
+        decisions.select("clip_id", "canonical_label", "display_name", "decision", "score"), intervals
     )
 
 
@@ -132,7 +132,7 @@ _NAMES = "(SELECT DISTINCT canonical_label, display_name FROM taxonomy) n"
     SELECT d.clip_id::VARCHAR AS analysis_id, d.canonical_label, n.display_name, d.decision, d.score, count(i.start_s) AS n_ranges,
            coalesce(sum(i.end_s - i.start_s), 0.0::DOUBLE) AS active_s
     FROM decided d JOIN {_NAMES} USING (canonical_label) LEFT JOIN intervals i USING (clip_id, canonical_label) GROUP BY ALL""", **_DOC_PARTS),
-    "score", "active_s").replace("round(active_s, 6)", "round(active_s, 3)"))
+    "score", "active_s"))
 def nested_query(spark, d):
     path = scratch_path(spark, "results")
     files.write_results(_documents(spark, d), path)
@@ -140,7 +140,7 @@ def nested_query(spark, d):
     length = F.aggregate("time_ranges", F.lit(0.0), lambda total, r: total + (r["end_s"] - r["start_s"]))
     return tidy(rows.select(
         "analysis_id", "canonical_label", "display_name", "decision", "score",
-        F.size("time_ranges").cast("long").alias("n_ranges"), F.round(length, 3).alias("active_s"),
+        F.size("time_ranges").cast("long").alias("n_ranges"), length.alias("active_s"),
     ))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from earmark import constants as C
 from earmark.operators.decisions import decide, demote_ambiguous
-from earmark.operators.intervals import hysteresis, merge_gaps
+from earmark.operators.intervals import hysteresis, merge_gaps, slice_for
 from earmark.operators.labels import (
     canonical_scores,
     canonical_scores_dense,
@@ -264,8 +264,18 @@ def merge_gaps_query(spark, d):
 _INTERVAL_DOUBLES = ("start_s", "end_s", "peak_score", "confidence")
 
 
-@register("activity_intervals", tidied(with_inputs(EVENTS, "SELECT * FROM intervals", **score_parts("frame_scores"), **interval_parts()), *_INTERVAL_DOUBLES))
+_INTERVALS_SQL = tidied(with_inputs(EVENTS, "SELECT * FROM intervals", **score_parts("frame_scores"), **interval_parts()), *_INTERVAL_DOUBLES)
+
+
+@register("activity_intervals", _INTERVALS_SQL)
 def intervals_query(spark, d):
+    scores = A.frame_scores(spark, d)
+    return tidy(label_intervals(canonical_scores(scores), PROFILE, slice_s=slice_for(scores, ["clip_id"])))
+
+
+@register("activity_intervals_sliced", _INTERVALS_SQL)
+def intervals_sliced_query(spark, d):
+    """The same rows with slices of 48 hours stitched together."""
     return tidy(label_intervals(events_canonical(spark, d), PROFILE, slice_s=SLICE))
 
 
@@ -289,10 +299,19 @@ def _activity_sql(source: str, inputs: list[str]) -> str:
 
 @register("label_activity", _activity_sql("frame_scores", EVENTS))
 def label_activity_query(spark, d):
-    return tidy(label_activity(events_canonical(spark, d), PROFILE))
+    scores = A.frame_scores(spark, d)
+    return tidy(label_activity(canonical_scores(scores), PROFILE, sized_by=scores))
 
 
 @register("label_activity_dense", _activity_sql("raw_scores", VECTORS))
 def label_activity_dense_query(spark, d):
-    dense = canonical_scores_dense(A.window_vectors(spark, d), A.RAW)
-    return tidy(label_activity(dense, PROFILE, slice_s=10.0))
+    windows = A.window_vectors(spark, d)
+    dense = canonical_scores_dense(windows, A.RAW)
+    return tidy(label_activity(dense, PROFILE, sized_by=windows))
+
+
+@register("label_activity_large_clips", _activity_sql("frame_scores", EVENTS))
+def label_activity_large_query(spark, d):
+    """The same with a limit so low that every step takes its sliced way."""
+    scores = A.frame_scores(spark, d)
+    return tidy(label_activity(canonical_scores(scores), PROFILE, sized_by=scores, limit=20, slice_s=SLICE))

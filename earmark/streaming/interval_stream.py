@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+ROW = ("window_idx", "start_s", "end_s", "score")
 STATE = (
     "is_on boolean, is_open boolean, start_s double, end_s double, peak double, total double, "
     "n bigint, last_start double, last_idx bigint"
@@ -44,8 +46,10 @@ def live_intervals(windows: DataFrame, *, delay: str = "1 hour", second_ms: int
                 close(min_duration, min_windows)
             is_open = False
         else:
-            rows = pd.concat(list(frames)).sort_values(["start_s", "window_idx"])
-            for idx, a, b, score in zip(rows.window_idx, rows.start_s, rows.end_s, rows.score):
+            columns = [[f[c].to_numpy() for f in frames] for frames in [list(frames)] for c in ROW]
+            idx_, start_, end_, score_ = (np.concatenate(parts) for parts in columns)
+            order = np.lexsort((idx_, start_))
+            for idx, a, b, score in zip(*(v[order].tolist() for v in (idx_, start_, end_, score_))):
                 if (a, idx) <= (last_start, last_idx):
                     continue
                 last_start, last_idx = a, idx
