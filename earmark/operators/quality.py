@@ -25,9 +25,9 @@ def clip_measures(samples: DataFrame) -> DataFrame:
     values = F.sum(F.size(ch))
     return samples.groupBy("clip_id").agg(
         F.count("*").alias("n_samples"),
-        F.sqrt(F.sum(_total(ch, lambda x: x * x)) / values).alias("rms"),
+        F.sqrt(F.try_divide(F.sum(_total(ch, lambda x: x * x)), values)).alias("rms"),
         F.bool_or(broken).alias("not_finite"),
-        (F.sum(loud) / values).alias("clipped_ratio"),
+        F.try_divide(F.sum(loud), values).alias("clipped_ratio"),
     )
 
 

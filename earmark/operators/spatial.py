@@ -26,7 +26,7 @@ def stereo_moments(samples: DataFrame) -> DataFrame:
         F.avg(side * side).alias("se"),
         F.stddev_pop(l).alias("ls"),
         F.stddev_pop(r).alias("rs"),
-        F.corr(l, r).alias("lr"),
+        F.covar_pop(l, r).alias("lr"),
     )
     le, re = F.col("le"), F.col("re")
     rms = F.sqrt((le + re) / 2)
@@ -38,7 +38,7 @@ def stereo_moments(samples: DataFrame) -> DataFrame:
         (~heard).alias("low_energy"),
         F.when(heard, (re - le) / (re + le + C.EPSILON)).alias("pan_value"),
         F.when(heard, F.col("se") / (F.col("me") + C.EPSILON)).alias("width_ratio"),
-        F.when(heard, F.when(varied, F.col("lr")).otherwise(1.0)).alias("correlation"),
+        F.when(heard, F.when(varied, F.col("lr") / (F.col("ls") * F.col("rs"))).otherwise(1.0)).alias("correlation"),
     )
 
 

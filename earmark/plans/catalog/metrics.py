@@ -229,8 +229,8 @@ def holdout_query(spark, d):
 
 
 @register("recommended_thresholds", tidied(with_inputs(["predictions"], """
-    SELECT label, threshold AS confirmed, enabled AS auto_confirm, validation_positives AS calibration_positives,
-           precision AS heldout_precision, coverage AS heldout_coverage FROM validated""", **_VALIDATED),
+    SELECT label, round(threshold, 8) AS confirmed, enabled AS auto_confirm, validation_positives AS calibration_positives,
+           round(precision, 8) AS heldout_precision, round(coverage, 8) AS heldout_coverage FROM validated""", **_VALIDATED),
     "confirmed", "heldout_precision", "heldout_coverage"))
 def recommend_query(spark, d):
     return tidy(recommend(validate_thresholds(A.predictions(spark, d))))

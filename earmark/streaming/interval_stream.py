@@ -6,13 +6,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-ROW = ("window_idx", "start_s", "end_s", "score")
+ROW = ("window_idx", "start_s", "end_s", "score", "event_ms")
 STATE = (
     "is_on boolean, is_open boolean, start_s double, end_s double, peak double, total double, "
-    "n bigint, last_start double, last_idx bigint"
+    "n bigint, last_start double, last_idx bigint, due_ms bigint"
 )
 OUTPUT = (
     "clip_id bigint, canonical_label string, start_s double, end_s double, peak_score double, "
@@ -27,13 +27,13 @@ def live_intervals(windows: DataFrame, *, delay: str = "1 hour", second_ms: int
     threshold, release_ratio, gap_s, min_duration_s, min_windows (constant per label).
     An interval is closed by a later active window beyond its gap, or once the watermark passes its
     end plus the gap. Rows of a trigger are put in order; a row that starts before what its key
-    has already processed is dropped as late. ``second_ms`` is the event time, in milliseconds,
-    that one second of ``start_s`` stands for.
+    has already processed is dropped as late. ``event_time`` is when a window starts; ``second_ms``
+    is the event time, in milliseconds, that one second of ``start_s`` stands for.
     """
 
     def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        blank = (False, False, 0.0, 0.0, 0.0, 0.0, 0, float("-inf"), -1)
-        is_on, is_open, start, end, peak, total, n, last_start, last_idx = state.getOption or blank
+        blank = (False, False, 0.0, 0.0, 0.0, 0.0, 0, float("-inf"), -1, 0)
+        is_on, is_open, start, end, peak, total, n, last_start, last_idx, due = state.getOption or blank
         closed: list[tuple] = []
 
         def close(min_duration: float, min_windows: int) -> None:
@@ -46,28 +46,28 @@ def live_intervals(windows: DataFrame, *, delay: str = "1 hour", second_ms: int
                 close(min_duration, min_windows)
             is_open = False
         else:
-            columns = [[f[c].to_numpy() for f in frames] for frames in [list(frames)] for c in ROW]
-            idx_, start_, end_, score_ = (np.concatenate(parts) for parts in columns)
+            batches = list(frames)
+            idx_, start_, end_, score_, ms_ = (np.concatenate([f[c].to_numpy() for f in batches]) for c in ROW)
             order = np.lexsort((idx_, start_))
-            for idx, a, b, score in zip(*(v[order].tolist() for v in (idx_, start_, end_, score_))):
+            for idx, a, b, score, ms in zip(*(v[order].tolist() for v in (idx_, start_, end_, score_, ms_))):
                 if (a, idx) <= (last_start, last_idx):
                     continue
                 last_start, last_idx = a, idx
                 is_on = score >= threshold or (is_on and score >= threshold * ratio)
                 if not is_on:
                     continue
+                over = ms + int((b - a + gap) * second_ms)
                 if is_open and a <= end + gap:
-                    end, peak, total, n = max(end, b), max(peak, score), total + score, n + 1
+                    end, peak, total, n, due = max(end, b), max(peak, score), total + score, n + 1, max(due, over)
                 else:
                     if is_open:
                         close(min_duration, min_windows)
-                    is_open, start, end, peak, total, n = True, a, b, score, score, 1
+                    is_open, start, end, peak, total, n, due = True, a, b, score, score, 1, over
         state.update(
             (bool(is_on), bool(is_open), float(start), float(end), float(peak), float(total), int(n),
-             float(last_start), int(last_idx))
+             float(last_start), int(last_idx), int(due))
         )
         if is_open:
-            due = int((end + gap) * second_ms)
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         if closed:
             yield pd.DataFrame(closed, columns=[part.split()[0] for part in OUTPUT.split(", ")])
@@ -75,6 +75,7 @@ def live_intervals(windows: DataFrame, *, delay: str = "1 hour", second_ms: int
     keys = ["clip_id", "canonical_label", "threshold", "release_ratio", "gap_s", "min_duration_s", "min_windows"]
     return (
         windows.withWatermark("event_time", delay)
+        .withColumn("event_ms", F.unix_millis("event_time"))
         .groupBy(*keys)
         .applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
