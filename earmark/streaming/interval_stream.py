@@ -1,7 +1,8 @@
-"""Live activity intervals: the batch rules with a small state per (clip, label)."""
+"""Live activity intervals: the batch rules with a small state per clip."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,15 +10,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-ROW = ("window_idx", "start_s", "end_s", "score", "event_ms")
-STATE = (
-    "is_on boolean, is_open boolean, start_s double, end_s double, peak double, total double, "
-    "n bigint, last_start double, last_idx bigint, due_ms bigint"
+ROW = (
+    "window_idx", "start_s", "canonical_label", "end_s", "score", "event_ms", "threshold", "release_ratio", "gap_s",
+    "min_duration_s", "min_windows",
 )
+STATE = "labels string"
 OUTPUT = (
     "clip_id bigint, canonical_label string, start_s double, end_s double, peak_score double, "
     "confidence double, n_windows bigint"
 )
+NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
 
 
 def live_intervals(windows: DataFrame, *, delay: str = "1 hour", second_ms: int = 1000) -> DataFrame:
@@ -26,56 +28,56 @@ def live_intervals(windows: DataFrame, *, delay: str = "1 hour", second_ms: int
     Columns: clip_id, canonical_label, window_idx, start_s, end_s, score, event_time, and the rules
     threshold, release_ratio, gap_s, min_duration_s, min_windows (constant per label).
     An interval is closed by a later active window beyond its gap, or once the watermark passes its
-    end plus the gap. Rows of a trigger are put in order; a row that starts before what its key
+    end plus the gap. Rows of a trigger are put in order; a row that starts before what its label
     has already processed is dropped as late. ``event_time`` is when a window starts; ``second_ms``
     is the event time, in milliseconds, that one second of ``start_s`` stands for.
+
+    The state of a clip is one open interval per label, as JSON: its size does not grow with the
+    number of windows. Labels share a group because a call per group is what costs.
     """
 
     def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        blank = (False, False, 0.0, 0.0, 0.0, 0.0, 0, float("-inf"), -1, 0)
-        is_on, is_open, start, end, peak, total, n, last_start, last_idx, due = state.getOption or blank
+        labels: dict[str, dict] = json.loads(state.get[0]) if state.exists else {}
         closed: list[tuple] = []
 
-        def close(min_duration: float, min_windows: int) -> None:
+        def close(label: str, entry: dict) -> None:
+            start, end, peak, total, n, _ = entry["open"]
+            min_duration, min_windows = entry["keep"]
             if end - start >= min_duration and n >= min_windows:
-                closed.append((*key[:2], start, end, peak, total / n, n))
+                closed.append((key[0], label, start, end, peak, total / n, n))
+            entry["open"] = None
 
-        threshold, ratio, gap, min_duration, min_windows = key[2:]
-        if state.hasTimedOut:
-            if is_open:
-                close(min_duration, min_windows)
-            is_open = False
-        else:
-            batches = list(frames)
-            idx_, start_, end_, score_, ms_ = (np.concatenate([f[c].to_numpy() for f in batches]) for c in ROW)
-            order = np.lexsort((idx_, start_))
-            for idx, a, b, score, ms in zip(*(v[order].tolist() for v in (idx_, start_, end_, score_, ms_))):
-                if (a, idx) <= (last_start, last_idx):
+        batches = [] if state.hasTimedOut else list(frames)
+        if batches:
+            values = [np.concatenate([f[c].to_numpy() for f in batches]) for c in ROW]
+            order = np.lexsort((values[0], values[1]))
+            for idx, a, label, b, score, ms, on, ratio, gap, *keep in zip(*(v[order].tolist() for v in values)):
+                entry = labels.setdefault(label, {"on": False, "open": None, "last": None, "keep": keep})
+                if entry["last"] is not None and [a, idx] <= entry["last"]:
                     continue
-                last_start, last_idx = a, idx
-                is_on = score >= threshold or (is_on and score >= threshold * ratio)
-                if not is_on:
+                entry["last"] = [a, idx]
+                entry["on"] = score >= on or (entry["on"] and score >= on * ratio)
+                if not entry["on"]:
                     continue
-                over = ms + int((b - a + gap) * second_ms)
-                if is_open and a <= end + gap:
-                    end, peak, total, n, due = max(end, b), max(peak, score), total + score, n + 1, max(due, over)
-                else:
-                    if is_open:
-                        close(min_duration, min_windows)
-                    is_open, start, end, peak, total, n, due = True, a, b, score, score, 1, over
-        state.update(
-            (bool(is_on), bool(is_open), float(start), float(end), float(peak), float(total), int(n),
-             float(last_start), int(last_idx), int(due))
-        )
-        if is_open:
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+                due = ms + int((b - a + gap) * second_ms)
+                if entry["open"] and a > entry["open"][1] + gap:
+                    close(label, entry)
+                start, end, peak, total, n, before = entry["open"] or (a, b, score, 0.0, 0, due)
+                entry["open"] = [start, max(end, b), max(peak, score), total + score, n + 1, max(before, due)]
+        watermark = state.getCurrentWatermarkMs()
+        for label, entry in labels.items():
+            if entry["open"] and entry["open"][5] < watermark:
+                close(label, entry)
+        state.update((json.dumps(labels),))
+        waiting = [entry["open"][5] for entry in labels.values() if entry["open"]]
+        if waiting:
+            state.setTimeoutTimestamp(max(min(waiting), watermark + 1))
         if closed:
-            yield pd.DataFrame(closed, columns=[part.split()[0] for part in OUTPUT.split(", ")])
+            yield pd.DataFrame(closed, columns=NAMES)
 
-    keys = ["clip_id", "canonical_label", "threshold", "release_ratio", "gap_s", "min_duration_s", "min_windows"]
     return (
         windows.withWatermark("event_time", delay)
         .withColumn("event_ms", F.unix_millis("event_time"))
-        .groupBy(*keys)
+        .groupBy("clip_id")
         .applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
