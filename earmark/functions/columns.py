@@ -37,7 +37,8 @@ def value_bucket(value: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
     """
     x = value.cast("double")
     size = F.floor(F.log2(F.abs(x)) * per_octave) + F.lit(_OCTAVE_SHIFT * per_octave)
-    return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0)).cast("long")
+    # never null, so that joins on a bucket add no filter and equal scans can share one exchange
+    return F.coalesce(F.when(x > 0, size).when(x < 0, -size).cast("long"), F.lit(0).cast("long"))
 
 
 def literal_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:

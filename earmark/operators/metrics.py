@@ -69,7 +69,9 @@ def average_precision(
     before = running_totals(hist, keys, "score", ["n", "tp"], descending=True, then=then)
     inside = Window.partitionBy(*groups).orderBy(*tie_break)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = rows.join(before.select(*groups, "n_before", "tp_before"), groups).select(
+    # a merge join leaves the rows partitioned as the ranking window needs them: one shuffle for both
+    offsets = before.select(*groups, "n_before", "tp_before").hint("merge")
+    ranked = rows.join(offsets, groups).select(
         *keys,
         "target",
         (F.col("n_before") + F.row_number().over(inside)).alias("rank"),
