@@ -20,8 +20,12 @@ def score_statistics(
     keys: Sequence[str] = KEYS,
     limit: int = MAX_GROUP_ROWS,
     known_small: bool = False,
+    last_window: bool = False,
 ) -> DataFrame:
-    """Mean, median, max, p90, p95, top-20 % mean and active ratio, with the label's thresholds."""
+    """Mean, median, max, p90, p95, top-20 % mean and active ratio, with the label's thresholds.
+
+    ``last_window`` adds the latest window as a struct (start_s, window_idx, end_s).
+    """
     leveled = with_profile(canonical, profile)
     active = F.when(F.col("score") >= F.col("candidate"), 1.0).otherwise(0.0)
     return order_statistics(
@@ -36,6 +40,7 @@ def score_statistics(
             "candidate": F.max("candidate"),
             "confirmed": F.max("confirmed"),
             "auto_confirm": F.max("auto_confirm"),
+            **({"last_window": F.max(F.struct("start_s", "window_idx", "end_s"))} if last_window else {}),
         },
         limit=limit,
         known_small=known_small,

@@ -14,6 +14,9 @@ from earmark.operators.scores import presence_score, score_statistics
 from earmark.sources.dims import interval_rule_dim, label_dim, with_profile
 
 
+WINDOW = ("clip_id", "window_idx", "canonical_label", "start_s", "end_s", "score")
+
+
 def small_clips(scores: DataFrame, *, limit: int = MAX_GROUP_ROWS) -> bool:
     """True when no clip has more than ``limit`` rows: a count over the clip column alone."""
     return oversized_keys(scores, ["clip_id"], limit) is None
@@ -27,9 +30,16 @@ def label_decisions(
     margin: float = C.SUBTYPE_MARGIN,
     limit: int = MAX_GROUP_ROWS,
     known_small: bool = False,
+    keep_window: bool = False,
 ) -> DataFrame:
-    """Statistics, presence score and decision per (clip, canonical label)."""
-    stats = score_statistics(canonical, profile, limit=limit, known_small=known_small)
+    """Statistics, presence score and decision per (clip, canonical label).
+
+    ``keep_window`` makes the statistics read all window columns, so that their shuffle is the very
+    one that the intervals use and is written once.
+    """
+    stats = score_statistics(canonical, profile, limit=limit, known_small=known_small, last_window=keep_window)
+    if keep_window:
+        stats = stats.filter(F.col("last_window").isNotNull())
     decided = decide(presence_score(stats))
     return demote_ambiguous(decided, taxonomy=taxonomy, margin=margin)
 
@@ -67,9 +77,15 @@ def label_activity(
     clip exceeds ``limit`` rows there do the statistics and intervals take their sliced way.
     """
     small = small_clips(canonical if sized_by is None else sized_by, limit=limit)
-    decisions = label_decisions(canonical, profile, taxonomy=taxonomy, limit=limit, known_small=small)
+    scored = canonical.select(*WINDOW).filter(F.col("clip_id").isNotNull())
+    if small:
+        # both branches below read this one shuffle; each finds its rows already in place
+        scored = scored.repartition("clip_id", "canonical_label")
+    decisions = label_decisions(
+        scored, profile, taxonomy=taxonomy, limit=limit, known_small=small, keep_window=small
+    )
     names = label_dim(canonical.sparkSession, taxonomy).select("canonical_label", "display_name")
-    intervals = label_intervals(canonical, profile, rules=rules, slice_s=None if small else slice_s)
+    intervals = label_intervals(scored, profile, rules=rules, slice_s=None if small else slice_s)
     return (
         decisions.select("clip_id", "canonical_label", "decision", "score")
         .join(intervals, ["clip_id", "canonical_label"], "left")

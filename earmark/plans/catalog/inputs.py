@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earmark import constants as C
-from earmark.operators.labels import canonical_scores_dense, explode_scores
+from earmark.operators.labels import canonical_scores, canonical_scores_dense, explode_scores
 from earmark.plans import adapters as A
-from earmark.plans.activity import label_decisions, label_intervals
+from earmark.plans.activity import label_activity
 from earmark.plans.adapters import profile_sql, rules_sql, with_inputs
 from earmark.plans.catalog.registry import register, tidied, tidy
-from earmark.plans.catalog.scores import EVENTS, events_canonical, interval_parts, score_parts
+from earmark.plans.catalog.scores import EVENTS, interval_parts, score_parts
 from earmark.session import scratch_path
 from earmark.sources import files
-from earmark.sources.dims import interval_rule_dim, label_dim, taxonomy_dim, with_profile
+from earmark.sources.dims import interval_rule_dim, taxonomy_dim, with_profile
 
 PROFILE = "calibrated_public_v1"
 
@@ -115,13 +115,8 @@ def manifest_query(spark, d):
 
 
 def _documents(spark, d):
-    canonical = events_canonical(spark, d)
-    names = label_dim(spark).select("canonical_label", "display_name")
-    decisions = label_decisions(canonical, PROFILE).join(F.broadcast(names), "canonical_label")
-    intervals = label_intervals(canonical, PROFILE)
-    return files.nest_results(
-        decisions.select("clip_id", "canonical_label", "display_name", "decision", "score"), intervals
-    )
+    scores = A.frame_scores(spark, d)
+    return files.nest_results(label_activity(canonical_scores(scores), PROFILE, sized_by=scores))
 
 
 _DOC_PARTS = score_parts("frame_scores") | interval_parts()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from earmark import constants as C
 
@@ -77,9 +77,28 @@ def read_tracks_tsv(spark: SparkSession, path: str, tag_sep: str = ",") -> DataF
 
 
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with their number; a file is one metadata document."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
+    """Lines of text files with their number, counted over the file's splits in parallel.
+
+    A line is numbered inside its split and moved up by the lines of the splits before it, so a
+    large file is read by many tasks.
+    """
+    place = ["file", "_split"]
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.col("value").alias("line"),
+    )
+    along = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = lines.groupBy(*place).agg(F.count("*").alias("_n")).select(
+        *place, F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_offset")
+    )
+    inside = Window.partitionBy(*place).orderBy("_seq")
+    return (
+        lines.withColumn("_seq", F.monotonically_increasing_id())
+        .withColumn("_at", F.row_number().over(inside))
+        .join(offsets, place)
+        .select("file", (F.col("_at") - 1 + F.col("_offset")).alias("line_no"), "line")
+    )
 
 
 def line_offset_lookup(
@@ -146,21 +165,18 @@ def targets_long(manifest: DataFrame) -> DataFrame:
 
 # --- nested results -------------------------------------------------------------
 
-def nest_results(decisions: DataFrame, intervals: DataFrame) -> DataFrame:
-    """One document per clip: labels with decision, score and time ranges.
+def nest_results(activity: DataFrame) -> DataFrame:
+    """One document per clip from activity rows (one per label and interval, or one without).
 
     A document holds one clip's labels and intervals; clips are bounded by the duration gate.
     """
-    ranges = intervals.groupBy("clip_id", "canonical_label").agg(
-        F.sort_array(F.collect_list(F.struct("start_s", "end_s", "peak_score", "confidence"))).alias("time_ranges")
-    )
-    empty = F.array().cast(f"array<{INTERVAL}>")
-    rows = decisions.join(ranges, ["clip_id", "canonical_label"], "left").withColumn(
-        "time_ranges", F.coalesce("time_ranges", empty)
-    )
-    entry = F.struct("canonical_label", "display_name", "decision", "score", "time_ranges")
+    label = ["canonical_label", "display_name", "decision", "score"]
+    interval = F.struct("start_s", "end_s", "peak_score", "confidence")
+    found = F.collect_list(F.when(F.col("start_s").isNotNull(), interval))
+    rows = activity.groupBy("clip_id", *label).agg(F.sort_array(found).alias("time_ranges"))
     return rows.groupBy(F.col("clip_id").cast("string").alias("analysis_id")).agg(
-        F.lit("1.0.0").alias("schema_version"), F.sort_array(F.collect_list(entry)).alias("instruments")
+        F.lit("1.0.0").alias("schema_version"),
+        F.sort_array(F.collect_list(F.struct(*label, "time_ranges"))).alias("instruments"),
     )
 
 

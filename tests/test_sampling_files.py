@@ -114,16 +114,32 @@ def test_manifest_document_and_lines(spark, tmp_path):
 
 
 def test_results_round_trip_and_export(spark, tmp_path):
-    decisions = spark.createDataFrame([("a", "bass", "贝斯", "confirmed", 0.5), ("a", "pad", "Pad", "unknown", 0.125)],
-                                      "clip_id string, canonical_label string, display_name string, decision string, score double")
-    intervals = spark.createDataFrame([("a", "bass", 4.0, 5.125, 0.9, 0.8), ("a", "bass", 0.0, 2.5, 0.7, 0.6)],
-                                      "clip_id string, canonical_label string, start_s double, end_s double, peak_score double, confidence double")
-    files.write_results(files.nest_results(decisions, intervals), f"{tmp_path}/r")
+    bass = ("a", "bass", "贝斯", "confirmed", 0.5)
+    rows = [(*bass, 4.0, 5.125, 0.9, 0.8), (*bass, 0.0, 2.5, 0.7, 0.6), ("a", "pad", "Pad", "unknown", 0.125, None, None, None, None)]
+    activity = spark.createDataFrame(rows, "clip_id string, canonical_label string, display_name string, decision string, score double, "
+                                     "start_s double, end_s double, peak_score double, confidence double")
+    files.write_results(files.nest_results(activity), f"{tmp_path}/r")
     flat = {r.canonical_label: r for r in files.flatten_results(files.read_results(spark, f"{tmp_path}/r")).collect()}
     assert flat["bass"].time_ranges == "0.00-2.50; 4.00-5.12" and flat["bass"].model_score == "0.500000"
     assert flat["pad"].time_ranges == "" and flat["pad"].display_name == "Pad"
 
 
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    text = [f"line {i}" if i % 7 else "" for i in range(400)]
+    (tmp_path / "long.txt").write_text("\n".join(text) + "\n")
+    sizes = {"spark.sql.files.maxPartitionBytes": "256", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        assert spark.read.text(f"{tmp_path}/long.txt").rdd.getNumPartitions() > 3
+        got = files.read_numbered_lines(spark, f"{tmp_path}/long.txt").orderBy("line_no").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r.line_no for r in got] == list(range(400)) and [r.line for r in got] == text
+
+
 def test_inventory_and_integrity(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.bin").write_bytes(b"abc")

@@ -64,6 +64,13 @@ def test_usual_intervals_take_one_shuffle_of_the_windows(spark):
     assert plan(activity_intervals(canonical)).count("Exchange hashpartitioning") == 1
 
 
+def test_statistics_and_intervals_share_one_scan_and_shuffle(spark):
+    df = queries()["label_activity"](spark, SMALL)
+    df.collect()
+    text = plan(df).split("== Initial Plan ==")[0]
+    assert text.count("FileScan") == 1 and "ReusedExchange [clip_id" in text
+
+
 def test_entry(spark):
     df = entry(spark)
     assert df.count() > 0 and "decision" in df.columns
