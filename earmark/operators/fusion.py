@@ -102,13 +102,20 @@ def fuse(
 def fuse_for_comparison(
     preds: DataFrame, stem_scores: DataFrame, energy: DataFrame
 ) -> DataFrame:
-    """Evaluation variant of the fusion: no low-energy rule, and no stem for voice.
+    """Evaluation variant of the fusion: no low-energy rule, no stem for voice, and every label
+    without a stem carries the warning.
 
-    ``preds``: clip_id, canonical_label, target, mix_score (further columns are kept).
+    ``preds``: clip_id, canonical_label, mix_score (further columns are kept).
     """
     stems = {label: stem for label, stem in C.STEM_BY_LABEL.items() if stem != "vocals"}
-    joined = _with_evidence(preds, stem_scores, energy, stems)
-    return joined.select(*preds.columns, _fused(F.col("mix_score")).alias("fused_score"))
+    unsupported = F.when(F.col("stem").isNull(), "other_stem_not_used_for_instrument_identity")
+    return _with_evidence(preds, stem_scores, energy, stems).select(
+        *preds.columns,
+        _fused(F.col("mix_score")).alias("fused_score"),
+        "stem_scores",
+        "stem_energy_ratios",
+        F.array_compact(F.array(unsupported)).alias("warnings"),
+    )
 
 
 def compare_scores(

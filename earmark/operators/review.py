@@ -98,6 +98,32 @@ def effective_values(predictions: DataFrame, overrides: DataFrame) -> DataFrame:
     )
 
 
+def record_events(actions: DataFrame, fields: DataFrame) -> DataFrame:
+    """Review events from a reviewer's actions and the form fields shown.
+
+    Actions: analysis_id, seq, field_id, outcome, entered (text or null), profile, shown_s, acted_s.
+    An edit or a missing label takes the entered text as final value and says what changed;
+    anything else keeps the field's value. A field that was never predicted has no prediction.
+    """
+    typed = F.col("outcome").isin("accept_after_edit", "missing_label")
+    shown = fields.select(
+        "analysis_id", "field_id", "field_name", F.col("instrument_label").alias("label"), "decision", "value"
+    )
+    return actions.join(shown, ["analysis_id", "field_id"], "left").select(
+        "analysis_id",
+        "seq",
+        "field_id",
+        "outcome",
+        "field_name",
+        "label",
+        "decision",
+        F.when(typed, F.col("entered")).otherwise(F.col("value")).alias("final_value"),
+        F.when(typed, F.concat(F.coalesce("value", F.lit("空")), F.lit(" → "), "entered")).alias("edit_description"),
+        "profile",
+        F.greatest(F.lit(0.0), F.col("acted_s") - F.col("shown_s")).alias("elapsed_s"),
+    )
+
+
 def event_fault():
     """Why a review event cannot be recorded, or null."""
     elapsed = F.col("elapsed_s")

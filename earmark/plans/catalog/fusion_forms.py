@@ -8,11 +8,14 @@ from earmark import constants as C
 from earmark.operators.forms import expand_form, form_summary
 from earmark.operators.fusion import energy_ratios, fuse, fuse_for_comparison
 from earmark.operators.decisions import decision
+from earmark.operators.review import record_events
 from earmark.plans import adapters as A
 from earmark.plans.activity import label_decisions
 from earmark.plans.adapters import profile_sql, with_inputs
 from earmark.plans.catalog.registry import register, tidied, tidy
 from earmark.plans.catalog.scores import EVENTS, events_canonical, score_parts
+from earmark.session import scratch_path
+from earmark.sources import files
 from earmark.sources.dims import with_profile
 
 PROFILE = "calibrated_public_v1"
@@ -91,11 +94,41 @@ def fuse_query(spark, d):
     ))
 
 
-@register("fuse_for_comparison", tidied(with_inputs(["stem_scores", "stem_energy"], """
-    SELECT clip_id, canonical_label, mix_score, fused_score FROM fused""", **_FUSION_PARTS), "mix_score", "fused_score"))
-def fuse_comparison_query(spark, d):
+_COMPARED = """
+    SELECT clip_id, canonical_label, mix_score, fused_score, coalesce(n_stems, 0) AS n_stems,
+           CASE WHEN stem IS NULL THEN 'other_stem_not_used_for_instrument_identity' ELSE '' END AS warnings FROM fused"""
+
+
+def _compared(spark, d):
     preds = _mix(spark, d).select("clip_id", "canonical_label", F.col("score").alias("mix_score"))
-    return tidy(fuse_for_comparison(preds, _stems(spark, d), energy_ratios(A.stem_samples(spark, d))))
+    return fuse_for_comparison(preds, _stems(spark, d), energy_ratios(A.stem_samples(spark, d)))
+
+
+@register("fuse_for_comparison", tidied(with_inputs(["stem_scores", "stem_energy"], _COMPARED, **_FUSION_PARTS), "mix_score", "fused_score"))
+def fuse_comparison_query(spark, d):
+    return tidy(_compared(spark, d).select(
+        "clip_id", "canonical_label", "mix_score", "fused_score",
+        F.coalesce(F.size(F.map_keys("stem_scores")).cast("long"), F.lit(0)).alias("n_stems"),
+        F.concat_ws("|", "warnings").alias("warnings"),
+    ))
+
+
+@register("separation_csv", tidied(with_inputs(["stem_scores", "stem_energy"], _COMPARED, **_FUSION_PARTS), "mix_score", "fused_score"))
+def separation_csv_query(spark, d):
+    """The nine-column comparison file with its three JSON columns, written and read back."""
+    path = scratch_path(spark, "separation")
+    rows = _compared(spark, d).select(
+        F.col("clip_id").cast("string").alias("sample_id"), F.lit("set_a").alias("dataset"),
+        F.col("canonical_label").alias("label"), F.lit(1).alias("target"),
+        "mix_score", "stem_scores", "fused_score", "stem_energy_ratios", "warnings",
+    )
+    files.write_comparison_csv(rows, path)
+    back = files.read_comparison_csv(spark, path)
+    return tidy(back.select(
+        F.col("sample_id").cast("long").alias("clip_id"), F.col("label").alias("canonical_label"), "mix_score", "fused_score",
+        F.coalesce(F.size(F.map_keys("stem_scores")).cast("long"), F.lit(0)).alias("n_stems"),
+        F.concat_ws("|", "warnings").alias("warnings"),
+    ))
 
 
 def form_inputs(spark, d):
@@ -157,6 +190,31 @@ def expand_form_query(spark, d):
     return tidy(expand_form(form_inputs(spark, d)))
 
 
+_ACTION_FIELD = {"view": "drums.instrument_name", "click": "bass.pan", "purchase": "piano.instrument_name",
+                 "signup": "global.instrument_count", "error": "human_labels.harp"}
+
+
+@register("recorded_review_events", tidied(with_inputs([*EVENTS, "review_events"], f"""
+    SELECT e.seq, e.session_id AS analysis_id, a.field_id, e.outcome, f.field_name, f.instrument_label AS label, f.decision,
+           CASE WHEN e.outcome IN ('accept_after_edit', 'missing_label') THEN a.entered ELSE f.value END AS final_value,
+           CASE WHEN e.outcome IN ('accept_after_edit', 'missing_label') THEN coalesce(f.value, '空') || ' → ' || a.entered END AS edit_description,
+           coalesce(e.profile, 'default') AS profile, greatest(0.0::DOUBLE, e.elapsed_s) AS elapsed_s
+    FROM review_events e
+    JOIN (SELECT event_id AS seq, {A._case_sql('event_type', _ACTION_FIELD)} AS field_id, props AS entered FROM events) a USING (seq)
+    LEFT JOIN form f ON f.clip_id = e.session_id AND f.field_id = a.field_id""", **_FORM_PARTS), "elapsed_s"))
+def recorded_query(spark, d):
+    """Reviewers' actions joined to the form fields they were shown."""
+    actions = A.review_events(spark, d).select(
+        F.col("session_id").alias("analysis_id"), "seq", "outcome", F.coalesce("profile", F.lit("default")).alias("profile"),
+        F.lit(0.0).alias("shown_s"), F.col("elapsed_s").alias("acted_s"),
+    )
+    entered = A.table(spark, d, "events").select(
+        F.col("event_id").alias("seq"), A._case(F.col("event_type"), _ACTION_FIELD).alias("field_id"), F.col("props").alias("entered")
+    )
+    fields = expand_form(form_inputs(spark, d)).withColumnRenamed("clip_id", "analysis_id")
+    return tidy(record_events(actions.join(entered, "seq"), fields))
+
+
 @register("form_summary", tidied(with_inputs(EVENTS, """
     SELECT *, confirmed / total AS confirmed_coverage, (confirmed + candidate) / total AS prefill_coverage
     FROM (SELECT clip_id, count_if(decision = 'confirmed')::BIGINT AS confirmed, count_if(decision = 'candidate')::BIGINT AS candidate,

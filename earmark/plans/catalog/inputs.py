@@ -214,11 +214,13 @@ def session_log_query(spark, d):
     predicted = F.struct("field_name", F.col("label").alias("instrument_label"), "decision")
     one = F.struct(
         "field_id", "outcome", F.when(F.col("decision").isNotNull(), predicted).alias("original_prediction"),
+        F.col("field_id").alias("final_value"), F.lit(None).cast("string").alias("edit_description"),
         F.col("profile").alias("threshold_profile_name"), F.col("elapsed_s").alias("field_elapsed_seconds"),
     )
     two = F.struct(
         F.concat("field_id", F.lit("_b")).alias("field_id"), "outcome",
         F.lit(None).cast(files.FORM_FIELD).alias("original_prediction"),
+        F.lit(None).cast("string").alias("final_value"), F.lit(None).cast("string").alias("edit_description"),
         F.col("profile").alias("threshold_profile_name"), F.lit(1.0).alias("field_elapsed_seconds"),
     )
     kind = F.col("seq") % 6
@@ -235,4 +237,4 @@ def session_log_query(spark, d):
     )
     files.append_sessions(sessions.filter(F.col("session_no") % 2 == 0), path)
     files.append_sessions(sessions.filter(F.col("session_no") % 2 == 1), path)
-    return tidy(files.read_review_events(spark, path).drop("field_name", "profile"))
+    return tidy(files.read_review_events(spark, path).drop("field_name", "profile", "final_value", "edit_description"))

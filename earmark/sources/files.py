@@ -16,8 +16,8 @@ FORM_FIELD = (
     "struct<field_name: string, instrument_label: string, decision: string>"
 )
 REVIEW_EVENT = (
-    f"struct<field_id: string, outcome: string, original_prediction: {FORM_FIELD}, "
-    "threshold_profile_name: string, field_elapsed_seconds: double>"
+    f"struct<field_id: string, outcome: string, original_prediction: {FORM_FIELD}, final_value: string, "
+    "edit_description: string, threshold_profile_name: string, field_elapsed_seconds: double>"
 )
 SESSION = (
     f"analysis_id string, session_no bigint, events array<{REVIEW_EVENT}>, "
@@ -54,6 +54,28 @@ def write_scores_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").csv(path, header=True)
 
 
+COMPARISON = {
+    "stem_scores": "map<string,double>",
+    "stem_energy_ratios": "map<string,double>",
+    "warnings": "array<string>",
+}
+
+
+def write_comparison_csv(df: DataFrame, path: str) -> None:
+    """Mix against fused scores: nine columns, three of them as JSON text."""
+    flat = [F.to_json(c).alias(c) if c in COMPARISON else F.col(c) for c in df.columns]
+    df.select(*flat).write.mode("errorifexists").option("escape", '"').csv(path, header=True)
+
+
+def read_comparison_csv(spark: SparkSession, path: str) -> DataFrame:
+    schema = (
+        "sample_id string, dataset string, label string, target int, mix_score double, stem_scores string, "
+        "fused_score double, stem_energy_ratios string, warnings string"
+    )
+    flat = spark.read.schema(schema).csv(path, header=True, mode="FAILFAST", escape='"', enforceSchema=False)
+    return flat.select(*[F.from_json(c, COMPARISON[c]).alias(c) if c in COMPARISON else F.col(c) for c in flat.columns])
+
+
 # --- tracks and licenses ------------------------------------------------------
 
 def parse_tracks(rows: DataFrame, tag_sep: str = ",") -> DataFrame:
@@ -261,6 +283,8 @@ def read_review_events(spark: SparkSession, path: str) -> DataFrame:
         F.col("e.original_prediction.field_name").alias("field_name"),
         F.col("e.original_prediction.instrument_label").alias("label"),
         F.col("e.original_prediction.decision").alias("decision"),
+        F.col("e.final_value").alias("final_value"),
+        F.col("e.edit_description").alias("edit_description"),
         F.col("e.threshold_profile_name").alias("profile"),
         F.col("e.field_elapsed_seconds").alias("elapsed_s"),
     )
