@@ -36,6 +36,13 @@ def _inside(keys: Sequence[str]):
     return Window.partitionBy(*keys, "_slice").orderBy(*ORDER)
 
 
+def _switch(threshold: str, release_ratio: str) -> Column:
+    """True where a window switches on, False where it switches off, null where it holds."""
+    on = F.col("score") >= F.col(threshold)
+    off = F.col("score") < F.col(threshold) * F.col(release_ratio)
+    return F.when(on, True).when(off, False)
+
+
 def hysteresis(
     windows: DataFrame,
     *,
@@ -49,26 +56,41 @@ def hysteresis(
     The ratio must not exceed 1 (the rule dimension rejects it): then a window either switches
     on, switches off or holds, and the state is the last switch seen.
     """
-    on = F.col("score") >= F.col(threshold)
-    off = F.col("score") < F.col(threshold) * F.col(release_ratio)
-    switch = F.when(on, True).when(off, False)
+    switch = _switch(threshold, release_ratio)
     if slice_s is None:
         whole = Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
         state = F.last(switch, ignorenulls=True).over(whole)
         return windows.withColumn("is_active", F.coalesce(state, F.lit(False)))
-    marked = windows.withColumn("_slice", _slice(slice_s)).withColumn("_switch", switch)
+    return _sliced_state(windows, keys, switch, slice_s).select(*windows.columns, "is_active")
+
+
+def _sliced_state(windows: DataFrame, keys: Sequence[str], switch: Column, slice_s: float) -> DataFrame:
+    """Rows with ``is_active``, their ``_slice``, and ``_reach``: the furthest end of the active
+    windows in earlier slices.
+
+    One summary row per slice is enough for both: the state after the slice, and the furthest end
+    of the windows known to be active and of those that only hold what came before.
+    """
     upto = _inside(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = marked.withColumn("_state", F.last("_switch", ignorenulls=True).over(upto))
-    when_switched = F.when(F.col("_switch").isNotNull(), F.struct(*ORDER))
-    carried = (
-        marked.groupBy(*keys, "_slice")
-        .agg(F.max_by("_switch", when_switched).alias("_end"))
-        .select(*keys, "_slice", F.last("_end", ignorenulls=True).over(_earlier(keys)).alias("_carry"))
+    local = (
+        windows.withColumn("_slice", _slice(slice_s))
+        .withColumn("_switch", switch)
+        .withColumn("_state", F.last("_switch", ignorenulls=True).over(upto))
     )
-    return (
-        local.join(carried, [*keys, "_slice"])
-        .withColumn("is_active", F.coalesce("_state", "_carry", F.lit(False)))
-        .select(*windows.columns, "is_active")
+    state, end = F.col("_state"), F.col("end_s")
+    after = local.groupBy(*keys, "_slice").agg(
+        F.max_by("_state", F.struct(*ORDER)).alias("_after"),
+        F.max(F.when(state, end)).alias("_active_end"),
+        F.max(F.when(state.isNull(), end)).alias("_held_end"),
+    )
+    earlier = _earlier(keys)
+    carried = after.withColumn("_carry", F.last("_after", ignorenulls=True).over(earlier))
+    known_end = F.greatest("_active_end", F.when(F.col("_carry"), F.col("_held_end")))
+    passed = carried.withColumn("_known_end", known_end).select(
+        *keys, "_slice", "_carry", F.max("_known_end").over(earlier).alias("_reach")
+    )
+    return local.join(passed, [*keys, "_slice"]).withColumn(
+        "is_active", F.coalesce("_state", "_carry", F.lit(False))
     )
 
 
@@ -95,14 +117,18 @@ def merge_gaps(
         .agg(F.max("end_s").alias("_end"))
         .select(*keys, "_slice", F.max("_end").over(_earlier(keys)).alias("_reach"))
     )
+    return _merge_sliced(active.join(reach, [*keys, "_slice"]), keys, gap, keep)
+
+
+def _merge_sliced(active: DataFrame, keys: Sequence[str], gap: str, keep: Sequence[str]) -> DataFrame:
+    """Ranges per slice from active rows with ``_slice`` and ``_reach``, then stitched."""
     inside = _inside(keys)
     before = F.max("end_s").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     furthest = F.greatest(before, F.col("_reach"))
     opens = furthest.isNull() | (F.col("start_s") > furthest + F.col(gap))
     piece = F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     pieces = (
-        active.join(reach, [*keys, "_slice"])
-        .withColumn("_opens", opens.cast("int"))
+        active.withColumn("_opens", opens.cast("int"))
         .withColumn("_piece", piece)
         .groupBy(*keys, "_slice", "_piece")
         .agg(
@@ -190,6 +216,10 @@ def activity_intervals(
     ``windows`` carries its rules: threshold, release_ratio, gap_s, min_duration_s, min_windows.
     ``slice_for`` tells whether the keys need slices.
     """
-    active = hysteresis(windows, keys=keys, slice_s=slice_s)
-    ranges = merge_gaps(active, keys=keys, keep=["min_duration_s", "min_windows"], slice_s=slice_s)
+    keep = ["min_duration_s", "min_windows"]
+    if slice_s is None:
+        ranges = merge_gaps(hysteresis(windows, keys=keys), keys=keys, keep=keep)
+    else:
+        state = _sliced_state(windows, keys, _switch("threshold", "release_ratio"), slice_s)
+        ranges = _merge_sliced(state.filter("is_active"), keys, "gap_s", keep)
     return summarise_intervals(ranges, keys=keys)
