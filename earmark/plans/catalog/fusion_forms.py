@@ -32,9 +32,8 @@ def _stems(spark, d):
 
 
 def _stem_spatial(spark, d):
-    """A stereo class for the drum and bass stems of every second clip."""
-    chosen = F.col("stem").isin("drums", "bass") & (F.col("clip_id") % 2 == 0)
-    return _stems(spark, d).filter(chosen).select("clip_id", "stem").distinct().select(
+    """A stereo class for the drum stems; the others were not analysed."""
+    return _stems(spark, d).filter(F.col("stem") == "drums").select("clip_id", "stem").distinct().select(
         "clip_id",
         "stem",
         F.when(F.col("clip_id") % 4 == 0, "left").otherwise("center").alias("pan"),
@@ -82,7 +81,7 @@ _FUSION_PARTS = {
            concat_ws('|', CASE WHEN stem_score IS NOT NULL AND energy < 0.01::DOUBLE THEN 'supported_stem_energy_too_low' END,
                      CASE WHEN stem IS NULL AND has_other THEN 'other_stem_not_used_for_instrument_identity' END) AS warnings,
            coalesce(n_stems, 0) AS n_stems
-    FROM (SELECT f.*, f.stem_score IS NOT NULL AND f.energy >= 0.01::DOUBLE AND f.clip_id % 2 = 0 AND f.stem IN ('drums', 'bass') AND
+    FROM (SELECT f.*, f.stem_score IS NOT NULL AND f.energy >= 0.01::DOUBLE AND f.stem = 'drums' AND
                  EXISTS (SELECT 1 FROM stem_scores x WHERE x.clip_id = f.clip_id AND x.stem = f.stem) AS taken FROM fused f)""",
     **_FUSION_PARTS), "mix_score", "fused_score"))
 def fuse_query(spark, d):

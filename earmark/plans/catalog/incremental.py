@@ -48,7 +48,7 @@ def fold_query(spark, d):
     return tidy(fold_task_patches(A.task_patches(spark, d)))
 
 
-_CACHE = "SELECT sample_id, label, score FROM required WHERE (sample_id::BIGINT * 7 + length(label)) % 4 <> 0"
+_CACHE = "SELECT sample_id, label, score FROM required WHERE score > 0.2::DOUBLE AND (label = 'bass' OR dataset <> 'fr')"
 _REQUIRED = "SELECT * FROM doc_predictions WHERE target IS NOT NULL"
 _CACHED = """
     SELECT * FROM required WHERE sample_id NOT IN (
@@ -58,7 +58,7 @@ _SPLIT_PARTS = {"required": _REQUIRED, "cache": _CACHE, "cached": _CACHED}
 
 def _split(spark, d):
     required = A.doc_predictions(spark, d).filter(F.col("target").isNotNull())
-    kept = (F.col("sample_id").cast("long") * 7 + F.length("label")) % 4 != 0
+    kept = (F.col("score") > 0.2) & ((F.col("label") == "bass") | (F.col("dataset") != "fr"))
     cache = required.filter(kept).select("sample_id", "label", "score")
     return required, split_cached(required.drop("score"), cache)
 
@@ -116,11 +116,11 @@ def head_query(spark, d):
 
 
 @register("captured_failures", """
-    SELECT event_id, CASE WHEN value > 200 THEN 'too_large' ELSE 'props_unreadable' END AS error FROM events
-    WHERE value > 200 OR (props->>'k')::INT % 10 = 3""")
+    SELECT event_id, CASE WHEN value > 200 THEN 'too_large' ELSE 'props_out_of_range' END AS error FROM events
+    WHERE value > 200 OR (props->>'k')::INT >= 90""")
 def failures_query(spark, d):
     k = F.get_json_object("props", "$.k").try_cast("int")
-    reason = F.when(F.col("value") > 200, "too_large").when(k.isNull() | (k % 10 == 3), "props_unreadable")
+    reason = F.when(F.col("value") > 200, "too_large").when(k.isNull() | (k >= 90), "props_out_of_range")
     _, failed = with_failures(A.table(spark, d, "events"), reason)
     return failed.select("event_id", "error")
 

@@ -68,13 +68,13 @@ def line_lookup_query(spark, d):
 
 
 @register("track_licenses", """
-    SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN 'license ' || page_id
+    SELECT page_id, url, CASE WHEN url LIKE '%1%' THEN 'license ' || page_id
                          ELSE 'Creative Commons; exact license unavailable in parsed metadata' END AS license FROM pages""")
 def license_query(spark, d):
     """License text of a track by path, with the default where the list has none."""
     pages = A.table(spark, d, "pages").select("page_id", "url")
     tracks = pages.withColumn("path", F.concat("page_id", F.lit(".mp3")))
-    listed = tracks.filter(F.col("page_id") % 3 == 0).select(
+    listed = tracks.filter(F.col("url").contains("1")).select(
         F.col("page_id").alias("file"),
         F.posexplode(F.array("path", F.lit(""), F.concat(F.lit("license "), "page_id"))).alias("line_no", "line"),
     )
@@ -235,6 +235,6 @@ def session_log_query(spark, d):
         F.lit(None).cast("double").alias("baseline_manual_seconds"),
         F.lit(1.2).alias("model_analysis_seconds"),
     )
-    files.append_sessions(sessions.filter(F.col("session_no") % 2 == 0), path)
-    files.append_sessions(sessions.filter(F.col("session_no") % 2 == 1), path)
+    files.append_sessions(sessions.filter(F.col("total_review_seconds") >= 50), path)
+    files.append_sessions(sessions.filter(F.col("total_review_seconds") < 50), path)
     return tidy(files.read_review_events(spark, path).drop("field_name", "profile", "final_value", "edit_description"))

@@ -94,12 +94,20 @@ def binary_metrics_query(spark, d):
     return tidy(binary_metrics(preds, ["label"], tie_break=TIE))
 
 
-@register("average_precision", tidied(with_inputs(["predictions"],
-    _AP.format(keys="label", source="predictions", tie="sample_no, sample_id")), "pr_auc"))
+_AP_SQL = tidied(with_inputs(["predictions"], _AP.format(keys="label", source="predictions", tie="sample_no, sample_id")), "pr_auc")
+
+
+@register("average_precision", _AP_SQL)
 def average_precision_query(spark, d):
     return tidy(average_precision(A.predictions(spark, d), ["label"], TIE))
 
 
+@register("average_precision_large_ties", _AP_SQL)
+def average_precision_large_query(spark, d):
+    """The same with a limit so low that tie groups are cut into slices."""
+    return tidy(average_precision(A.predictions(spark, d), ["label"], TIE, limit=50))
+
+
 _LEVELS = """
     SELECT label, score, sum(n) OVER w AS predicted, sum(tp) OVER w AS hits, sum(n) OVER (PARTITION BY label) AS samples,
            sum(tp) OVER (PARTITION BY label) AS positives
