@@ -160,3 +160,12 @@ def test_scorer_shape_is_checked(spark):
     assert got == {1: [2.0, 4.0], 2: [6.0, 8.0]}
     with pytest.raises(Exception, match="scorer returned shape"):
         apply_scorer(df, lambda: lambda x: x[:, :1], ["p", "q"], keep=["id"]).collect()
+
+
+@pytest.mark.parametrize("limit", [100, 1])
+def test_no_baseline_gives_no_saving(spark, limit):
+    rows = [(8.0, None, 1.2), (6.0, 0.0, 1.2)]
+    row = time_savings(spark.createDataFrame(rows, "total_review_s double, baseline_s double, model_s double"), limit=limit).first()
+    assert (row.n_timed, row.mean_saving, row.median_saving, row.median_review_s) == (0, None, None, 7.0)
+    empty = spark.createDataFrame([], "total_review_s double, baseline_s double, model_s double")
+    assert time_savings(empty).first().n_sessions == 0

@@ -150,3 +150,11 @@ def test_channel_shapes(spark):
     df = spark.createDataFrame([("a", 0, [0.2]), ("a", 1, [0.2, 0.4]), ("a", 2, [0.3, 0.6, 0.9])], "clip_id string, i int, ch array<double>")
     got = [tuple(round(v, 6) for v in (r.mono, r.l, r.r)) for r in shape_channels(df).orderBy("i").collect()]
     assert got == [(0.2, 0.2, 0.2), (0.3, 0.2, 0.4), (0.6, 0.3, 0.6)]
+
+
+@pytest.mark.parametrize("limit", [1000, 1])
+def test_silent_clip_has_no_active_frames(spark, limit):
+    df = spark.range(100).select(F.lit("z").alias("clip_id"), F.col("id").alias("i"), F.lit(0.0).alias("mono"))
+    row = envelope_features(df, 100, size=20, hop=10, limit=limit).first()
+    assert (row.onset_strength, row.temporal_decay_s, row.dynamic_range_db) == (0.0, 0.0, 0.0)
+    assert zero_crossing_rate(df).first().zero_crossing_rate == 0.0
