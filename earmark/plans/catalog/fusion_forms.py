@@ -10,10 +10,9 @@ from earmark.operators.fusion import energy_ratios, fuse, fuse_for_comparison
 from earmark.operators.decisions import decision
 from earmark.operators.review import record_events
 from earmark.plans import adapters as A
-from earmark.plans.activity import label_decisions
 from earmark.plans.adapters import profile_sql, with_inputs
 from earmark.plans.catalog.registry import register, tidied, tidy
-from earmark.plans.catalog.scores import EVENTS, events_canonical, score_parts
+from earmark.plans.catalog.scores import EVENTS, events_decisions, score_parts
 from earmark.session import scratch_path
 from earmark.sources import files
 from earmark.sources.dims import with_profile
@@ -132,7 +131,7 @@ def separation_csv_query(spark, d):
 
 def form_inputs(spark, d):
     """Decisions with a stem image for some labels and a timbre text for others."""
-    decisions = label_decisions(events_canonical(spark, d), PROFILE)
+    decisions = events_decisions(spark, d)
     label, clip = F.col("canonical_label"), F.col("clip_id")
     stemmed = label.isin("drums", "bass") & (clip % 2 == 0)
     image = F.when(stemmed & (clip % 3 == 0), "left").when(stemmed & (clip % 3 == 1), "center").otherwise("unknown")

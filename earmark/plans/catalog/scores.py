@@ -19,7 +19,13 @@ from earmark.operators.labels import (
 from earmark.operators.scores import KEYS, presence_score, score_statistics, top_fraction_mean
 from earmark.operators.windows import cadence_bounds, sliding_windows
 from earmark.plans import adapters as A
-from earmark.plans.activity import label_activity, label_intervals, with_rules
+from earmark.plans.activity import (
+    label_activity,
+    label_decisions,
+    label_intervals,
+    small_clips,
+    with_rules,
+)
 from earmark.plans.adapters import profile_sql, rules_sql, with_inputs
 from earmark.plans.catalog.registry import register, tidied, tidy
 
@@ -100,6 +106,17 @@ def events_canonical(spark, d):
     return canonical_scores(A.frame_scores(spark, d))
 
 
+def events_statistics(spark, d):
+    """Statistics per clip and label; clip sizes are read off the raw scores, before any shuffle."""
+    scores = A.frame_scores(spark, d)
+    return score_statistics(canonical_scores(scores), PROFILE, known_small=small_clips(scores))
+
+
+def events_decisions(spark, d):
+    scores = A.frame_scores(spark, d)
+    return label_decisions(canonical_scores(scores), PROFILE, known_small=small_clips(scores))
+
+
 # --- label mapping ---------------------------------------------------------------
 
 _TARGETS = ", ".join(f"('{label}', '{tag}')" for label, tags in C.FULL_TAG_TARGETS.items() for tag in tags)
@@ -173,7 +190,7 @@ def _stats_sql(source: str, inputs: list[str]) -> str:
 
 @register("score_statistics", _stats_sql("frame_scores", EVENTS))
 def score_statistics_query(spark, d):
-    return tidy(score_statistics(events_canonical(spark, d), PROFILE).select(*KEYS, *STATISTICS))
+    return tidy(events_statistics(spark, d).select(*KEYS, *STATISTICS))
 
 
 @register("score_statistics_large_groups", _stats_sql("frame_scores", EVENTS))
@@ -189,14 +206,14 @@ def top_fraction_query(spark, d):
 
 @register("presence_decision", tidied(with_inputs(EVENTS, "SELECT clip_id, canonical_label, score, decision FROM decided", **score_parts("frame_scores")), "score"))
 def presence_decision(spark, d):
-    stats = score_statistics(events_canonical(spark, d), PROFILE)
-    return tidy(decide(presence_score(stats)).select(*KEYS, "score", "decision"))
+    return tidy(decide(presence_score(events_statistics(spark, d))).select(*KEYS, "score", "decision"))
 
 
 @register("presence_score", tidied(with_inputs(VECTORS, "SELECT clip_id, canonical_label, top_mean, p95, score FROM decided", **score_parts("raw_scores")), "top_mean", "p95", "score"))
 def presence_score_query(spark, d):
-    dense = canonical_scores_dense(A.window_vectors(spark, d), A.RAW)
-    return tidy(presence_score(score_statistics(dense, PROFILE)).select(*KEYS, "top_mean", "p95", "score"))
+    windows = A.window_vectors(spark, d)
+    stats = score_statistics(canonical_scores_dense(windows, A.RAW), PROFILE, known_small=small_clips(windows))
+    return tidy(presence_score(stats).select(*KEYS, "top_mean", "p95", "score"))
 
 
 # labels that the profile may confirm, paired up so that the rule has something to do
@@ -214,7 +231,7 @@ _GROUP_SQL = " ".join(f"WHEN '{label}' THEN '{group}'" for label, group in GROUP
     placed=f"""SELECT *, row_number() OVER (PARTITION BY clip_id, grp ORDER BY score DESC, canonical_label) AS rk
                FROM (SELECT *, CASE canonical_label {_GROUP_SQL} END AS grp FROM decided)"""), "score"))
 def demote_query(spark, d):
-    decided = decide(presence_score(score_statistics(events_canonical(spark, d), PROFILE)))
+    decided = decide(presence_score(events_statistics(spark, d)))
     return tidy(demote_ambiguous(decided.select(*KEYS, "score", "decision"), taxonomy=GROUPED))
 
 

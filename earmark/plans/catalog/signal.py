@@ -23,8 +23,7 @@ from earmark.operators.timbre import (
 from earmark.plans import adapters as A
 from earmark.plans.adapters import SIGNAL_RATE, with_inputs
 from earmark.plans.catalog.registry import register, tidied, tidy
-from earmark.plans.catalog.scores import EVENTS, events_canonical, score_parts
-from earmark.plans.activity import label_decisions
+from earmark.plans.catalog.scores import EVENTS, events_decisions, score_parts
 
 # envelope frames at the stand-in rate of 100 samples per second
 ENVELOPE = {"size": 20, "hop": 10}
@@ -157,7 +156,7 @@ _NOTES_LIST = """
     **_CHANNELS, notes=_NOTES_LIST, moments=_MOMENTS, frames=_FRAMES, track=_TRACK, spatial=_SPATIAL, **score_parts("frame_scores")))
 def result_warnings_query(spark, d):
     notes = clip_warnings(A.clips(spark, d), A.channel_samples(spark, d))
-    decisions = label_decisions(events_canonical(spark, d), "calibrated_public_v1").select(
+    decisions = events_decisions(spark, d).select(
         "clip_id", "decision", F.lit(False).alias("has_timbre")
     )
     found = result_warnings(notes, _spatial(spark, d), decisions)
