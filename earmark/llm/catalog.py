@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
 from earmark.llm import bpe, language, learned, licenses, neardup, packing, pseudonyms, quality, token_files, vafile
+from earmark.llm.blocks import clean
 from earmark.llm.common import remainder
 from earmark.session import scratch_path
 
@@ -20,11 +21,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced."""
-    return pseudonymous(_table(spark, sf_dir, "documents"))
-
-
-def pseudonymous(docs: DataFrame) -> DataFrame:
-    return pseudonyms.pseudonymise(docs).select("doc_id", "text", "kinds", "n_replaced")
+    docs = pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "text", "kinds", "n_replaced")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +36,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose three-word shingle sets agree by 85 in 100."""
     return neardup.near_duplicates(
-        _table(spark, sf_dir, "documents"), words=3, similarity=85, words_of=neardup.ASCII_LOWER_WORDS
+        _table(spark, sf_dir, "documents"), words=3, similarity=85
     )
 
 
@@ -50,8 +48,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five largest integer inner products of every fiftieth vector."""
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
-    clean = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    vectors = _table(spark, sf_dir, "embeddings").filter(F.col("embedding").isNotNull() & clean)
+    vectors = _table(spark, sf_dir, "embeddings").filter(clean(F.col("embedding"), True))
     vectors = vectors.select("vec_id", whole.alias("vector"))
     return vafile.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
 

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import LongType
 
 from earmark.llm.common import named, sliced, small_batches
 from earmark.llm.pieces import encoder
@@ -103,7 +104,7 @@ def lookup(spark: SparkSession, path: str, ids: list[int], id_col: str = "doc_id
     return spark.read.orc(path).filter(F.col(id_col).isin(ids)).select(id_col, "n_tokens", "ids")
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def ids_crc32(ids: pa.Array) -> pa.Array:
     """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
     flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
