@@ -29,8 +29,8 @@ from earmark.llm.pieces import CUT
 
 # the division into pieces that byte-level vocabularies of this family state as their pattern (fixed value)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MAX_ENTRIES = 400_000
-MAX_ENTRY_CHARS = 12_000_000
+MAX_ENTRIES = 600_000
+MAX_ENTRY_CHARS = 16_000_000
 # symbols up to which a fragment is merged by plain scans
 SHORT = 24
 NO_MERGE = (1 << 60, -1)

@@ -15,8 +15,9 @@ import numpy as np
 
 # a space before a visible character; other spaces stay with the piece before them
 CUT = re.compile(r" (?=\S)")
-MAX_PIECES = 400_000
-MAX_PIECE_CHARS = 12_000_000
+ODD_SPACE = re.compile(r" (?:\s|$)")
+MAX_PIECES = 1_000_000
+MAX_PIECE_CHARS = 24_000_000
 
 _LOADED: dict[tuple[str, bool], PieceEncoder] = {}
 
@@ -37,31 +38,51 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.lead = " " if space_counts else ""
+        self.folds = "Lowercase" in str(self.tokenizer.normalizer)
+        self.marks = {m: self._raw([m])[0] for m in ".,"}
         self.known: dict[str, bytes] = {}
         self.chars = 0
 
+    def _raw(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, pieces: Iterable[str]) -> None:
-        missing = list(set(pieces).difference(self.known))
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            encoded = self.tokenizer.encode_batch_fast([self.lead + p for p in part], add_special_tokens=False)
-            for piece, e in zip(part, encoded):
-                self.known[piece] = np.array(e.ids, dtype="<u4").tobytes()
-                self.chars += len(piece)
+        """Encode what is new. A full stop or comma after a Latin word is a piece of its own, and a vocabulary
+        without capitals has one entry for all spellings of a Latin word."""
+        known = self.known
+        fresh, derived = set(), []
+        for piece in set(pieces).difference(known):
+            stem, mark = (piece[:-1], piece[-1]) if piece[-1:] in self.marks else (piece, "")
+            if not stem.isalpha() or max(stem) > "\u00ff":
+                fresh.add(piece)
+                continue
+            if self.folds:
+                stem = stem.lower()
+            if stem != piece:
+                derived.append((piece, stem, mark))
+            if stem not in known:
+                fresh.add(stem)
+        todo = list(fresh)
+        for i in range(0, len(todo), 20_000):
+            part = todo[i : i + 20_000]
+            known.update(zip(part, self._raw([self.lead + p for p in part])))
+        for piece, stem, mark in derived:
+            known[piece] = known[stem] + self.marks[mark] if mark else known[stem]
+        self.chars += sum(map(len, todo)) + sum(len(p) for p, _, _ in derived)
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
-        parts = [CUT.split(t) for t in texts]
+        # where the space is dropped, or always stands before a visible character, every space is a cut
+        every = not self.lead
+        parts = [t.split(" ") if every or not ODD_SPACE.search(t) else CUT.split(t) for t in texts]
         wanted = set()
         for p in parts:
             wanted.update(p[1:])
         if len(self.known) + len(wanted) > MAX_PIECES or self.chars > MAX_PIECE_CHARS:
             self.known, self.chars = {}, 0
         self._learn(wanted)
-        heads = self.tokenizer.encode_batch_fast([p[0] for p in parts], add_special_tokens=False)
+        heads = self._raw([p[0] for p in parts])
         get = self.known.__getitem__
-        return [
-            np.array(h.ids, dtype="<u4").tobytes() + b"".join(map(get, p[1:])) for h, p in zip(heads, parts)
-        ]
+        return [h + b"".join(map(get, p[1:])) for h, p in zip(heads, parts)]
 
 
 def encoder(path: str, space_counts: bool) -> PieceEncoder:
