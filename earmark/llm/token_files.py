@@ -28,6 +28,7 @@ from earmark.llm.pieces import encoder
 INDEX_STRIDE = 1_000
 STRIPE_BYTES = 16 * 1024 * 1024
 BLOOM_FPP = 0.01
+MAX_BROADCAST_PARTS = 100_000
 
 
 def write_tokens(
@@ -93,6 +94,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         rows.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
         .select("part", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
     )
+    if parts.count() <= MAX_BROADCAST_PARTS:  # two numbers a part, and a part is a task of the writer
+        parts = F.broadcast(parts)
     return rows.join(parts, "part").select(
         *[c for c in rows.columns if c not in ("part", "part_start")],
         (F.col("_before") + F.col("part_start")).alias("start"),
