@@ -29,16 +29,28 @@ def half_even_samples(seconds: float, rate: Column) -> Column:
 
 
 def value_bucket(value: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
-    """Order-preserving bucket of a finite number: x < y implies bucket(x) <= bucket(y).
+    """Order-preserving bucket of a number: x < y implies bucket(x) <= bucket(y), as Spark sorts.
+
+    Null comes first, then -inf, the finite numbers, inf and NaN.
 
     Buckets are spaced evenly in log2, so crowding near 0 is spread over many of them. A
     float32 score has 2**23 values per octave, hence at most 8192 distinct ones per bucket.
     The rule is plain arithmetic: every evaluation and every retry gives the same bucket.
     """
-    x = value.cast("double")
+    given = value.cast("double")
+    odd = F.isnan(given) | (F.abs(given) == F.lit(float("inf")))
+    x = F.when(odd, F.lit(1.0)).otherwise(given)
     size = F.floor(F.log2(F.abs(x)) * per_octave) + F.lit(_OCTAVE_SHIFT * per_octave)
+    last = F.lit(4 * _OCTAVE_SHIFT * per_octave).cast("long")
     # never null, so that joins on a bucket add no filter and equal scans can share one exchange
-    return F.coalesce(F.when(x > 0, size).when(x < 0, -size).cast("long"), F.lit(0).cast("long"))
+    return (
+        F.when(given.isNull(), -last - 1)
+        .when(F.isnan(given), last + 1)
+        .when(odd, F.when(given > 0, last).otherwise(-last))
+        .when(x > 0, size.cast("long"))
+        .when(x < 0, -size.cast("long"))
+        .otherwise(F.lit(0).cast("long"))
+    )
 
 
 def literal_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:

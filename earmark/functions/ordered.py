@@ -21,6 +21,20 @@ MAX_WINDOW_ROWS = 5_000_000
 MAX_BROADCAST_KEYS = 100_000
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the key columns are those of ``left``."""
+    other = right.select(*[F.col(c).alias(f"_on_{c}" if c in keys else c) for c in right.columns])
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+    return left.join(other, condition, how).drop(*[f"_on_{k}" for k in keys])
+
+
+def key_of(keys: Sequence[str]) -> Column:
+    """The key columns as one value that is never null, so that rows with a null key stay in joins."""
+    return F.struct(*keys) if keys else F.lit(0)
+
+
 def running_totals(
     table: DataFrame,
     keys: Sequence[str],
@@ -36,23 +50,23 @@ def running_totals(
     (keys, value, then): collapse equal values first, so that a hot value is one row.
     """
     bucket = value_bucket(F.col(value))
-    placed = table.withColumn("_bucket", -bucket if descending else bucket)
-    along = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    totals = placed.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
+    placed = table.withColumn("_bucket", -bucket if descending else bucket).withColumn("_total_key", key_of(keys))
+    along = Window.partitionBy("_total_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_total_key")
+    totals = placed.groupBy("_total_key", "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
     offsets = totals.select(
-        *keys,
+        "_total_key",
         "_bucket",
         *[F.coalesce(F.sum(m).over(along), F.lit(0)).alias(f"_{m}_offset") for m in measures],
         *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures],
     )
     direction = F.col(value).desc() if descending else F.col(value).asc()
     inside = (
-        Window.partitionBy(*keys, "_bucket")
+        Window.partitionBy("_total_key", "_bucket")
         .orderBy(direction, *then)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return placed.join(offsets, [*keys, "_bucket"]).select(
+    return placed.join(offsets, ["_total_key", "_bucket"]).select(
         *table.columns,
         *[
             (F.coalesce(F.sum(m).over(inside), F.lit(0)) + F.col(f"_{m}_offset")).alias(f"{m}_before")
@@ -73,16 +87,16 @@ def dense_index(
     if oversized_keys(df, keys, limit) is None:
         position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
         return df.withColumn(name, position.cast("long"))
-    placed = df.withColumn("_bucket", value_bucket(F.col(order[0])))
-    along = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.withColumn("_bucket", value_bucket(F.col(order[0]))).withColumn("_key", key_of(keys))
+    along = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy(*keys, "_bucket")
+        placed.groupBy("_key", "_bucket")
         .agg(F.count("*").alias("_n"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_offset"))
+        .select("_key", "_bucket", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_offset"))
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    inside = Window.partitionBy("_key", "_bucket").orderBy(*order)
     return (
-        placed.join(offsets, [*keys, "_bucket"])
+        placed.join(offsets, ["_key", "_bucket"])
         .withColumn(name, F.row_number().over(inside) - 1 + F.col("_offset"))
         .select(*df.columns, F.col(name).cast("long").alias(name))
     )
@@ -144,7 +158,7 @@ def order_statistics(
     columns = list(dict.fromkeys(c for c, _ in [*percentiles.values(), *tops.values()]))
     source, rows_each = counted or (df, 1)
     big = None if known_small else oversized_keys(source, keys, limit * rows_each)
-    usual = df if big is None else df.join(big, [*keys], "left_anti") if keys else df.limit(0)
+    usual = df if big is None else join_on(df, big, keys, "left_anti") if keys else df.limit(0)
 
     arrays = usual.groupBy(*keys).agg(
         *[F.sort_array(F.collect_list(c)).alias(f"_values_{c}") for c in columns],
@@ -171,7 +185,7 @@ def order_statistics(
     if not keys:
         return _large_order_statistics(df, keys, columns, percentiles, tops, extra)
     large = _large_order_statistics(
-        df.join(big, [*keys], "left_semi"), keys, columns, percentiles, tops, extra
+        join_on(df, big, keys, "left_semi"), keys, columns, percentiles, tops, extra
     )
     return result.unionByName(large)
 
@@ -201,13 +215,15 @@ def _large_order_statistics(df, keys, columns, percentiles, tops, extra) -> Data
     for out, (c, f) in tops.items():
         k = _top_count(total, f)
         taken = F.greatest(F.lit(0), after - F.greatest(first, total - k))
-        picks.append(F.sum(F.when(F.col("_name") == c, taken * F.col("_value") / k)).alias(f"_{out}"))
+        counts = (F.col("_name") == c) & (taken > 0)  # no share of an infinite value is not a number
+        picks.append(F.sum(F.when(counts, taken * F.col("_value") / k)).alias(f"_{out}"))
         finals.append(F.col(f"_{out}").alias(out))
     picked = ranked.groupBy(*keys).agg(*picks)
-    if not extra:
-        return picked.select(*keys, *finals)
-    alongside = df.groupBy(*keys).agg(*[e.alias(n) for n, e in extra.items()])
-    joined = picked.join(alongside, [*keys]) if keys else picked.crossJoin(alongside)
+    if not keys and not extra:
+        return picked.select(*finals)
+    # every group has its row, also one whose values are all null
+    alongside = df.groupBy(*keys).agg(*[e.alias(n) for n, e in extra.items()]) if extra else df.select(*keys).distinct()
+    joined = join_on(alongside, picked, keys, "left") if keys else picked.crossJoin(alongside)
     return joined.select(*keys, *extra, *finals)
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from earmark.functions.ordered import MAX_WINDOW_ROWS, oversized_keys
+from earmark.functions.ordered import MAX_WINDOW_ROWS, join_on, oversized_keys
 
 KEYS = ("clip_id", "canonical_label")
 ORDER = ("start_s", "window_idx")
@@ -89,7 +89,7 @@ def _sliced_state(windows: DataFrame, keys: Sequence[str], switch: Column, slice
     passed = carried.withColumn("_known_end", known_end).select(
         *keys, "_slice", "_carry", F.max("_known_end").over(earlier).alias("_reach")
     )
-    return local.join(passed, [*keys, "_slice"]).withColumn(
+    return join_on(local, passed, [*keys, "_slice"]).withColumn(
         "is_active", F.coalesce("_state", "_carry", F.lit(False))
     )
 
@@ -117,7 +117,7 @@ def merge_gaps(
         .agg(F.max("end_s").alias("_end"))
         .select(*keys, "_slice", F.max("_end").over(_earlier(keys)).alias("_reach"))
     )
-    return _merge_sliced(active.join(reach, [*keys, "_slice"]), keys, gap, keep)
+    return _merge_sliced(join_on(active, reach, [*keys, "_slice"]), keys, gap, keep)
 
 
 def _merge_sliced(active: DataFrame, keys: Sequence[str], gap: str, keep: Sequence[str]) -> DataFrame:

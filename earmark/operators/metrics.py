@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earmark import constants as C
 from earmark.functions.columns import f1_score, ratio, value_bucket
-from earmark.functions.ordered import MAX_WINDOW_ROWS, oversized_keys, running_totals
+from earmark.functions.ordered import MAX_WINDOW_ROWS, join_on, key_of, oversized_keys, running_totals
 from earmark.operators.decisions import decision
+from earmark.operators.quality import validate_scores
 
 
 def binary_metrics(
@@ -17,8 +18,11 @@ def binary_metrics(
 ) -> DataFrame:
     """Metrics per key at the ``threshold`` column of each row (constant within a key).
 
-    With ``tie_break`` the average precision is added as ``pr_auc``.
+    With ``tie_break`` the average precision is added as ``pr_auc``. Scores are clipped to [0, 1]; a row
+    with a target other than 0 or 1 or a score that is not finite fails the job (set such rows aside
+    with ``validate_scores`` first).
     """
+    preds = validate_scores(preds)
     hit, true = F.col("score") >= F.col("threshold"), F.col("target") == 1
     counts = preds.groupBy(*keys).agg(
         F.max("threshold").alias("threshold"),
@@ -38,7 +42,7 @@ def binary_metrics(
     ).withColumn("f1", f1_score(F.col("precision"), F.col("recall")))
     if tie_break is None:
         return rated
-    return rated.join(average_precision(preds, keys, tie_break), list(keys))
+    return join_on(rated, average_precision(preds, keys, tie_break), list(keys))
 
 
 def _tie_slice(preds: DataFrame, column: str) -> Column:
@@ -57,22 +61,22 @@ def average_precision(
     one tie group are ordered together, never a label. If a tie group exceeds ``limit`` rows (say,
     a third of all rows at exactly 1.0), ties are cut further into slices along ``tie_break``.
     """
-    ties = [*keys, "score"]
+    ties = ["_key", "score"]
     then: list[str] = []
-    rows = preds.select(*ties, "target", *tie_break)
+    rows = validate_scores(preds).withColumn("_key", key_of(keys)).select(*ties, "target", *tie_break)
     if oversized_keys(rows, ties, limit) is not None:
         then = ["_tie"]
         rows = rows.withColumn("_tie", _tie_slice(preds, tie_break[0]))
     groups = [*ties, *then]
     hits = F.sum(F.col("target").cast("long"))
     hist = rows.groupBy(*groups).agg(F.count("*").alias("n"), hits.alias("tp"))
-    before = running_totals(hist, keys, "score", ["n", "tp"], descending=True, then=then)
+    before = running_totals(hist, ["_key"], "score", ["n", "tp"], descending=True, then=then)
     inside = Window.partitionBy(*groups).orderBy(*tie_break)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # a merge join leaves the rows partitioned as the ranking window needs them: one shuffle for both
     offsets = before.select(*groups, "n_before", "tp_before").hint("merge")
     ranked = rows.join(offsets, groups).select(
-        *keys,
+        *[F.col("_key")[k].alias(k) for k in keys],
         "target",
         (F.col("n_before") + F.row_number().over(inside)).alias("rank"),
         (F.col("tp_before") + hits.over(upto)).alias("hits"),
@@ -116,4 +120,5 @@ def decision_ratios(counts: DataFrame) -> DataFrame:
 
 def decision_coverage(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mutually exclusive confirmed / candidate / unknown counts, coverages and precisions."""
+    preds = validate_scores(preds)
     return decision_ratios(preds.groupBy(*keys).agg(*decision_counts(preds)))

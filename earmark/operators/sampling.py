@@ -8,19 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earmark.functions.columns import literal_table
 
-# chosen rows number at most quota x labels x 2; beyond this they are joined by shuffle
-BROADCAST_ROWS = 500_000
-
-
 def seeded_order(key: str, seed: int) -> Column:
     """A reproducible shuffle: order by the digest of key and seed."""
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
 
 
-def _bounded(chosen: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(chosen) if rows <= BROADCAST_ROWS else chosen
-
-
 def quota_sample(
     pool: DataFrame, quota: int, order: Sequence[Column | str], *, key: str = "sample_id"
 ) -> DataFrame:
@@ -64,11 +56,10 @@ def second_split(
     quota: int,
     order: Sequence[Column | str],
     *,
-    taken_rows: int,
     key: str = "sample_id",
 ) -> DataFrame:
-    """Quota sample from the records the first split did not take (``taken_rows`` bounds those)."""
-    used = _bounded(taken.select(key).distinct(), taken_rows)
+    """Quota sample from the records the first split did not take."""
+    used = taken.select(key).distinct()  # Spark chooses the join by the size it finds
     return quota_sample(pool.join(used, key, "left_anti"), quota, order, key=key)
 
 
@@ -77,7 +68,6 @@ def greedy_partial_sample(
     quota: int,
     order: Sequence[Column | str],
     *,
-    n_labels: int,
     key: str = "sample_id",
 ) -> DataFrame:
     """Scan in order, take a record if it helps any unfilled (label, target); all its judgments count.
@@ -87,8 +77,7 @@ def greedy_partial_sample(
     of all its pairs finds every counter full. So keep records with any rank <= quota.
     """
     first = quota_sample(pool, quota, order, key=key).select(key).distinct()
-    chosen = _bounded(first, quota * n_labels * 2)
-    return pool.filter(F.col("target").isNotNull()).join(chosen, key, "left_semi")
+    return pool.filter(F.col("target").isNotNull()).join(first, key, "left_semi")
 
 
 def leaking_groups(samples: DataFrame) -> DataFrame:
@@ -109,10 +98,9 @@ def assert_no_leak(samples: DataFrame) -> DataFrame:
     return samples
 
 
-def late_fetch(chosen: DataFrame, wide: DataFrame, key: str, columns: Sequence[str], *, chosen_rows: int) -> DataFrame:
-    """Payload columns of the chosen rows only; ``chosen_rows`` bounds their number.
+def late_fetch(chosen: DataFrame, wide: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Payload columns of the chosen rows only.
 
     Choosing reads narrow columns; the payload scan is a second one that keeps matching keys.
     """
-    wanted = _bounded(chosen.select(key).distinct(), chosen_rows)
-    return wide.select(key, *columns).join(wanted, key, "left_semi")
+    return wide.select(key, *columns).join(chosen.select(key).distinct(), key, "left_semi")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from earmark import constants as C
 from earmark.functions.columns import f1_score, ratio
-from earmark.functions.ordered import running_totals
-from earmark.operators.quality import applicable
+from earmark.functions.ordered import join_on, running_totals
+from earmark.operators.quality import applicable, validate_scores
 
 
 def score_histogram(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -42,8 +42,10 @@ def search_threshold(
     """Threshold of largest coverage among those meeting the precision target.
 
     Coverage grows strictly as the threshold falls, so the choice is the lowest qualified score.
-    No qualified score gives threshold 1.0 and zeros.
+    No qualified score gives threshold 1.0 and zeros. Scores are clipped to [0, 1]; an unusable row
+    fails the job (set such rows aside with ``validate_scores`` first).
     """
+    preds = validate_scores(preds)
     rows = _at_thresholds(score_histogram(preds, keys), keys)
     qualified = F.col("hits") / F.col("predicted") >= precision_target
     best = rows.groupBy(*keys).agg(
@@ -148,7 +150,8 @@ def validate_thresholds(
     """Search on the calibration split, measure on the evaluation split.
 
     The held-out rows are collapsed to a histogram before they meet the thresholds, so the join
-    sees distinct scores, not rows.
+    sees distinct scores, not rows. Every label of either split has its row: without calibration rows
+    the threshold is 1.0 and not enabled, without evaluation rows all counts are 0.
     """
     found = search_threshold(
         applicable(preds, "calibration"),
@@ -157,14 +160,17 @@ def validate_thresholds(
         minimum_positives=minimum_positives,
     ).select("label", "threshold", "auto_confirm", "validation_positives")
     heldout = score_histogram(applicable(preds, "evaluation"), ["label"])
-    measured = histogram_metrics(heldout.join(found.select("label", "threshold"), "label"), ["label"])
+    labels = found.select("label").union(heldout.select("label")).distinct()
+    placed = join_on(join_on(labels, found.select("label", "threshold"), ["label"], "left"), heldout, ["label"], "left")
+    measured = histogram_metrics(placed.fillna({"threshold": 1.0, "n": 0, "tp": 0}), ["label"])
     enabled = (
         F.col("auto_confirm")
         & (F.col("predicted_positive") > 0)
         & (F.col("precision") >= precision_target)
     )
     return (
-        measured.join(found.drop("threshold"), "label")
+        join_on(measured, found.drop("threshold"), ["label"], "left")
+        .fillna({"auto_confirm": False, "validation_positives": 0})
         .withColumn("enabled", enabled)
     )
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from earmark import constants as C
 from earmark.operators.decisions import decide, demote_ambiguous
-from earmark.functions.ordered import MAX_GROUP_ROWS, oversized_keys
+from earmark.functions.ordered import MAX_GROUP_ROWS, join_on, oversized_keys
 from earmark.operators.intervals import SLICE_SECONDS, activity_intervals
 from earmark.operators.scores import presence_score, score_statistics
-from earmark.sources.dims import interval_rule_dim, label_dim, with_profile
+from earmark.sources.dims import interval_fallback, interval_rule_dim, label_dim, with_profile
 
 
 WINDOW = ("clip_id", "window_idx", "canonical_label", "start_s", "end_s", "score")
@@ -45,12 +45,15 @@ def label_decisions(
 
 
 def with_rules(canonical: DataFrame, profile: str, *, rules: Mapping | None = None) -> DataFrame:
-    """Canonical scores with the candidate threshold and the interval rules of their label."""
+    """Canonical scores with the candidate threshold and the interval rules of their label.
+
+    A label that no rule names keeps its windows and gets the fallback rule.
+    """
     dim = interval_rule_dim(canonical.sparkSession, rules=rules)
     leveled = with_profile(canonical, profile).withColumnRenamed("candidate", "threshold")
     return leveled.drop("confirmed", "auto_confirm", "minimum_positives").join(
-        F.broadcast(dim), "canonical_label"
-    )
+        F.broadcast(dim), "canonical_label", "left"
+    ).fillna(interval_fallback())
 
 
 def label_intervals(
@@ -77,7 +80,7 @@ def label_activity(
     clip exceeds ``limit`` rows there do the statistics and intervals take their sliced way.
     """
     small = small_clips(canonical if sized_by is None else sized_by, limit=limit)
-    scored = canonical.select(*WINDOW).filter(F.col("clip_id").isNotNull())
+    scored = canonical.select(*WINDOW)
     if small:
         # both branches below read this one shuffle; each finds its rows already in place
         scored = scored.repartition("clip_id", "canonical_label")
@@ -86,9 +89,9 @@ def label_activity(
     )
     names = label_dim(canonical.sparkSession, taxonomy).select("canonical_label", "display_name")
     intervals = label_intervals(scored, profile, rules=rules, slice_s=None if small else slice_s)
+    decided = decisions.select("clip_id", "canonical_label", "decision", "score")
     return (
-        decisions.select("clip_id", "canonical_label", "decision", "score")
-        .join(intervals, ["clip_id", "canonical_label"], "left")
+        join_on(decided, intervals, ["clip_id", "canonical_label"], "left")
         .join(F.broadcast(names), "canonical_label", "left")
         .select(
             "clip_id", "canonical_label", "display_name", "decision", "score", "start_s", "end_s",

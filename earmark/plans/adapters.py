@@ -94,12 +94,16 @@ def streamed_scores(events: DataFrame) -> DataFrame:
 
 
 def window_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clip = label of the embedding, one window per vector, 53 raw label scores."""
+    """Clip = label of the embedding, one window per vector, 53 raw label scores over all 64 positions."""
     rows = dense_index(
         table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("clip_id"), "vec_id", "embedding"),
         ["clip_id"], ["vec_id"], "window_idx",
     )
-    vector = F.transform(F.slice("embedding", 1, len(RAW)), lambda x: 1 / (1 + F.exp(-(8 * x.cast("double") - 2))))
+    # 64 positions folded onto the 53 names: position modulo 53, the greatest wins
+    both = F.transform(
+        F.sequence(F.lit(0), F.lit(len(RAW) - 1)), lambda i: F.greatest(F.get("embedding", i), F.get("embedding", i + len(RAW)))
+    )
+    vector = F.transform(both, lambda x: 1 / (1 + F.exp(-(8 * x.cast("double") - 2))))
     return rows.select(
         "clip_id",
         "window_idx",
@@ -343,7 +347,7 @@ ADAPTER_SQL = {
     "raw_scores": f"""
         SELECT clip_id, window_idx, window_idx * {C.CADENCE_HOP_SAMPLES / 16000}::DOUBLE AS start_s,
                window_idx * {C.CADENCE_HOP_SAMPLES / 16000}::DOUBLE + {C.CADENCE_PATCH_SAMPLES / 16000}::DOUBLE AS end_s,
-               ({_list_sql(RAW)})[k] AS raw_label, 1 / (1 + exp(-(8 * embedding[k]::DOUBLE - 2))) AS score
+               ({_list_sql(RAW)})[k] AS raw_label, 1 / (1 + exp(-(8 * greatest(embedding[k], embedding[k + {len(RAW)}])::DOUBLE - 2))) AS score
         FROM (SELECT label::BIGINT AS clip_id, embedding,
                      row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS window_idx FROM embeddings),
              (SELECT unnest(range(1, {len(RAW) + 1})) AS k)""",

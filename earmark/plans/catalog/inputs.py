@@ -37,12 +37,12 @@ def predictions_csv_query(spark, d):
 
 @register("tracks_tsv", tidied("""
     SELECT 'track_' || lpad(doc_id::VARCHAR, 7, '0') AS track_id, doc_id AS numeric_id, lang || '/' || doc_id || '.mp3' AS path,
-           n_chars / 10.0::DOUBLE AS duration_s, lang || '|' || source AS tags FROM documents WHERE lang <> source""", "duration_s"))
+           n_chars / 10.0::DOUBLE AS duration_s, lang || '|' || source AS tags FROM documents""", "duration_s"))
 def tracks_query(spark, d):
     """Documents as a tab-separated track list with prefixed tags, written and parsed back."""
     path = scratch_path(spark, "tracks")
     key = F.col("doc_id").cast("string")
-    A.table(spark, d, "documents").filter(F.col("lang") != F.col("source")).select(
+    A.table(spark, d, "documents").select(
         F.concat(F.lit(C.TRACK_PREFIX), F.lpad(key, 7, "0")).alias("TRACK_ID"),
         F.lit("x").alias("ARTIST_ID"),
         F.concat("lang", F.lit("/"), key, F.lit(".mp3")).alias("PATH"),

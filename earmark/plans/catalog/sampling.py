@@ -41,7 +41,7 @@ def _first(spark, d):
 
 def _second(spark, d):
     bound = QUOTA * len(LABELS) * 2
-    return second_split(A.partial_pool(spark, d), _first(spark, d), SECOND_QUOTA, _order(), taken_rows=bound)
+    return second_split(A.partial_pool(spark, d), _first(spark, d), SECOND_QUOTA, _order())
 
 
 @register("quota_sample", with_inputs(["partial_pool"], _FIRST))
@@ -69,7 +69,7 @@ def shortfall_query(spark, d):
         SELECT sample_id FROM (SELECT *, row_number() OVER (PARTITION BY label, target ORDER BY sample_id) AS rk
                                FROM partial_pool WHERE target IS NOT NULL) WHERE rk <= {QUOTA})"""))
 def greedy_query(spark, d):
-    return greedy_partial_sample(A.partial_pool(spark, d), QUOTA, [], n_labels=len(LABELS))
+    return greedy_partial_sample(A.partial_pool(spark, d), QUOTA, [])
 
 
 @register("leaking_groups", """
@@ -87,5 +87,5 @@ def leak_query(spark, d):
     first_split=_FIRST))
 def late_fetch_query(spark, d):
     wide = A.table(spark, d, "documents").withColumnRenamed("doc_id", "sample_id")
-    fetched = late_fetch(_first(spark, d), wide, "sample_id", ["source", "text"], chosen_rows=QUOTA * len(LABELS) * 2)
+    fetched = late_fetch(_first(spark, d), wide, "sample_id", ["source", "text"])
     return fetched.select("sample_id", "source", F.sha2("text", 256).alias("digest"))

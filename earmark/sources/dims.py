@@ -63,6 +63,19 @@ def with_profile(df: DataFrame, name: str, label: str = "canonical_label") -> Da
     return df.join(F.broadcast(dim), label, "left").fillna(fill, subset=list(fill))
 
 
+def _rule_columns(rule: Mapping) -> dict[str, float | int]:
+    if rule["ratio"] > 1:
+        raise ValueError("a release ratio above 1 would make the on and off levels overlap")
+    enabled, windows = rule["transient"]
+    return {"release_ratio": float(rule["ratio"]), "min_duration_s": float(rule["min_duration_s"]),
+            "gap_s": float(rule["gap_s"]), "min_windows": int(windows) if enabled else 1}
+
+
+def interval_fallback() -> dict[str, float | int]:
+    """Rule columns of a label that has no rule of its own."""
+    return _rule_columns(C.INTERVAL_FALLBACK)
+
+
 def interval_rule_dim(
     spark: SparkSession, labels: list[str] | None = None, rules: Mapping | None = None
 ) -> DataFrame:
@@ -72,13 +85,8 @@ def interval_rule_dim(
     """
     chosen = C.INTERVAL_RULES if rules is None else rules
     rows = []
-    for label in labels or list(C.TAXONOMY):
-        rule = {**C.INTERVAL_FALLBACK, **chosen.get(label, {})}
-        if rule["ratio"] > 1:
-            raise ValueError("a release ratio above 1 would make the on and off levels overlap")
-        enabled, windows = rule["transient"]
-        rows.append((label, float(rule["ratio"]), float(rule["min_duration_s"]), float(rule["gap_s"]),
-                     int(windows) if enabled else 1))
+    for label in labels or list(dict.fromkeys([*C.TAXONOMY, *chosen])):
+        rows.append((label, *_rule_columns({**C.INTERVAL_FALLBACK, **chosen.get(label, {})}).values()))
     return literal_table(
         spark,
         "canonical_label string, release_ratio double, min_duration_s double, gap_s double, min_windows int",
@@ -96,8 +104,3 @@ def norms_dim(spark: SparkSession, norms: Mapping | None = None) -> DataFrame:
     columns = ", ".join(f"{name}_{side} double" for name in names for side in ("lo", "hi"))
     return literal_table(spark, f"canonical_label string, {columns}", rows)
 
-
-def target_tag_dim(spark: SparkSession, mapping: Mapping[str, list[str]]) -> DataFrame:
-    """One row per (target label, tag)."""
-    rows = [(label, tag) for label, tags in mapping.items() for tag in tags]
-    return literal_table(spark, "label string, tag string", rows)

@@ -38,7 +38,7 @@ def scan(rows, quota):
 @given(st.lists(st.fixed_dictionaries({k: st.sampled_from([True, False, None]) for k in "abc"}), min_size=1, max_size=40), st.integers(1, 4))
 def test_greedy_scan_equals_the_rank_rule(spark, rows, quota):
     df = spark.createDataFrame([(i, k, t) for i, r in enumerate(rows) for k, t in r.items()], POOL)
-    got = {r.sample_id for r in greedy_partial_sample(df, quota, [], n_labels=3).collect()}
+    got = {r.sample_id for r in greedy_partial_sample(df, quota, []).collect()}
     assert got == scan(rows, quota)
 
 
@@ -47,7 +47,7 @@ def test_two_splits_are_disjoint_and_shortfalls_are_reported(spark):
     pool = spark.createDataFrame(rows, POOL)
     first = quota_sample(pool, 4, [])
     assert first.groupBy("label", "target").count().filter("count <> 4").isEmpty()
-    second = second_split(pool, first, 8, [], taken_rows=16)
+    second = second_split(pool, first, 8, [])
     assert first.join(second, "sample_id", "left_semi").isEmpty()
     short = {(r.label, r.target): r.drawn for r in quota_shortfalls(second, list("ab"), 8).collect()}
     assert short and all(t for _, t in short)
@@ -65,7 +65,7 @@ def test_leaks_are_refused(spark):
 
 def test_late_fetch_reads_payload_of_chosen_rows(spark):
     wide = spark.range(10).select(F.col("id").alias("sample_id"), F.col("id").cast("string").alias("payload"))
-    got = late_fetch(wide.filter("sample_id in (2, 5)").select("sample_id"), wide, "sample_id", ["payload"], chosen_rows=2)
+    got = late_fetch(wide.filter("sample_id in (2, 5)").select("sample_id"), wide, "sample_id", ["payload"])
     assert sorted(r.payload for r in got.collect()) == ["2", "5"]
 
 
