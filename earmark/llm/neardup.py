@@ -6,10 +6,11 @@
    four bits are kept, packed into eight longs (four bit planes of 128 lanes).
 3. Inside a bucket, leaders are compared with all members of other components: the join condition
    counts equal lanes with ``bit_count``, corrects for chance collisions, and lets through only pairs that may
-   reach the similarity. Pairs that pass are confirmed on the full sets.
-4. Confirmed links join components. The next round takes more leaders from the members outside a bucket's largest
-   component, until every bucket holds one component or every pair in it was compared. So no pair of a bucket is lost,
-   and a group of near copies costs a few stars, not all its pairs.
+   reach the similarity. A second count is a strict bound: each shingle flips one bit of a parity word, so two words
+   differ in no more bits than the sets differ in shingles. Pairs that pass are confirmed on the full sets.
+4. Confirmed links join components. The first leaders are the members that share most buckets. The next round takes
+   more leaders from the members outside a bucket's largest component, until every bucket holds one component or every
+   pair in it was compared. So no pair of a bucket is lost, and a group of near copies costs a few stars, not all its pairs.
 
 Two texts at the similarity share no bucket with a probability below ``MISS``, and the lane count is five
 standard deviations wide; the rest is exact (sets are compared by 48-bit hashes).
@@ -34,6 +35,7 @@ from pyspark.sql.types import LongType
 from earmark.llm.common import named, sliced, small_batches, written
 
 LANES, BITS = 128, 4
+PARITY_BITS = 1024
 MISS = 1e-6
 SEED = 3
 # leaders that a bucket takes in round r: one, then FACTOR ** r
@@ -98,8 +100,14 @@ def planes(least: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), axis=1).view("<i8").reshape(-1)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each of 1024 groups of hashes, set when the group has an odd number of them."""
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def signed(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, cid, planes, buckets) of every document; cid names the set, null for an empty one."""
+    """(id, n_shingles, cid, planes, parity, buckets) of every document; cid names the set, null for an empty one."""
     rows, bands = bands_for(similarity)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -107,30 +115,32 @@ def signed(docs: DataFrame, words: int, similarity: float, id_col: str, text_col
         salt = np.arange(bands, dtype=np.uint64) * STEP
         for batch in batches:
             for part, texts in sliced(batch, "text"):
-                n, cid, low, buckets = [], [], [], []
+                n, cid, low, odd, buckets = [], [], [], [], []
                 for text in texts:
                     own = shingles(text, words)
                     n.append(len(own))
                     if not len(own):
                         cid.append(None)
                         low.append(None)
+                        odd.append(None)
                         buckets.append(None)
                         continue
                     least = minima(own)
                     weighted = (least * BAND_FACTORS)[: rows * bands].reshape(bands, rows).sum(axis=1, dtype=np.uint64)
                     cid.append(xxhash.xxh128_digest(own.tobytes()))
                     low.append(planes(least))
+                    odd.append(parity(own))
                     buckets.append(_mixed(weighted + salt).view(np.int64))
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"), pa.array(n, type=pa.int64()), pa.array(cid, type=pa.binary()),
-                        pa.array(low, type=longs), pa.array(buckets, type=longs),
+                        pa.array(low, type=longs), pa.array(odd, type=longs), pa.array(buckets, type=longs),
                     ],
-                    ["id", "n_shingles", "cid", "planes", "buckets"],
+                    ["id", "n_shingles", "cid", "planes", "parity", "buckets"],
                 )
 
-    schema = f"id {kind}, n_shingles long, cid binary, planes array<long>, buckets array<long>"
+    schema = f"id {kind}, n_shingles long, cid binary, planes array<long>, parity array<long>, buckets array<long>"
     return named(docs, [id_col, text_col]).toDF("id", "text").mapInArrow(sign, schema)
 
 
@@ -179,6 +189,12 @@ def equal_lanes(a: Column, b: Column) -> Column:
     return F.lit(LANES) - sum(differ[1:], differ[0])
 
 
+def differing_bits(a: Column, b: Column) -> Column:
+    """Bits in which two parity words differ: never more than the sets differ in shingles."""
+    counts = [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(PARITY_BITS // 64)]
+    return sum(counts[1:], counts[0])
+
+
 def least_lanes(similarity: float) -> int:
     """Equal lanes below which a pair at the similarity lies with five standard deviations."""
     low = max(0.0, similarity - 5 * math.sqrt(similarity * (1 - similarity) / LANES))
@@ -237,49 +253,60 @@ def near_duplicates(
     classes = written(
         sets.filter("cid IS NOT NULL").groupBy("cid").agg(
             F.min("id").alias("id"), F.first("n_shingles").alias("n"),
-            F.first("planes").alias("planes"), F.first("buckets").alias("buckets"),
+            F.first("planes").alias("planes"), F.first("parity").alias("parity"), F.first("buckets").alias("buckets"),
         ),
         "classes",
     )
 
     # buckets with more than one class
-    placed = classes.select("cid", "n", "planes", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo <> hi")
+    placed = classes.select("cid", F.explode("buckets").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1")
+    met = written(placed.join(shared, "bucket"), "met")
+    weights = met.groupBy("cid").agg(F.sum("_n").alias("weight"))
+    met_classes = written(
+        classes.join(weights, "cid").select("cid", "id", "n", "planes", "parity", "weight"), "met-classes"
+    )
     members = written(
-        placed.join(shared.select("bucket"), "bucket").withColumn("comp", F.col("cid")), "members"
+        met.select("bucket", "cid").join(met_classes.drop("id"), "cid").withColumn("comp", F.col("cid")), "members"
     )
     # full sets of the classes in them; a class is read from the documents of its smallest id
-    wanted = classes.join(members.select("cid").distinct(), "cid").select(F.col("id").alias("wanted_id")).distinct()
+    wanted = met_classes.select(F.col("id").alias("wanted_id")).distinct()
     texts = named(docs, [id_col, text_col]).toDF("id", "text").filter("text IS NOT NULL")
-    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    # a merge join at every size: the ids wanted grow with the corpus
+    texts = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
     full = written(shingle_sets(texts, words), "sets")
 
     roots = classes.select("cid", F.col("cid").alias("comp"))
     most = least_lanes(share)
     for turn in range(64):
-        counted = members.groupBy("bucket", "comp").agg(F.count("*").alias("n_comp"))
+        counted = members.groupBy("bucket", "comp").agg(F.count("*").alias("n_comp"), F.min(-F.col("weight")).alias("weight"))
         mixed = counted.groupBy("bucket").agg(
-            F.max_by("comp", F.struct("n_comp", "comp")).alias("largest"), F.count("*").alias("n_comps")
+            F.max_by("comp", F.struct("n_comp", "weight", "comp")).alias("largest"), F.count("*").alias("n_comps")
         )
         mixed = written(mixed.filter("n_comps > 1").select("bucket", "largest"), "mixed")
         if mixed.isEmpty():
             break
         open_members = members.join(mixed, "bucket")
-        outside = Window.partitionBy("bucket").orderBy("cid")
+        outside = Window.partitionBy("bucket").orderBy(F.desc("weight"), "cid")
         leaders = (
             open_members.filter("comp <> largest")
             .withColumn("_turn", F.row_number().over(outside))
             .filter(F.col("_turn") <= FACTOR**turn)
-            .select("bucket", F.col("cid").alias("l_cid"), F.col("n").alias("l_n"), F.col("planes").alias("l_planes"), F.col("comp").alias("l_comp"))
+            .select(
+                F.col("bucket").alias("l_bucket"), F.col("cid").alias("l_cid"), F.col("n").alias("l_n"),
+                F.col("planes").alias("l_planes"), F.col("parity").alias("l_parity"), F.col("comp").alias("l_comp"),
+            )
         )
         leaders = written(leaders, "leaders")
         near = (
             (F.col("comp") != F.col("l_comp"))
             & (F.least("n", "l_n") * 100 >= F.greatest("n", "l_n") * similarity)
             & (equal_lanes(F.col("planes"), F.col("l_planes")) >= most)
+            # 100 * common >= similarity * union, in terms of the difference of the sets
+            & (differing_bits(F.col("parity"), F.col("l_parity")) * (100 + similarity) <= (F.col("n") + F.col("l_n")) * (100 - similarity))
         )
         pairs = (
-            members.join(leaders.withColumnRenamed("bucket", "l_bucket"), (F.col("bucket") == F.col("l_bucket")) & near)
+            members.join(leaders, (F.col("bucket") == F.col("l_bucket")) & near)
             .select("cid", "l_cid", "n", "l_n", "comp", "l_comp").distinct()
         )
         pairs = written(pairs, "pairs")
@@ -293,7 +320,7 @@ def near_duplicates(
         links = confirmed.select(F.col("comp").alias("a"), F.col("l_comp").alias("b"))
         joined = components(links)
         rest = open_members.join(
-            leaders.select("bucket", F.col("l_cid").alias("cid")), ["bucket", "cid"], "left_anti"
+            leaders.select(F.col("l_bucket").alias("bucket"), F.col("l_cid").alias("cid")), ["bucket", "cid"], "left_anti"
         ).drop("largest")
         members = written(_renamed(rest, "comp", joined), "members")
         roots = written(_renamed(roots, "comp", joined), "roots")
