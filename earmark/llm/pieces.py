@@ -16,8 +16,6 @@ import numpy as np
 # a space before a visible character; other spaces stay with the piece before them
 CUT = re.compile(r" (?=\S)")
 ODD_SPACE = re.compile(r" (?:\s|$)")
-# words that share one text when they are encoded
-WORDS_A_TEXT = 1_000
 MAX_PIECES = 1_000_000
 MAX_PIECE_CHARS = 24_000_000
 
@@ -42,35 +40,17 @@ class PieceEncoder:
         self.lead = " " if space_counts else ""
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
         self.marks = {m: self._raw([m])[0] for m in ".,"}
-        # a line feed between words that take their space along is a token of its own, so words can share a text
-        line = self._raw(["\n"])[0]
-        self.line = line if space_counts and len(line) == 4 else None
         self.known: dict[str, bytes] = {}
         self.chars = 0
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _raw_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of Latin letters alone: many in one text, cut at the line feeds between them."""
-        if self.line is None:
-            return self._raw([self.lead + w for w in words])
-        out: list[bytes] = []
-        for i in range(0, len(words), WORDS_A_TEXT):
-            part = [self.lead + w for w in words[i : i + WORDS_A_TEXT]]
-            raw = self._raw(["\n".join(part)])[0]
-            at = np.flatnonzero(np.frombuffer(raw, dtype="<u4") == np.frombuffer(self.line, dtype="<u4")[0]) * 4
-            if len(at) != len(part) - 1:
-                out += self._raw(part)
-                continue
-            out += [raw[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)])]
-        return out
-
     def _learn(self, pieces: Iterable[str]) -> None:
         """Encode what is new. A full stop or comma after a Latin word is a piece of its own, and a vocabulary
         without capitals has one entry for all spellings of a Latin word."""
         known = self.known
-        fresh, words, derived = set(), set(), []
+        fresh, derived = set(), []
         for piece in set(pieces).difference(known):
             stem, mark = (piece[:-1], piece[-1]) if piece[-1:] in self.marks else (piece, "")
             if not stem.isalpha() or max(stem) > "\u00ff":
@@ -81,17 +61,14 @@ class PieceEncoder:
             if stem != piece:
                 derived.append((piece, stem, mark))
             if stem not in known:
-                words.add(stem)
-        todo, latin = list(fresh), list(words)
+                fresh.add(stem)
+        todo = list(fresh)
         for i in range(0, len(todo), 20_000):
             part = todo[i : i + 20_000]
             known.update(zip(part, self._raw([self.lead + p for p in part])))
-        for i in range(0, len(latin), 20_000):
-            part = latin[i : i + 20_000]
-            known.update(zip(part, self._raw_words(part)))
         for piece, stem, mark in derived:
             known[piece] = known[stem] + self.marks[mark] if mark else known[stem]
-        self.chars += sum(map(len, todo)) + sum(map(len, latin)) + sum(len(p) for p, _, _ in derived)
+        self.chars += sum(map(len, todo)) + sum(len(p) for p, _, _ in derived)
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         # where the space is dropped, or always stands before a visible character, every space is a cut
