@@ -33,7 +33,9 @@ def live_intervals(windows: DataFrame, *, delay: str = "1 hour", second_ms: int
     is the event time, in milliseconds, that one second of ``start_s`` stands for.
 
     The state of a clip is one open interval per label, as JSON: its size does not grow with the
-    number of windows. Labels share a group because a call per group is what costs.
+    number of windows. Labels share a group because a call per group is what costs. A label that is off, has nothing
+    open and was last seen before the watermark starts anew, so it is forgotten, and a clip without labels leaves the
+    state; a label that is on stays, as its next windows may hold.
     """
 
     def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -52,10 +54,12 @@ def live_intervals(windows: DataFrame, *, delay: str = "1 hour", second_ms: int
             values = [np.concatenate([f[c].to_numpy() for f in batches]) for c in ROW]
             order = np.lexsort((values[0], values[1]))
             for idx, a, label, b, score, ms, on, ratio, gap, *keep in zip(*(v[order].tolist() for v in values)):
-                entry = labels.setdefault(label, {"on": False, "open": None, "last": None, "keep": keep})
+                entry = labels.setdefault(label, {"on": False, "open": None, "last": None, "seen": None, "keep": keep})
                 if entry["last"] is not None and [a, idx] <= entry["last"]:
                     continue
                 entry["last"] = [a, idx]
+                if ms == ms:  # not a null time
+                    entry["seen"] = int(ms)
                 entry["on"] = score >= on or (entry["on"] and score >= on * ratio)
                 if not entry["on"]:
                     continue
@@ -68,10 +72,18 @@ def live_intervals(windows: DataFrame, *, delay: str = "1 hour", second_ms: int
         for label, entry in labels.items():
             if entry["open"] and entry["open"][5] < watermark:
                 close(label, entry)
-        state.update((json.dumps(labels),))
-        waiting = [entry["open"][5] for entry in labels.values() if entry["open"]]
-        if waiting:
-            state.setTimeoutTimestamp(max(min(waiting), watermark + 1))
+        labels = {
+            label: e for label, e in labels.items()
+            if e["on"] or e["open"] or e["seen"] is None or e["seen"] >= watermark
+        }
+        if labels:
+            state.update((json.dumps(labels),))
+            waiting = [e["open"][5] for e in labels.values() if e["open"]]
+            waiting += [e["seen"] for e in labels.values() if not e["on"] and not e["open"] and e["seen"] is not None]
+            if waiting:
+                state.setTimeoutTimestamp(max(min(waiting), watermark + 1))
+        else:
+            state.remove()
         if closed:
             yield pd.DataFrame(closed, columns=NAMES)
 

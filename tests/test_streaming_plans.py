@@ -32,6 +32,25 @@ def test_live_intervals_over_several_triggers(spark, tmp_path):
     assert got == [(0.0, 4.0, 2), (30.0, 35.0, 2)]
 
 
+def test_live_intervals_forget_idle_clips(spark, tmp_path):
+    series = [[(1, 0, 0.1), (2, 0, 0.9), (2, 2, 0.1)], [(3, 100, 0.1)], [(1, 200, 0.9), (4, 200, 0.1)], [(5, 400, 0.9)]]
+    for batch, windows in enumerate(series):
+        rows = [(c, "x", i, float(a), a + 2.0, s, 0.6, 0.5, 2.0, 1.0, 1) for i, (c, a, s) in enumerate(windows, 10 * batch)]
+        df = spark.createDataFrame(rows, LIVE.replace("event_time timestamp, ", ""))
+        df.withColumn("event_time", F.timestamp_millis((F.col("start_s") * 1000).cast("long") + 1_700_000_000_000)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(LIVE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = (
+        live_intervals(source, delay="0 seconds").writeStream.format("parquet").option("path", f"{tmp_path}/out")
+        .option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    got = sorted((r.clip_id, r.start_s, r.end_s) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    # clip 1 starts anew after it was forgotten; clip 5 is still open
+    assert got == [(1, 200.0, 202.0), (2, 0.0, 2.0)]
+    # clips 2, 3 and 4 are off and gone; clip 1 is on, clip 5 open
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 2
+
+
 def test_no_python_outside_the_plug_ins(spark):
     python = {"apply_scorer", "live_intervals"}
     for name in ("label_activity", "label_activity_dense", "average_precision", "coverage_cube", "holdout_validation",
