@@ -114,9 +114,9 @@ def manifest_query(spark, d):
     return files.targets_long(files.read_manifest(spark, path, lines=True))
 
 
-def _documents(spark, d):
+def _activity(spark, d):
     scores = A.frame_scores(spark, d)
-    return files.nest_results(label_activity(canonical_scores(scores), PROFILE, sized_by=scores))
+    return label_activity(canonical_scores(scores), PROFILE, sized_by=scores)
 
 
 _DOC_PARTS = score_parts("frame_scores") | interval_parts()
@@ -130,7 +130,7 @@ _NAMES = "(SELECT DISTINCT canonical_label, display_name FROM taxonomy) n"
     "score", "active_s"))
 def nested_query(spark, d):
     path = scratch_path(spark, "results")
-    files.write_results(_documents(spark, d), path)
+    files.write_results(files.nest_results(_activity(spark, d)), path)
     rows = files.result_rows(files.read_results(spark, path))
     length = F.aggregate("time_ranges", F.lit(0.0), lambda total, r: total + (r["end_s"] - r["start_s"]))
     return tidy(rows.select(
@@ -144,7 +144,7 @@ def nested_query(spark, d):
            coalesce(string_agg(printf('%.2f', i.start_s) || '-' || printf('%.2f', i.end_s), '; ' ORDER BY i.start_s), '') AS time_ranges
     FROM decided d JOIN {_NAMES} USING (canonical_label) LEFT JOIN intervals i USING (clip_id, canonical_label) GROUP BY ALL""", **_DOC_PARTS))
 def export_query(spark, d):
-    return files.flatten_results(_documents(spark, d))
+    return files.export_rows(files.label_results(_activity(spark, d)))
 
 
 @register("content_inventory", """

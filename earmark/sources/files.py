@@ -187,18 +187,25 @@ def targets_long(manifest: DataFrame) -> DataFrame:
 
 # --- nested results -------------------------------------------------------------
 
+LABEL_RESULT = ("canonical_label", "display_name", "decision", "score")
+
+
+def label_results(activity: DataFrame) -> DataFrame:
+    """One row per (clip, label) with its intervals, from activity rows (one per interval, or one without)."""
+    interval = F.struct("start_s", "end_s", "peak_score", "confidence")
+    found = F.collect_list(F.when(F.col("start_s").isNotNull(), interval))
+    rows = activity.groupBy("clip_id", *LABEL_RESULT).agg(F.sort_array(found).alias("time_ranges"))
+    return rows.select(F.col("clip_id").cast("string").alias("analysis_id"), *LABEL_RESULT, "time_ranges")
+
+
 def nest_results(activity: DataFrame) -> DataFrame:
-    """One document per clip from activity rows (one per label and interval, or one without).
+    """One document per clip from activity rows.
 
     A document holds one clip's labels and intervals; clips are bounded by the duration gate.
     """
-    label = ["canonical_label", "display_name", "decision", "score"]
-    interval = F.struct("start_s", "end_s", "peak_score", "confidence")
-    found = F.collect_list(F.when(F.col("start_s").isNotNull(), interval))
-    rows = activity.groupBy("clip_id", *label).agg(F.sort_array(found).alias("time_ranges"))
-    return rows.groupBy(F.col("clip_id").cast("string").alias("analysis_id")).agg(
+    return label_results(activity).groupBy("analysis_id").agg(
         F.lit("1.0.0").alias("schema_version"),
-        F.sort_array(F.collect_list(F.struct(*label, "time_ranges"))).alias("instruments"),
+        F.sort_array(F.collect_list(F.struct(*LABEL_RESULT, "time_ranges"))).alias("instruments"),
     )
 
 
@@ -222,11 +229,17 @@ def _fixed(value: Column, digits: int) -> Column:
 
 
 def flatten_results(documents: DataFrame) -> DataFrame:
-    """Five-column export; overrides are not applied. The ranges of a label form one text cell."""
+    """Export of nested results; overrides are not applied."""
+    return export_rows(result_rows(documents))
+
+
+def export_rows(results: DataFrame) -> DataFrame:
+    """Export of (document, label) rows as ``label_results`` gives them: no task holds more than one label of a
+    clip. The ranges of a label form one text cell."""
     ranges = F.transform(
         F.col("time_ranges"), lambda r: F.concat(_fixed(r["start_s"], 2), F.lit("-"), _fixed(r["end_s"], 2))
     )
-    return result_rows(documents).select(
+    return results.select(
         "analysis_id",
         "canonical_label",
         "display_name",

@@ -122,6 +122,9 @@ def test_results_round_trip_and_export(spark, tmp_path):
     flat = {r.canonical_label: r for r in files.flatten_results(files.read_results(spark, f"{tmp_path}/r")).collect()}
     assert flat["bass"].time_ranges == "0.00-2.50; 4.00-5.12" and flat["bass"].model_score == "0.500000"
     assert flat["pad"].time_ranges == "" and flat["pad"].display_name == "Pad"
+    straight = files.export_rows(files.label_results(activity))
+    assert {r.canonical_label: r for r in straight.collect()} == flat
+    assert straight._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
 
 
 def test_lines_are_numbered_across_splits(spark, tmp_path):
