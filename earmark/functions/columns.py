@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BUCKETS_PER_OCTAVE = 1024
+# fine buckets: values crowded into a narrow range, say scores just below 1, still fall into many
+FINE_PER_OCTAVE = 1024 * BUCKETS_PER_OCTAVE
 _OCTAVE_SHIFT = 1100  # larger than any double's binary exponent
 
 
@@ -34,7 +36,7 @@ def value_bucket(value: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
     Null comes first, then -inf, the finite numbers, inf and NaN.
 
     Buckets are spaced evenly in log2, so crowding near 0 is spread over many of them. A
-    float32 score has 2**23 values per octave, hence at most 8192 distinct ones per bucket.
+    float32 score has 2**23 values per octave, hence at most 8 distinct ones per fine bucket.
     The rule is plain arithmetic: every evaluation and every retry gives the same bucket.
     """
     given = value.cast("double")

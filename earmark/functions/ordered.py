@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from earmark.functions.columns import value_bucket
+from earmark.functions.columns import BUCKETS_PER_OCTAVE, FINE_PER_OCTAVE, value_bucket
 
 # rows of one group that a single task may hold as an array
 MAX_GROUP_ROWS = 200_000
@@ -35,6 +35,45 @@ def key_of(keys: Sequence[str]) -> Column:
     return F.struct(*keys) if keys else F.lit(0)
 
 
+def bucket_offsets(placed: DataFrame, measures: Mapping[str, Column]) -> DataFrame:
+    """Per (``_key``, ``_bucket``): each measure's sum over earlier buckets (``_<m>_offset``) and over the key (``<m>_total``).
+
+    Fine buckets are summed along inside a coarse one, and coarse ones along the key: neither window
+    grows with the rows, and no task holds a key.
+    """
+    coarse = F.floor(F.col("_bucket") / (FINE_PER_OCTAVE // BUCKETS_PER_OCTAVE))
+    earlier = (Window.unboundedPreceding, -1)
+    fine = placed.groupBy("_key", "_bucket").agg(*[e.alias(m) for m, e in measures.items()]).withColumn("_coarse", coarse)
+    inside = Window.partitionBy("_key", "_coarse").orderBy("_bucket").rowsBetween(*earlier)
+    along = Window.partitionBy("_key").orderBy("_coarse").rowsBetween(*earlier)
+    whole = Window.partitionBy("_key")
+    steps = fine.groupBy("_key", "_coarse").agg(*[F.sum(m).alias(m) for m in measures]).select(
+        "_key", "_coarse",
+        *[F.coalesce(F.sum(m).over(along), F.lit(0)).alias(f"_{m}_start") for m in measures],
+        *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures],
+    )
+    within = fine.select(
+        "_key", "_coarse", "_bucket", *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_{m}_inside") for m in measures]
+    )
+    return within.join(steps, ["_key", "_coarse"]).select(
+        "_key", "_bucket",
+        *[(F.col(f"_{m}_start") + F.col(f"_{m}_inside")).alias(f"_{m}_offset") for m in measures],
+        *[f"{m}_total" for m in measures],
+    )
+
+
+def counted_slices(df: DataFrame, keys: Sequence[str], order: str, slice_rows: float, name: str = "_slice") -> DataFrame:
+    """Add a slice number that does not decrease along ``order``; a slice of a key starts every ``slice_rows`` rows or so.
+
+    The cuts come from each key's own rows: a key of no more rows is one slice, and rows whose ``order`` is equal to
+    about six digits stay together.
+    """
+    placed = df.withColumn("_bucket", value_bucket(F.col(order), FINE_PER_OCTAVE)).withColumn("_key", key_of(keys))
+    offsets = bucket_offsets(placed, {"n": F.count("*")})
+    cut = F.floor(F.col("_n_offset") / F.lit(float(slice_rows)))
+    return placed.join(offsets, ["_key", "_bucket"]).select(*df.columns, cut.alias(name))
+
+
 def running_totals(
     table: DataFrame,
     keys: Sequence[str],
@@ -49,27 +88,25 @@ def running_totals(
     Order is by ``value``, then the ``then`` columns ascending. ``table`` must hold one row per
     (keys, value, then): collapse equal values first, so that a hot value is one row.
     """
-    bucket = value_bucket(F.col(value))
-    placed = table.withColumn("_bucket", -bucket if descending else bucket).withColumn("_total_key", key_of(keys))
-    along = Window.partitionBy("_total_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("_total_key")
-    totals = placed.groupBy("_total_key", "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
-    offsets = totals.select(
-        "_total_key",
-        "_bucket",
-        *[F.coalesce(F.sum(m).over(along), F.lit(0)).alias(f"_{m}_offset") for m in measures],
-        *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures],
+    # the caller's columns may themselves be called _key
+    own = {c: f"_own_{c}" for c in table.columns}
+    bucket = value_bucket(F.col(value), FINE_PER_OCTAVE)
+    placed = table.select(
+        *[F.col(c).alias(n) for c, n in own.items()],
+        (-bucket if descending else bucket).alias("_bucket"),
+        key_of(keys).alias("_key"),
     )
-    direction = F.col(value).desc() if descending else F.col(value).asc()
+    offsets = bucket_offsets(placed, {m: F.sum(own[m]) for m in measures})
+    direction = F.col(own[value]).desc() if descending else F.col(own[value]).asc()
     inside = (
-        Window.partitionBy("_total_key", "_bucket")
-        .orderBy(direction, *then)
+        Window.partitionBy("_key", "_bucket")
+        .orderBy(direction, *[own[c] for c in then])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return placed.join(offsets, ["_total_key", "_bucket"]).select(
-        *table.columns,
+    return placed.join(offsets, ["_key", "_bucket"]).select(
+        *[F.col(n).alias(c) for c, n in own.items()],
         *[
-            (F.coalesce(F.sum(m).over(inside), F.lit(0)) + F.col(f"_{m}_offset")).alias(f"{m}_before")
+            (F.coalesce(F.sum(own[m]).over(inside), F.lit(0)) + F.col(f"_{m}_offset")).alias(f"{m}_before")
             for m in measures
         ],
         *[f"{m}_total" for m in measures],
@@ -87,17 +124,12 @@ def dense_index(
     if oversized_keys(df, keys, limit) is None:
         position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
         return df.withColumn(name, position.cast("long"))
-    placed = df.withColumn("_bucket", value_bucket(F.col(order[0]))).withColumn("_key", key_of(keys))
-    along = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("_key", "_bucket")
-        .agg(F.count("*").alias("_n"))
-        .select("_key", "_bucket", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_offset"))
-    )
+    placed = df.withColumn("_bucket", value_bucket(F.col(order[0]), FINE_PER_OCTAVE)).withColumn("_key", key_of(keys))
+    offsets = bucket_offsets(placed, {"n": F.count("*")})
     inside = Window.partitionBy("_key", "_bucket").orderBy(*order)
     return (
         placed.join(offsets, ["_key", "_bucket"])
-        .withColumn(name, F.row_number().over(inside) - 1 + F.col("_offset"))
+        .withColumn(name, F.row_number().over(inside) - 1 + F.col("_n_offset"))
         .select(*df.columns, F.col(name).cast("long").alias(name))
     )
 

@@ -2,8 +2,9 @@
 
 Windows of a key are ordered by (start_s, window_idx). Usual keys are plain windows over the key:
 one shuffle and one sort for all steps. Where a key is too large for one task, every step works on
-(key, time slice) instead and passes one summary row per slice along the key, so a clip that holds
-a third of all windows is spread over its slices. Both ways give the same rows.
+(key, slice) instead and passes one summary row per slice along the key, so a clip that holds a third
+of all windows is spread over its slices. Slices are cut along ``start_s`` by counting each key's own
+rows: the other keys are one slice each. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -12,20 +13,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from earmark.functions.ordered import MAX_WINDOW_ROWS, join_on, oversized_keys
+from earmark.functions.ordered import MAX_WINDOW_ROWS, counted_slices, join_on, oversized_keys
 
 KEYS = ("clip_id", "canonical_label")
 ORDER = ("start_s", "window_idx")
-SLICE_SECONDS = 7200.0
 
 
-def slice_for(sized: DataFrame, keys: Sequence[str], *, limit: int = MAX_WINDOW_ROWS) -> float | None:
-    """Slice length to use: None (no slicing) unless some key has more than ``limit`` rows."""
-    return None if oversized_keys(sized, keys, limit) is None else SLICE_SECONDS
-
-
-def _slice(slice_s: float) -> Column:
-    return F.floor(F.col("start_s") / F.lit(float(slice_s)))
+def slice_for(sized: DataFrame, keys: Sequence[str], *, limit: int = MAX_WINDOW_ROWS) -> int | None:
+    """Rows of a slice: None (no slicing) unless some key has more than ``limit`` rows."""
+    return None if oversized_keys(sized, keys, limit) is None else limit
 
 
 def _earlier(keys: Sequence[str]):
@@ -49,7 +45,7 @@ def hysteresis(
     keys: Sequence[str] = KEYS,
     threshold: str = "threshold",
     release_ratio: str = "release_ratio",
-    slice_s: float | None = None,
+    slice_rows: float | None = None,
 ) -> DataFrame:
     """Add ``is_active``: on at score >= threshold, off below threshold x ratio, held in between.
 
@@ -57,14 +53,14 @@ def hysteresis(
     on, switches off or holds, and the state is the last switch seen.
     """
     switch = _switch(threshold, release_ratio)
-    if slice_s is None:
+    if slice_rows is None:
         whole = Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
         state = F.last(switch, ignorenulls=True).over(whole)
         return windows.withColumn("is_active", F.coalesce(state, F.lit(False)))
-    return _sliced_state(windows, keys, switch, slice_s).select(*windows.columns, "is_active")
+    return _sliced_state(windows, keys, switch, slice_rows).select(*windows.columns, "is_active")
 
 
-def _sliced_state(windows: DataFrame, keys: Sequence[str], switch: Column, slice_s: float) -> DataFrame:
+def _sliced_state(windows: DataFrame, keys: Sequence[str], switch: Column, slice_rows: float) -> DataFrame:
     """Rows with ``is_active``, their ``_slice``, and ``_reach``: the furthest end of the active
     windows in earlier slices.
 
@@ -73,7 +69,7 @@ def _sliced_state(windows: DataFrame, keys: Sequence[str], switch: Column, slice
     """
     upto = _inside(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = (
-        windows.withColumn("_slice", _slice(slice_s))
+        counted_slices(windows, keys, "start_s", slice_rows)
         .withColumn("_switch", switch)
         .withColumn("_state", F.last("_switch", ignorenulls=True).over(upto))
     )
@@ -100,7 +96,7 @@ def merge_gaps(
     keys: Sequence[str] = KEYS,
     gap: str = "gap_s",
     keep: Sequence[str] = (),
-    slice_s: float | None = None,
+    slice_rows: float | None = None,
 ) -> DataFrame:
     """Active windows joined into ranges: a window belongs to the running range if it starts no
     later than the range's end plus the gap. Gives start, end, peak, score sum and window count.
@@ -109,9 +105,9 @@ def merge_gaps(
     first and the last range of a slice can touch a neighbour, so at most two rows per slice are
     stitched.
     """
-    if slice_s is None:
+    if slice_rows is None:
         return _merge_whole(windows.filter("is_active"), keys, gap, keep)
-    active = windows.filter("is_active").withColumn("_slice", _slice(slice_s))
+    active = counted_slices(windows.filter("is_active"), keys, "start_s", slice_rows)
     reach = (
         active.groupBy(*keys, "_slice")
         .agg(F.max("end_s").alias("_end"))
@@ -209,7 +205,7 @@ def summarise_intervals(
 
 
 def activity_intervals(
-    windows: DataFrame, *, keys: Sequence[str] = KEYS, slice_s: float | None = None
+    windows: DataFrame, *, keys: Sequence[str] = KEYS, slice_rows: float | None = None
 ) -> DataFrame:
     """Hysteresis, gap merging and summary in one go.
 
@@ -217,9 +213,9 @@ def activity_intervals(
     ``slice_for`` tells whether the keys need slices.
     """
     keep = ["min_duration_s", "min_windows"]
-    if slice_s is None:
+    if slice_rows is None:
         ranges = merge_gaps(hysteresis(windows, keys=keys), keys=keys, keep=keep)
     else:
-        state = _sliced_state(windows, keys, _switch("threshold", "release_ratio"), slice_s)
+        state = _sliced_state(windows, keys, _switch("threshold", "release_ratio"), slice_rows)
         ranges = _merge_sliced(state.filter("is_active"), keys, "gap_s", keep)
     return summarise_intervals(ranges, keys=keys)

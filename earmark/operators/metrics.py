@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -45,11 +47,18 @@ def binary_metrics(
     return join_on(rated, average_precision(preds, keys, tie_break), list(keys))
 
 
-def _tie_slice(preds: DataFrame, column: str) -> Column:
-    """Slice of a tie group that does not decrease along the first tie-break column."""
-    if dict(preds.dtypes)[column] == "string":
-        return F.substring(F.col(column), 1, 10)
-    return value_bucket(F.col(column))
+def _tie_slice(rows: DataFrame, column: str, limit: int) -> Column:
+    """Slice of a tie group that does not decrease along the first tie-break column.
+
+    Least and greatest value tell what the values share: texts are cut behind their common start,
+    with a character for every factor of ten in rows, and numbers are measured from the least one.
+    """
+    low, high, n = rows.agg(F.min(column), F.max(column), F.count("*")).first()
+    if dict(rows.dtypes)[column] == "string":
+        shared = len(os.path.commonprefix([low or "", high or ""]))
+        return F.substring(F.col(column), shared + 1, 2 + int(math.log10(max(1, n / limit))))
+    start = float(low or 0)
+    return value_bucket(F.col(column).cast("double") - F.lit(start if math.isfinite(start) else 0.0))
 
 
 def average_precision(
@@ -66,7 +75,7 @@ def average_precision(
     rows = validate_scores(preds).withColumn("_key", key_of(keys)).select(*ties, "target", *tie_break)
     if oversized_keys(rows, ties, limit) is not None:
         then = ["_tie"]
-        rows = rows.withColumn("_tie", _tie_slice(preds, tie_break[0]))
+        rows = rows.withColumn("_tie", _tie_slice(rows, tie_break[0], limit))
     groups = [*ties, *then]
     hits = F.sum(F.col("target").cast("long"))
     hist = rows.groupBy(*groups).agg(F.count("*").alias("n"), hits.alias("tp"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from earmark import constants as C
 from earmark.operators.decisions import decide, demote_ambiguous
 from earmark.functions.ordered import MAX_GROUP_ROWS, join_on, oversized_keys
-from earmark.operators.intervals import SLICE_SECONDS, activity_intervals
+from earmark.operators.intervals import activity_intervals
 from earmark.operators.scores import presence_score, score_statistics
 from earmark.sources.dims import interval_fallback, interval_rule_dim, label_dim, with_profile
 
@@ -57,11 +57,11 @@ def with_rules(canonical: DataFrame, profile: str, *, rules: Mapping | None = No
 
 
 def label_intervals(
-    canonical: DataFrame, profile: str, *, rules: Mapping | None = None, slice_s: float | None = None
+    canonical: DataFrame, profile: str, *, rules: Mapping | None = None, slice_rows: float | None = None
 ) -> DataFrame:
-    """Activity intervals per (clip, canonical label) at the candidate threshold; give a slice
-    length where a clip may be too large for one task."""
-    return activity_intervals(with_rules(canonical, profile, rules=rules), slice_s=slice_s)
+    """Activity intervals per (clip, canonical label) at the candidate threshold; give the
+    rows of a slice where a clip may be too large for one task."""
+    return activity_intervals(with_rules(canonical, profile, rules=rules), slice_rows=slice_rows)
 
 
 def label_activity(
@@ -72,7 +72,6 @@ def label_activity(
     rules: Mapping | None = None,
     sized_by: DataFrame | None = None,
     limit: int = MAX_GROUP_ROWS,
-    slice_s: float = SLICE_SECONDS,
 ) -> DataFrame:
     """Every label of every clip with its decision, and one row per interval (or one without).
 
@@ -88,7 +87,7 @@ def label_activity(
         scored, profile, taxonomy=taxonomy, limit=limit, known_small=small, keep_window=small
     )
     names = label_dim(canonical.sparkSession, taxonomy).select("canonical_label", "display_name")
-    intervals = label_intervals(scored, profile, rules=rules, slice_s=None if small else slice_s)
+    intervals = label_intervals(scored, profile, rules=rules, slice_rows=None if small else limit)
     decided = decisions.select("clip_id", "canonical_label", "decision", "score")
     return (
         join_on(decided, intervals, ["clip_id", "canonical_label"], "left")

@@ -31,7 +31,7 @@ from earmark.plans.catalog.registry import register, tidied, tidy
 
 PROFILE = "calibrated_public_v1"
 # hours here; short slices so that the stitching between slices is exercised
-SLICE = 48.0
+SLICE_ROWS = 5
 
 CANONICAL = """
     SELECT clip_id, window_idx, canonical_label, min(start_s) AS start_s, min(end_s) AS end_s, max(score) AS score
@@ -268,14 +268,14 @@ def cadence_query(spark, d):
 @register("hysteresis_activity", tidied(with_inputs(EVENTS, "SELECT clip_id, canonical_label, window_idx, score, is_active FROM switched", **score_parts("frame_scores"), **interval_parts()), "score"))
 def hysteresis_query(spark, d):
     ruled = with_rules(events_canonical(spark, d), PROFILE)
-    active = hysteresis(ruled, slice_s=SLICE)
+    active = hysteresis(ruled, slice_rows=SLICE_ROWS)
     return tidy(active.select("clip_id", "canonical_label", "window_idx", "score", "is_active"))
 
 
 @register("merge_gaps", tidied(with_inputs(EVENTS, "SELECT clip_id, canonical_label, start_s, end_s, peak_score, score_sum, n_windows FROM ranges", **score_parts("frame_scores"), **interval_parts()), "start_s", "end_s", "peak_score", "score_sum"))
 def merge_gaps_query(spark, d):
     ruled = with_rules(events_canonical(spark, d), PROFILE)
-    return tidy(merge_gaps(hysteresis(ruled, slice_s=SLICE), slice_s=SLICE))
+    return tidy(merge_gaps(hysteresis(ruled, slice_rows=SLICE_ROWS), slice_rows=SLICE_ROWS))
 
 
 _INTERVAL_DOUBLES = ("start_s", "end_s", "peak_score", "confidence")
@@ -287,13 +287,13 @@ _INTERVALS_SQL = tidied(with_inputs(EVENTS, "SELECT * FROM intervals", **score_p
 @register("activity_intervals", _INTERVALS_SQL)
 def intervals_query(spark, d):
     scores = A.frame_scores(spark, d)
-    return tidy(label_intervals(canonical_scores(scores), PROFILE, slice_s=slice_for(scores, ["clip_id"])))
+    return tidy(label_intervals(canonical_scores(scores), PROFILE, slice_rows=slice_for(scores, ["clip_id"])))
 
 
 @register("activity_intervals_sliced", _INTERVALS_SQL)
 def intervals_sliced_query(spark, d):
     """The same rows with slices of 48 hours stitched together."""
-    return tidy(label_intervals(events_canonical(spark, d), PROFILE, slice_s=SLICE))
+    return tidy(label_intervals(events_canonical(spark, d), PROFILE, slice_rows=SLICE_ROWS))
 
 
 _ACTIVITY_GROUP = """
@@ -331,4 +331,4 @@ def label_activity_dense_query(spark, d):
 def label_activity_large_query(spark, d):
     """The same with a limit so low that every step takes its sliced way."""
     scores = A.frame_scores(spark, d)
-    return tidy(label_activity(canonical_scores(scores), PROFILE, sized_by=scores, limit=20, slice_s=SLICE))
+    return tidy(label_activity(canonical_scores(scores), PROFILE, sized_by=scores, limit=20))

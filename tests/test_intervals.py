@@ -47,17 +47,17 @@ def result(df):
     return {k: sorted(v) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("slice_s", [None, 3.0])
-def test_gap_of_two_seconds(spark, slice_s):
+@pytest.mark.parametrize("slice_rows", [None, 3.0])
+def test_gap_of_two_seconds(spark, slice_rows):
     df = table(spark, {1: [(0, 2, 0.7), (2, 4, 0.8), (8, 10, 0.9)]}, (0.5, 1.0, 2.0, 0.0, 1))
-    got = result(activity_intervals(df, slice_s=slice_s))[1]
+    got = result(activity_intervals(df, slice_rows=slice_rows))[1]
     assert [x[:2] for x in got] == [(0.0, 4.0), (8.0, 10.0)]
 
 
-@pytest.mark.parametrize("slice_s", [None, 4.0])
-def test_hysteresis_and_duration(spark, slice_s):
+@pytest.mark.parametrize("slice_rows", [None, 4.0])
+def test_hysteresis_and_duration(spark, slice_rows):
     df = table(spark, {1: [(0, 10, 0.7), (5, 15, 0.55), (10, 20, 0.45), (20, 30, 0.2)]}, (0.6, 0.75, 1.0, 10.0, 1))
-    (only,) = result(activity_intervals(df, slice_s=slice_s))[1]
+    (only,) = result(activity_intervals(df, slice_rows=slice_rows))[1]
     assert only[:2] == (0.0, 20.0) and 0.5 < only[3] < 0.7
 
 
@@ -73,13 +73,13 @@ window = st.tuples(
     st.sampled_from([1.0, 0.6]),
     st.sampled_from([0.5, 2.5, 7.0]),
 )
-def test_sliced_and_plain_equal_a_loop(spark, series, gap, ratio, slice_s):
+def test_sliced_and_plain_equal_a_loop(spark, series, gap, ratio, slice_rows):
     rule = (0.6, ratio, gap, 1.0, 2)
     data = dict(enumerate(series))
     expected = {k: sorted(x) for k, v in data.items() if (x := loop(v, 0.6, ratio, gap, 1.0, 2))}
     df = table(spark, data, rule)
-    for length in (None, slice_s):
-        got = result(activity_intervals(df, slice_s=length))
+    for length in (None, slice_rows):
+        got = result(activity_intervals(df, slice_rows=length))
         assert got.keys() == expected.keys()
         for k in expected:
             assert len(got[k]) == len(expected[k])

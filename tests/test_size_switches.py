@@ -5,8 +5,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from earmark.functions.ordered import dense_index, order_statistics
-from earmark.operators.metrics import average_precision, binary_metrics
+from earmark.functions.columns import FINE_PER_OCTAVE, value_bucket
+from earmark.functions.ordered import counted_slices, dense_index, order_statistics
+from earmark.operators.metrics import _tie_slice, average_precision, binary_metrics
 from earmark.operators.sampling import late_fetch
 from earmark.operators.thresholds import search_threshold, validate_thresholds
 from earmark.plans.activity import label_intervals
@@ -73,8 +74,8 @@ def test_labels_of_one_split_stay(spark):
 def test_a_label_without_rule_gets_the_fallback(spark):
     data = [(None, lab, i, float(i), i + 1.0, 0.9) for lab in ("bass", "kazoo") for i in range(10)]
     df = spark.createDataFrame(data, "clip_id long, canonical_label string, window_idx int, start_s double, end_s double, score double")
-    for slice_s in (None, 3.0):
-        got = {(r.canonical_label, r.start_s, r.end_s) for r in label_intervals(df, "default", rules={"kazoo": {}}, slice_s=slice_s).collect()}
+    for slice_rows in (None, 3.0):
+        got = {(r.canonical_label, r.start_s, r.end_s) for r in label_intervals(df, "default", rules={"kazoo": {}}, slice_rows=slice_rows).collect()}
         assert got == {("bass", 0.0, 10.0), ("kazoo", 0.0, 10.0)}
 
 
@@ -82,3 +83,24 @@ def test_no_join_is_forced_by_declared_sizes(spark):
     wide = spark.range(10).withColumn("x", F.col("id"))
     plan = late_fetch(wide.select("id"), wide, "id", ["x"])._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" not in plan
+
+
+def test_hot_keys_are_cut_by_their_own_rows(spark):
+    n, limit = 200_000, 2_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 200 == 0, "usual").otherwise("hot").alias("k"),
+        (F.col("id") * 3600 / n).alias("start_s"),
+        (0.999 + F.col("id") * 0.001 / n).alias("score"),
+        F.format_string("sample_000%09d", "id").alias("name"),
+        (F.col("id") + 1_700_000_000).alias("no"),
+    )
+    cut = {(r.k, r._slice): r["count"] for r in counted_slices(df, ["k"], "start_s", limit).groupBy("k", "_slice").count().collect()}
+    assert max(cut.values()) <= 2 * limit and [k for k, _ in cut].count("usual") == 1
+    assert len(cut) > n / limit / 2
+    crowded = df.groupBy(value_bucket(F.col("score"), FINE_PER_OCTAVE)).count().agg(F.max("count")).first()[0]
+    assert crowded <= 2 * limit
+    for column in ("name", "no"):
+        ties = df.withColumn("t", _tie_slice(df, column, limit))
+        assert ties.groupBy("t").count().agg(F.max("count")).first()[0] <= 2 * limit
+        steps = ties.groupBy("t").agg(F.min(column).alias("a"), F.max(column).alias("b")).orderBy("t").collect()
+        assert all(x.b < y.a for x, y in zip(steps, steps[1:]))
