@@ -30,13 +30,21 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    groups = written(neardup.near_duplicates(docs, words=WORDS, similarity=SIMILARITY), "groups")
-    kept = groups.filter("kept").select(F.col("doc_id").alias("kept_id"))
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    # rows that repeat an id are copies as well
-    again = kept.groupBy("kept_id").agg(F.count("*").alias("n")).filter("n > 1")
-    return left if again.isEmpty() else left.dropDuplicates(["doc_id"])
+    """One row of each group of near duplicates: one with the smallest id, null ids last. Unlinked rows all stay.
+
+    Rows are told apart by id and text, so a null or repeated id does not make unrelated texts copies.
+    """
+    text = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), text.alias("text")))
+    groups = written(neardup.near_duplicates(rows, words=WORDS, similarity=SIMILARITY, id_col="_row"), "groups")
+    kept = groups.filter("kept").groupBy("_row").agg(F.count("*").alias("_n"), F.max("n_shingles").alias("_shingles"))
+    kept = written(kept, "kept")
+    left = rows.join(kept, "_row")
+    # rows that agree in id and text are copies as well, unless the text has no words
+    again = (F.col("_n") > 1) & (F.col("_shingles") > 0)
+    if not kept.filter(again).isEmpty():
+        left = left.filter(~again).unionByName(left.filter(again).dropDuplicates(["_row"]))
+    return left.select(*docs.columns)
 
 
 def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

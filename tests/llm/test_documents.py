@@ -238,3 +238,17 @@ def test_pipeline(spark, odd):
     empty = docs.filter("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_drops_copies_only(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(60)) for _ in range(9)]
+    near = texts[0] + " tail"
+    rows = [(3, texts[0], "a"), (7, near, "b"), (7, texts[1], "c"),  # an id of a near copy and of an unrelated text
+            (None, texts[2], "d"), (None, texts[3], "e"), (None, texts[4], "f"), (None, texts[4], "f"),  # null ids
+            (8, texts[5], "g"), (8, texts[5], "g"), (8, texts[6], "h"), (9, "", "i"), (9, None, "j"), (None, " ", "k"),
+            (None, texts[7], "l"), (11, texts[7] + " tail", "m"), (12, texts[8], "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    got = corpus_pipeline.without_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(r.mark for r in got.collect()) == list("acdefghijkmn")
