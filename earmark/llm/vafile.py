@@ -10,7 +10,8 @@ task keeps a query's running k-th lower bound while it goes through its blocks.
 
 Defined results: ties go to the smaller id; rows with the query's own id are no candidates; fewer candidates than k
 give fewer rows; null vectors and vectors with null or non-finite components take no part; repeated rows are
-separate candidates (a repeated query id is answered once per row); empty tables give no rows. All vectors have one length.
+separate candidates, and a repeated query id has one answer, ranked over the pairs of all its rows; empty tables give
+no rows. All vectors have one length.
 """
 
 from __future__ import annotations
@@ -127,13 +128,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = BITS)
         .groupBy("query_id").agg(F.when(F.count("*") == k, F.min("lower")).alias("floor"))
     )
     left = scanned.join(floor, "query_id").filter(F.col("floor").isNull() | (F.col("upper") >= F.col("floor")))
+    # a pair of ids is read once, with all its rows
+    left = left.groupBy("query_id", "vec_id").agg(F.max("upper").alias("upper"))
     order = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id")
     left = written(left.withColumn("place", F.row_number().over(order)).select("query_id", "vec_id", "upper", "place"), "left")
 
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q"))
 
     def exact(rows: DataFrame) -> DataFrame:
-        read = rows.dropDuplicates(["query_id", "vec_id"]).join(vectors, "vec_id").join(asked, "query_id")
+        read = rows.join(vectors, "vec_id").join(asked, "query_id")
         return read.select("query_id", "vec_id", inner(F.col("q"), F.col("vector"), "long").alias("score"))
 
     leading = written(exact(left.filter(F.col("place") <= 2 * k)), "leading")

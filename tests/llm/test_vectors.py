@@ -43,6 +43,26 @@ def test_exact_top_k(spark, bits):
     assert vafile.top_k(df.filter("false"), df.filter("false"), 5).count() == 0
 
 
+def test_exact_top_k_of_repeated_rows(spark):
+    import duckdb
+
+    from earmark.llm.catalog import OP5_SQL
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(-40, 40, (400, 8))
+    x[100:400:3] = x[100]  # ties across the cut
+    ids = np.arange(400) // 3 * 3  # candidates of three vectors, some on both sides of the first cut
+    ids[300:306] = 50  # a repeated query
+    ids[390:] = 390
+    rows = [(int(i), [int(v) for v in r]) for i, r in zip(ids, x)] + [(0, [int(v) for v in x[0]])] * 2
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    got = sorted(map(tuple, vafile.top_k(df, df.filter("vec_id % 50 = 0"), 5, 2).collect()))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [(i, [v / 256 for v in r]) for i, r in rows])
+    assert got == sorted(con.execute(OP5_SQL).fetchall())
+
+
 def test_learned_partitions(spark):
     x = _vectors(4_000)
     df = _table(spark, x, float)
