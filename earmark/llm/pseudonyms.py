@@ -37,6 +37,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from earmark.llm.common import small_batches
 
 ROUNDS = 10
+# digits that one network permutes; longer values are chained part by part
+MAX_DIGITS = 2048
 DEMO_KEY = b"example key, replace in production"
 MAY_HOLD = re.compile(r"[0-9@=:]")
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -62,6 +64,14 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 
 
+def _drawn(message: str, width: int, key: bytes) -> int:
+    """A number of ``width`` keyed bytes; beyond one digest, in counter mode."""
+    if width <= 64:
+        return int.from_bytes(blake2b(message.encode(), key=key[:64], digest_size=width).digest())
+    blocks = (blake2b(f"{j}|{message}".encode(), key=key[:64]).digest() for j in range(-(-width // 64)))
+    return int.from_bytes(b"".join(blocks)[:width])
+
+
 def permuted(n: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of 0 .. size - 1: a Feistel network on pairs, walked until in range."""
     if size < 2:
@@ -73,11 +83,11 @@ def permuted(n: int, size: int, key: bytes, tweak: str) -> int:
         left, right = divmod(n, b)
         for i in range(ROUNDS):
             half = right if i % 2 == 0 else left
-            digest = blake2b(f"{tweak}|{i}|{half}".encode(), key=key[:64], digest_size=min(64, width)).digest()
+            drawn = _drawn(f"{tweak}|{i}|{half}", width, key)
             if i % 2 == 0:
-                left = (left + int.from_bytes(digest)) % a
+                left = (left + drawn) % a
             else:
-                right = (right + int.from_bytes(digest)) % b
+                right = (right + drawn) % b
         n = left * b + right
         if n < size:
             return n
@@ -85,6 +95,8 @@ def permuted(n: int, size: int, key: bytes, tweak: str) -> int:
 
 def _digits(values: list[int], radices: list[int], key: bytes, tweak: str) -> list[int]:
     """Permute a value given digit by digit in mixed radices."""
+    if len(values) > MAX_DIGITS:
+        return _chained(values, radices, key, tweak)
     n, size = 0, 1
     for v, r in zip(values, radices):
         n, size = n * r + v, size * r
@@ -96,6 +108,20 @@ def _digits(values: list[int], radices: list[int], key: bytes, tweak: str) -> li
     return out[::-1]
 
 
+def _chained(values: list[int], radices: list[int], key: bytes, tweak: str) -> list[int]:
+    """Permute a long value part by part, forth and back, each part under a digest of those done before it."""
+    out = list(values)
+    tweak = blake2b(tweak.encode(), key=key[:64]).hexdigest()
+    starts = range(0, len(out), MAX_DIGITS)
+    for way, order in (("forth", starts), ("back", starts[::-1])):
+        seen = ""
+        for at in order:
+            part = slice(at, at + MAX_DIGITS)
+            out[part] = _digits(out[part], radices[part], key, f"{tweak}|{way}|{at}|{seen}")
+            seen = blake2b(f"{seen}|{out[part]}".encode(), key=key[:64]).hexdigest()
+    return out
+
+
 def _relaid(text: str, new: str, of=str.isdigit) -> str:
     """The characters of ``text`` that satisfy ``of`` replaced in order by those of ``new``."""
     it = iter(new)
