@@ -9,7 +9,7 @@ nothing has to be remembered or joined. Whoever holds the key can invert it.
 | kind | validated by | kept |
 |---|---|---|
 | email | local part, domain with a dot | separators, case, last domain label |
-| card | 13 to 19 digits, Luhn sum | layout, first digit, Luhn sum |
+| card | 13 to 19 digits, Luhn sum; the longest such from a digit group to the end of one | layout, first digit, Luhn sum |
 | iban | country and length, remainder 97 | layout, country, character classes, remainder |
 | ssn | area, group and serial in range | layout, ranges |
 | ip | four octets, the first 1 to 223 | layout of four octets |
@@ -53,7 +53,7 @@ PATTERNS = {
         r"[\"']?\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9_\-/+.~]{8,})"
     ),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
-    "card": re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"),
+    "card": re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-])"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "ip": re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"),
     "date": re.compile(r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w/-]|\.\d)"),
@@ -62,6 +62,10 @@ PATTERNS = {
     ),
 }
 KINDS = tuple(PATTERNS)
+GROUP = re.compile(r"\d+")
+# digits of a whole number behind country codes where they are always as many
+NATIONAL = {"1": 10, "7": 10, "33": 9, "34": 9, "44": 10, "48": 9, "52": 10, "90": 10, "91": 10, "351": 9, "375": 9, "380": 9, "420": 9}
+WRITTEN_OUT = re.compile(r"\+\d{1,3}[ .-]?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)")
 
 
 def _drawn(message: str, width: int, key: bytes) -> int:
@@ -234,22 +238,80 @@ MAKE = {
     "email": _email,
     "key": lambda t, key: t[:4] + _lettered(t[4:], UPPER + DIGIT, key, "key"),
     "secret": lambda t, key: _lettered(t, HEX, key, "hex") if HEX_ONLY.fullmatch(t) else _classes(t, key, "secret"),
-    "iban": _iban, "card": _card, "ssn": _ssn, "ip": _ip, "date": _date, "phone": _phone,
+    "iban": _iban, "ssn": _ssn, "ip": _ip, "date": _date,
 }
 
 
+def _cards(text: str, start: int, end: int, key: bytes) -> Iterator[tuple[int, int, str]]:
+    """The cards of a run of digit groups: at each group the longest valid one, then on behind it."""
+    groups = [m.span() for m in GROUP.finditer(text, start, end)]
+    i = 0
+    while i < len(groups):
+        ends, digits = [], 0
+        for j in range(i, len(groups)):
+            digits += groups[j][1] - groups[j][0]
+            if digits > 19:
+                break
+            if digits >= 13:
+                ends.append(j)
+        for j in reversed(ends):
+            new = _card(text[groups[i][0] : groups[j][1]], key)
+            if new is not None:
+                yield groups[i][0], groups[j][1], new
+                i = j
+                break
+        i += 1
+
+
+def _phone_ends(text: str, start: int, end: int) -> list[int]:
+    """Where a phone may end: at a complete national form, else as far as it goes, else a group earlier and so on."""
+    ends = [m.end() for m in GROUP.finditer(text, start, end)]
+    ends = [e + (text[e : e + 1] == ")" and e < end) for e in ends]
+    first = WRITTEN_OUT.match(text, start, end)
+    whole = [first.end()] if first else []
+    if text[start] == "+":
+        lead = re.compile(r"\+(\d{1,3})(?=[ .(-])").match(text, start, end)
+        code = lead[1] if lead else ""
+        whole += [e for e in ends if code in NATIONAL and sum(map(str.isdigit, text[start:e])) == len(code) + NATIONAL[code]]
+    return [*whole, *reversed(ends)]
+
+
+def _phones(text: str, pattern: re.Pattern, key: bytes) -> Iterator[tuple[int, int, str]]:
+    """The phones of a text; after a failed start the search goes on behind its first character."""
+    at = 0
+    while m := pattern.search(text, at):
+        at = m.start() + 1
+        for end in _phone_ends(text, *m.span()):
+            new = _phone(text[m.start() : end], key)
+            if new is not None:
+                yield m.start(), end, new
+                at = end
+                break
+
+
+def values(text: str, kind: str, key: bytes) -> Iterator[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the values of one kind."""
+    pattern = PATTERNS[kind]
+    if kind == "phone":
+        yield from _phones(text, pattern, key)
+        return
+    for m in pattern.finditer(text):
+        if kind == "card":
+            yield from _cards(text, *m.span(), key)
+            continue
+        group = "value" if kind == "secret" else 0
+        new = MAKE[kind](m[group], key)
+        if new is not None:
+            yield *m.span(group), new
+
+
 def found(text: str, key: bytes) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of the values of a text, in order, without overlaps."""
     taken: list[tuple[int, int, str, str]] = []
-    for kind, pattern in PATTERNS.items():
+    for kind in KINDS:
         if kind == "email" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
-            group = "value" if kind == "secret" else 0
-            start, end = m.span(group)
-            new = MAKE[kind](m[group], key)
-            if new is not None:
-                taken.append((start, end, kind, new))
+        taken += [(start, end, kind, new) for start, end, new in values(text, kind, key)]
     starts: list[int] = []
     kept: list[tuple[int, int, str, str]] = []
     for value in taken:  # by kind, then by place
