@@ -8,15 +8,17 @@ nothing has to be remembered or joined. Whoever holds the key can invert it.
 
 | kind | validated by | kept |
 |---|---|---|
-| email | local part, domain with a dot | separators, case, last domain label |
+| email | local part, domain with a dot | separators, case, alphabet, last domain label |
 | card | 13 to 19 digits, Luhn sum; the longest such from a digit group to the end of one | layout, first digit, Luhn sum |
 | iban | country and length, remainder 97 | layout, country, character classes, remainder |
 | ssn | area, group and serial in range | layout, ranges |
 | ip | four octets, the first 1 to 223 | layout of four octets |
-| phone | 10 to 15 digits, + or separators | layout, country code, leading digits in range |
+| phone | 10 to 15 digits after +, 10 as 3-3-4 with or without a leading 1, 10 to 12 with a leading 0 | layout, country code or leading 0 or 1, leading digits in range |
 | date | calendar, 1900 to 2099 | layout |
 | key, secret | prefixed access key; a value named as password, token, secret or key | prefix, character classes |
 
+Not covered: phones without + that have no separator or other groupings, and phones written in letters.
+
 Defined results: null stays null; a text without such values is unchanged, byte for byte; invalid look-alikes
 stay; overlaps go to the kind first in ``KINDS``; the columns of the input stay, columns of the
 names written here are replaced.
@@ -26,8 +28,11 @@ from __future__ import annotations
 
 import bisect
 import datetime
+import functools
 import math
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -46,7 +51,7 @@ HEX, HEX_ONLY = "0123456789abcdef", re.compile(r"[0-9a-f]+")
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 
 PATTERNS = {
-    "email": re.compile(r"(?<![\w.+%-])[\w+%-](?:[\w.+%-]*[\w+%-])?@(?:[\w-]+\.)+[A-Za-z]{2,}(?![\w-])"),
+    "email": re.compile(r"(?<![\w.+%-])[\w+%-](?:[\w.+%-]*[\w+%-])?@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])"),
     "key": re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"),
     "secret": re.compile(
         r"(?i:(?<![a-z0-9])(?:pass(?:word|wd)|token|secret|api[_-]?key|(?:access|secret|private)[_-]key))"
@@ -58,7 +63,12 @@ PATTERNS = {
     "ip": re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"),
     "date": re.compile(r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w/-]|\.\d)"),
     "phone": re.compile(
-        r"(?<![\w.+-])(?:\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"
+        r"(?<![\w.+-])(?:\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}"
+        # ten digits as 3-3-4, a leading 1 or not
+        r"|(?:1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}"
+        # a leading 0: in pairs, or an area code and groups
+        r"|0\d(?:[ .-]\d\d){4}"
+        r"|(?:\(0\d{1,4}\) ?|0\d{1,4}[ /-])(?:\d{3,4}[ -]\d{4}|\d{5,8}|\d{2,4}(?:[ -]\d{2,4}){1,3}))(?![\w-])"
     ),
 }
 KINDS = tuple(PATTERNS)
@@ -132,11 +142,37 @@ def _relaid(text: str, new: str, of=str.isdigit) -> str:
     return "".join(next(it) if of(c) else c for c in text)
 
 
+@functools.cache
+def _wide() -> dict[str, tuple[str, str]]:
+    """(name, members) of the class of every letter and digit beyond ASCII: one category of one script in a block of code points.
+
+    Blocks are 128 code points, 4096 from the ideographs on; what would be nearly alone in one goes into
+    one class per category. Classes do not overlap, so permuting inside them can be inverted.
+    """
+    classes: dict[str, list[str]] = {}
+    for c in filter(str.isalnum, map(chr, range(128, sys.maxunicode + 1))):
+        block = ord(c) >> 7 if ord(c) < 0x2E80 else 0x1000 + (ord(c) >> 12)
+        script = unicodedata.name(c, "").split(" ")[0]
+        classes.setdefault(f"<{unicodedata.category(c)}{script}{block:x}>", []).append(c)
+    for name in [n for n, members in classes.items() if len(members) < 8]:
+        classes.setdefault(f"{name[:3]}>", []).extend(classes.pop(name))
+    named = [(name, "".join(members)) for name, members in classes.items()]
+    return {c: (name, members) for name, members in named for c in members}
+
+
+def _class(c: str) -> tuple[str, str]:
+    """(name, members) of a character's class; a character that stays is its own name, without members."""
+    for name, members in (("a", LOWER), ("A", UPPER), ("9", DIGIT)):
+        if c in members:
+            return name, members
+    return (c, "") if c < "\x80" else _wide().get(c, (c, ""))
+
+
 def _classes(text: str, key: bytes, tweak: str) -> str:
     """Permute letters and digits within their classes; other characters stay."""
-    sets = [next((s for s in (LOWER, UPPER, DIGIT) if c in s), "") for c in text]
+    names, sets = zip(*map(_class, text))
     places = [i for i, s in enumerate(sets) if s]
-    form = "".join("aA9"[(LOWER, UPPER, DIGIT).index(s)] if s else c for c, s in zip(text, sets))
+    form = "".join(names)
     new = _digits([sets[i].index(text[i]) for i in places], [len(sets[i]) for i in places], key, f"{tweak}|{form}")
     out = list(text)
     for i, v in zip(places, new):
@@ -198,8 +234,11 @@ def _phone(text: str, key: bytes) -> str | None:
     if text.startswith("+"):
         lead = re.match(r"\+(\d{1,3})(?=[ .(-])", text)
         code = lead[1] if lead else digits[:1]
+    elif digits[0] == "0" or (digits[0] == "1" and len(digits) == 11):
+        code = digits[0]
     rest = digits[len(code) :]
-    if not 10 <= len(digits) <= 15 or len(rest) < 6:
+    most = 12 if code == "0" else 15
+    if not 10 <= len(digits) <= most or len(rest) < 6:
         return None
     low = [2 if len(rest) == 10 and code in ("", "1") and i in (0, 3) and c >= "2" else 0 for i, c in enumerate(rest)]
     form = f"phone|{code or 1}|{len(rest)}|{''.join(map(str, low))}"
