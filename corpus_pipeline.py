@@ -23,8 +23,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the rejected ones have no letters."""
+    """Documents whose language can be told; the rejected ones have no letters. Without a language to learn all stay."""
     model = language.train_prototypes(docs)
+    if not model[0]:
+        return docs
+    # no learned language has this name, so it marks texts without letters
     told = language.predicted(docs, model, F.col("text"))["lang_pred"]
     return docs.filter(told != language.UNKNOWN)
 

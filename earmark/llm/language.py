@@ -10,8 +10,8 @@ sums over all training documents: each task adds up its own, Spark adds those, a
 languages x dimensions numbers reach the driver.
 
 Defined results: a text that is null, empty or without letters is ``und`` with score 0; ties go to
-the language first in alphabetical order; rows with a null language teach nothing; without any
-language to learn every text is ``und``; equal rows get equal results; the columns of the input stay,
+the language first in alphabetical order; rows with a null language or
+the language ``und`` teach nothing; without any language to learn every text is ``und``; equal rows get equal results; the columns of the input stay,
 columns of the names written here are replaced.
 """
 
@@ -100,7 +100,7 @@ def _table(dimensions: int) -> RunTable:
 def train_prototypes(
     docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS
 ) -> tuple[list[str], np.ndarray]:
-    """(languages, prototypes of length 1) from all rows with a text and a language."""
+    """(languages, prototypes of length 1) from all rows with a text and a known language."""
     small_batches(docs.sparkSession)
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def train_prototypes(
         yield sums()
 
     learn = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    learn = learn.filter("text IS NOT NULL AND lang IS NOT NULL")
+    learn = learn.filter(F.col("text").isNotNull() & (F.col("lang") != UNKNOWN))
     summed = (
         learn.mapInArrow(bundles, "lang string, sums array<long>")
         .select("lang", F.posexplode("sums").alias("pos", "x"))

@@ -311,3 +311,15 @@ def test_pipeline_drops_copies_only(spark):
     got = corpus_pipeline.without_near_copies(spark, docs, SF)
     assert got.columns == docs.columns
     assert sorted(r.mark for r in got.collect()) == list("acdefghijkmn")
+
+
+def test_pipeline_keeps_texts_of_unknown_language(spark):
+    rows = [(1, "the cat and the dog"), (2, "le chat et le chien"), (3, "the dog"), (4, "12 + 3"), (5, None), (6, "\u65e5\u672c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def kept(langs):
+        known = spark.createDataFrame(list(enumerate(langs, 1)), "doc_id long, lang string")
+        return sorted(r.doc_id for r in corpus_pipeline.known_language(spark, docs.join(known, "doc_id"), SF).collect())
+
+    assert kept([None] * 6) == kept(["und"] * 6) == [1, 2, 3, 4, 5, 6]
+    assert kept(["en", "fr", "und", "und", None, None]) == kept(["und", "fr", None, "en", None, "und"]) == [1, 2, 3, 6]
