@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from earmark.session import scratch_path
 
 # characters of text that a task works on at once
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 6_000_000
+# bytes of Arrow batches that a task puts together
+MERGED_BYTES = 6_000_000
 # rows that travel to a Python worker at once; texts may be long
 BATCH_ROWS = 1_000
 
@@ -30,6 +32,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(batches: Iterator[pa.RecordBatch], size: int = MERGED_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes, so that distinct words are looked up once for many texts."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def sliced(batch: pa.RecordBatch, text: str, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch with at most ``chars`` characters of text (or one row), null texts as empty."""
     texts = [t or "" for t in batch.column(text).to_pylist()]

@@ -18,6 +18,7 @@ placed on their own; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from earmark.llm.common import named, sliced, small_batches, written
+from earmark.llm.common import merged, named, sliced, small_batches, written
 from earmark.llm.pieces import encoder
 
 # pieces of one length that one slice holds on average
@@ -115,7 +116,7 @@ def token_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, space_counts).ids_of
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in merged(batches):
             for rows, texts in sliced(batch, "text"):
                 which, starts, pieces = [], [], []
                 for i, ids in enumerate(encode(texts)):
@@ -151,8 +152,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, *, id_col: str = "doc_id") ->
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = sorted(plan_bins(counts, capacity))
     bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for length in counts:
-        own = np.array([r[1:] for r in runs if r[0] == length], dtype=np.int64)
+    for length, group in itertools.groupby(runs, key=lambda r: r[0]):
+        own = np.array([r[1:] for r in group], dtype=np.int64)
         bounds[length] = (own[:, 0], own)
     plan = spark.sparkContext.broadcast(bounds)  # a few runs for each of at most ``capacity`` lengths
 

@@ -1,92 +1,241 @@
 """Token ids of whole texts by the tokenizers library, with words encoded once.
 
 Both vocabularies split a text before any merge, and no token crosses a space that stands before
-a visible character: it always begins a new piece (byte-level files) or is dropped (word files).
-A text cut there gives pieces that encode on their own, and their ids in order are the ids of the
-text. Pieces repeat, so a worker keeps what it has encoded in a bounded table.
+a visible character: it always begins a new piece (byte-level files) or is dropped (word files). The same
+holds for a line break between visible characters. A text cut there gives pieces that encode on their own, and
+their ids in order are the ids of the text. Arrow makes the cuts for a slice of texts at once and looks its distinct
+pieces up in the worker's bounded table; what is new is encoded, words of Latin letters several to a text; numpy
+puts the ids together. Texts with other white space beside a space or line break go the same way with fewer cuts.
 """
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # a space before a visible character; other spaces stay with the piece before them
 CUT = re.compile(r" (?=\S)")
-ODD_SPACE = re.compile(r" (?:\s|$)")
-MAX_PIECES = 1_000_000
-MAX_PIECE_CHARS = 24_000_000
-
-_LOADED: dict[tuple[str, bool], PieceEncoder] = {}
+# stands for a line break at the start of a piece
+BREAK = "\ue001"
+# a word of Latin letters with or without a full stop or comma
+LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+LATIN_LINES = f"^{BREAK}?{LATIN[1:]}"
+# white space of any alphabet (and the signs that Python takes for it)
+SPACE = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\pZ]"
+# entries, characters and ids of the table
+MAX_PIECES = 700_000
+MAX_PIECE_CHARS = 16_000_000
+# new words that share one text when they are encoded
+SHARED_WORDS = 50
+
+_LOADED: dict[tuple[str, bool, bool], PieceEncoder] = {}
+
+
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs ``values[start : start + size]`` one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+class PieceTable:
+    """Pieces and their ids; at the limit the half not used for longest goes."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.values = np.zeros(0, dtype="<u4")
+        self.starts = self.sizes = self.stamps = np.zeros(0, dtype=np.int64)
+        self.clock = self.chars = 0
+
+    def places(self, pieces: list[str]) -> np.ndarray:
+        """Place of each piece, -1 where it is unknown."""
+        get = self.index.get
+        at = np.array([get(p, -1) for p in pieces], dtype=np.int64)
+        self.stamps[at[at >= 0]] = self.clock
+        return at
+
+    def add(self, pieces: list[str], values: np.ndarray, sizes: np.ndarray) -> None:
+        n, ends = len(self.sizes), len(self.values) + np.cumsum(sizes)
+        self.index.update(zip(pieces, range(n, n + len(pieces))))
+        self.chars += sum(map(len, pieces))
+        self.values = np.concatenate([self.values, values])
+        self.starts = np.concatenate([self.starts, ends - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.stamps = np.concatenate([self.stamps, np.full(len(sizes), self.clock)])
+
+    def trim(self) -> None:
+        self.clock += 1
+        n = len(self.sizes)
+        if n <= MAX_PIECES and self.chars <= MAX_PIECE_CHARS and len(self.values) <= MAX_PIECE_CHARS:
+            return
+        keep = np.sort(np.argsort(self.stamps, kind="stable")[n // 2 :])
+        names = list(self.index)  # in the order of their places
+        names, values, sizes, stamps = [names[i] for i in keep], gather(self.values, self.starts[keep], self.sizes[keep]), self.sizes[keep], self.stamps[keep]
+        clock = self.clock
+        self.__init__()
+        self.clock = clock
+        self.add(names, values, sizes)
+        self.stamps = stamps
 
 
 class PieceEncoder:
-    """``ids_of(texts)``: little-endian unsigned 32-bit ids as bytes, one entry per text.
+    """``encode(texts)``: ids of all texts in a row and the end of each; ``ids_of(texts)``: the ids of each as bytes.
 
-    ``space_counts`` says that a piece takes the space before it along (byte-level vocabularies).
+    ``space_counts`` says that a piece takes the space before it along (byte-level vocabularies);
+    ``plain_specials`` that the strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, space_counts: bool):
-        import os
+    def __init__(self, path: str, space_counts: bool, plain_specials: bool = False):
+        self.lead = " " if space_counts else ""
+        self.folds = False
+        self._load(path, plain_specials)
+        self.marks = [self._raw([m])[0] for m in ".,"]
+        self.table = PieceTable()
 
+    def _load(self, path: str, plain_specials: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.lead = " " if space_counts else ""
+        self.tokenizer.encode_special_tokens = plain_specials
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
-        self.marks = {m: self._raw([m])[0] for m in ".,"}
-        self.known: dict[str, bytes] = {}
-        self.chars = 0
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: Iterable[str]) -> None:
-        """Encode what is new. A full stop or comma after a Latin word is a piece of its own, and a vocabulary
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        # tokens that begin a word (byte-level) or end it (word files)
+        self.edge = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
+        self.edge[[i for t, i in vocab.items() if (t.startswith("Ġ") if self.lead else t.endswith("</w>"))]] = True
+        self.line = vocab.get("Ċ", -1)
+
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _raw_pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of single pieces: with the space before them, or with the line break."""
+        return self._raw([self._text(p) for p in pieces])
+
+    def _text(self, piece: str) -> str:
+        return "\n" + piece[1:] if self.lead and piece[:1] == BREAK else self.lead + piece
+
+    def _shared(self, words: list[str], lines: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words of Latin letters, several to a text, cut where a word begins (or ends)."""
+        between = "\n" if lines else " "
+        texts = [between + between.join(words[i : i + SHARED_WORDS]) for i in range(0, len(words), SHARED_WORDS)]
+        ids = np.concatenate([np.zeros(0, dtype="<u4"), *self._raw(texts)])
+        at = np.flatnonzero(ids == self.line if lines else self.edge[ids])
+        if len(at) != len(words):
+            raise ValueError("words of letters did not keep to the vocabulary's division")
+        return ids, np.diff(np.append(at, len(ids))) if self.lead else np.diff(np.concatenate([[-1], at]))
+
+    def _learn(self, fresh: pa.Array) -> None:
+        """Encode new pieces. A full stop or comma after a Latin word is a piece of its own, and a vocabulary
         without capitals has one entry for all spellings of a Latin word."""
-        known = self.known
-        fresh, derived = set(), []
-        for piece in set(pieces).difference(known):
-            stem, mark = (piece[:-1], piece[-1]) if piece[-1:] in self.marks else (piece, "")
-            if not stem.isalpha() or max(stem) > "\u00ff":
-                fresh.add(piece)
-                continue
-            if self.folds:
-                stem = stem.lower()
-            if stem != piece:
-                derived.append((piece, stem, mark))
-            if stem not in known:
-                fresh.add(stem)
-        todo = list(fresh)
-        for i in range(0, len(todo), 20_000):
-            part = todo[i : i + 20_000]
-            known.update(zip(part, self._raw([self.lead + p for p in part])))
-        for piece, stem, mark in derived:
-            known[piece] = known[stem] + self.marks[mark] if mark else known[stem]
-        self.chars += sum(map(len, todo)) + sum(len(p) for p, _, _ in derived)
+        table = self.table
+        latin = pc.match_substring_regex(fresh, LATIN_LINES if self.lead else LATIN)
+        odd = fresh.filter(pc.invert(latin)).to_pylist()
+        if odd:
+            ids = self._raw_pieces(odd)
+            table.add(odd, np.concatenate(ids), np.array([len(x) for x in ids], dtype=np.int64))
+        words = fresh.filter(latin)
+        stems = pc.utf8_rtrim(words, characters=".,")
+        if self.folds:
+            stems = pc.utf8_lower(stems)
+        wanted = [s for s in stems.unique().to_pylist() if s not in table.index]
+        lines = [s for s in wanted if s[0] == BREAK]
+        if lines:
+            wanted = [s for s in wanted if s[0] != BREAK]
+            table.add(lines, *self._shared([s[1:] for s in lines], True))
+        table.add(wanted, *self._shared(wanted, False))
+        other = pc.not_equal(words, stems)
+        derived = words.filter(other)
+        pairs = [p for p in zip(derived.to_pylist(), stems.filter(other).to_pylist()) if p[0] not in table.index]
+        if not pairs:
+            return
+        names, own = zip(*pairs)
+        at, mark = table.places(own), np.array([1 + ".,".find(w[-1]) for w in names])
+        first = np.cumsum([0, 0, len(self.marks[0])])[mark] + len(table.values)
+        starts = np.stack([table.starts[at], first], axis=1).ravel()
+        sizes = np.stack([table.sizes[at], np.array([0, *map(len, self.marks)])[mark]], axis=1)
+        table.add(names, gather(np.concatenate([table.values, *self.marks]), starts, sizes.ravel()), sizes.sum(axis=1))
+
+    def _whole(self, text: str) -> np.ndarray:
+        """Ids of a text with other white space: cut at spaces before visible characters only."""
+        first, *rest = CUT.split(text)
+        codes = {p: i for i, p in enumerate(dict.fromkeys([first, *[self.lead + p for p in rest]]))}
+        ids = self._raw(list(codes))
+        return np.concatenate([ids[codes[first]], *[ids[codes[self.lead + p]] for p in rest]])
+
+    def _pieces(self, texts: list[str], spaced: bool) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct pieces, code of each piece, pieces of each text, texts that go the other way)."""
+        if not self.lead:
+            broken = [t.replace("\n", " ") for t in texts]
+        else:
+            head = "" if spaced else BREAK
+            broken = [head + t.replace("\n", " " + BREAK) for t in texts]
+        lists = pc.split_pattern(pa.array(broken, type=pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        whole = np.zeros(len(texts), dtype=bool)
+        if self.lead:
+            # white space (of any alphabet) at an end of a piece, no character at all, or the sign itself inside
+            misfit = pc.match_substring_regex(coded.dictionary, f"^{BREAK}?({SPACE}|$)|{SPACE}$|.{BREAK}")
+            misfit = misfit.to_numpy(zero_copy_only=False)
+            if misfit.any():
+                whole[np.repeat(np.arange(len(texts)), sizes)[misfit[codes]]] = True
+            whole |= np.array([BREAK in t for t in texts], dtype=bool)
+        return coded.dictionary, codes, sizes, whole
+
+    def encode(self, texts: list[str], spaced: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): unsigned 32-bit ids of all texts and where each text's ids end. ``spaced`` puts a space
+        before each text that isn't empty."""
+        if not texts:
+            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        distinct, codes, sizes, whole = self._pieces(texts, spaced)
+        of = np.repeat(np.arange(len(texts)), sizes)
+        use = np.zeros(len(distinct), dtype=bool)
+        use[codes[~whole[of]]] = True
+        used = distinct.filter(pa.array(use))
+        names = used.to_pylist()
+        self.table.trim()
+        at = self.table.places(names)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            self._learn(used.take(pa.array(new)))
+            at[new] = self.table.places([names[i] for i in new])
+        place = np.zeros(len(distinct), dtype=np.int64)
+        place[use] = at
+        taken = np.where(whole[of], 0, self.table.sizes[place][codes]) if len(at) else np.zeros(len(codes), np.int64)
+        starts = self.table.starts[place][codes] if len(at) else taken.copy()
+        if self.lead and not spaced:  # the break put before each text is no part of it
+            heads = (np.cumsum(sizes) - sizes)[~whole]
+            starts[heads] += 1
+            taken[heads] -= 1
+        counts = np.bincount(of, taken, len(texts)).astype(np.int64)
+        ids = gather(self.table.values, starts, taken)
+        if whole.any():
+            bounds, parts, done = np.cumsum(counts) - counts, [], 0
+            for i in np.flatnonzero(whole):
+                own = self._whole((" " if spaced else "") + texts[i]) if texts[i] else ids[:0]
+                parts += [ids[done : bounds[i]], own]
+                done, counts[i] = bounds[i], len(own)
+            ids = np.concatenate([*parts, ids[done:]])
+        return ids, np.cumsum(counts)
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
-        # where the space is dropped, or always stands before a visible character, every space is a cut
-        every = not self.lead
-        parts = [t.split(" ") if every or not ODD_SPACE.search(t) else CUT.split(t) for t in texts]
-        wanted = set()
-        for p in parts:
-            wanted.update(p[1:])
-        if len(self.known) + len(wanted) > MAX_PIECES or self.chars > MAX_PIECE_CHARS:
-            self.known, self.chars = {}, 0
-        self._learn(wanted)
-        heads = self._raw([p[0] for p in parts])
-        get = self.known.__getitem__
-        return [h + b"".join(map(get, p[1:])) for h, p in zip(heads, parts)]
-
-
-def encoder(path: str, space_counts: bool) -> PieceEncoder:
+        """Little-endian unsigned 32-bit ids as bytes, one entry per text."""
+        ids, ends = self.encode(texts)
+        raw, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+def encoder(path: str, space_counts: bool, plain_specials: bool = False) -> PieceEncoder:
     """The worker's encoder for a tokenizer file, loaded once."""
-    if (path, space_counts) not in _LOADED:
-        _LOADED[path, space_counts] = PieceEncoder(path, space_counts)
-    return _LOADED[path, space_counts]
+    key = (path, space_counts, plain_specials)
+    if key not in _LOADED:
+        _LOADED[key] = PieceEncoder(*key)
+    return _LOADED[key]

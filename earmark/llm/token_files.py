@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType
 
-from earmark.llm.common import named, sliced, small_batches
+from earmark.llm.common import merged, named, sliced, small_batches
 from earmark.llm.pieces import encoder
 
 # rows of a row group that has its own index entry and Bloom filter
@@ -44,19 +44,18 @@ def write_tokens(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, space_counts).ids_of
+        encode = encoder(tokenizer_path, space_counts).encode
         part, total = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in merged(batches):
             for rows, texts in sliced(batch, "text"):
-                ids = [x + end for x in encode(texts)]
-                counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                ends = np.cumsum(counts)
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                ids, ends = encode(texts)
+                ids = np.insert(ids, ends, end_id)  # behind each document
+                ends = ends + np.arange(1, len(texts) + 1)
+                counts = np.diff(ends, prepend=0)
+                values, offsets = pa.array(ids.view("<i4")), pa.array(np.append([0], ends).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(ids), part, dtype=np.int32)),
+                        pa.array(np.full(len(texts), part, dtype=np.int32)),
                         pa.array(total + ends - counts),
                         rows.column("id"),
                         pa.array(counts),
