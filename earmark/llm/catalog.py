@@ -1,4 +1,4 @@
-"""Queries of the ten operators over the given tables, and their SQL where SQL can say it."""
+"""Queries of the thirteen operators over the given tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from earmark.llm import bpe, language, learned, licenses, neardup, packing, pseudonyms, quality, token_files, vafile
+from earmark.llm import alignment, bpe, centroids, language, learned, licenses, neardup, packing, pseudonyms, quality, slack, token_files, vafile
 from earmark.llm.blocks import clean
 from earmark.llm.common import remainder
 from earmark.session import scratch_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -90,6 +91,28 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty clusters of the vectors after five rounds."""
+    labelled, found = centroids.cluster(_table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, seed=2, dimensions=64)
+    if not len(found):
+        return spark.createDataFrame(
+            [], "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
+        )
+    return centroids.summary(labelled, found).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the byte-level and the piece vocabulary of every document."""
+    return alignment.aligned_documents(_table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
+def op13_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into windows of 1024 tokens without padding."""
+    return slack.packed_documents(_table(spark, sf_dir, "documents"), BYTE_BPE, capacity=1024, end_id=0)
+
+
 OP5_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
@@ -105,15 +128,60 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def _centroid_sql(clusters: int, rounds: int) -> str:
+    """The rounds of op11, one group of steps each."""
+    distance = "list_sum(list_transform(list_zip(k.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, x) - 1 AS INTEGER) AS cluster, x
+  FROM kept QUALIFY cluster < {clusters}
+)""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (
+  SELECT k.row, k.vec_id, k.x, c.cluster, CAST({distance} AS BIGINT) AS distance FROM kept k CROSS JOIN c{i} c
+  QUALIFY row_number() OVER (PARTITION BY k.row ORDER BY distance, c.cluster) = 1
+)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""c{i + 1} AS MATERIALIZED (
+  WITH part AS (SELECT cluster, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM a{i}),
+  mean AS (
+    SELECT cluster, pos, CAST(sum(v) AS HUGEINT) AS s, count(*) AS n FROM part GROUP BY cluster, pos
+  ), own AS (
+    SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS x FROM mean GROUP BY cluster
+  )
+  SELECT c.cluster, coalesce(own.x, c.x) AS x FROM c{i} c LEFT JOIN own USING (cluster)
+)"""
+            )
+    return (
+        "WITH " + ",\n".join(steps) + f"""
+SELECT a.vec_id, a.cluster, a.distance,
+       CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (cluster)
+"""
+    )
+
+
 def queries():
     return {
         f.__name__: f
         for f in (
             op1_pseudonyms, op2_token_files, op3_near_duplicates, op4_best_fit_packing, op5_exact_top_k,
-            op6_learned_partitions, op7_language, op8_quality, op9_license_scan, op10_byte_bpe,
+            op6_learned_partitions, op7_language, op8_quality, op9_license_scan, op10_byte_bpe, op11_centroid_clusters,
+            op12_token_alignment, op13_slack_packing,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_top_k": OP5_SQL}
+    return {"op5_exact_top_k": OP5_SQL, "op11_centroid_clusters": _centroid_sql(40, 5)}

@@ -93,7 +93,7 @@ class PieceEncoder:
         self.lead = " " if space_counts else ""
         self.folds = False
         self._load(path, plain_specials)
-        self.marks = [self._raw([m])[0] for m in ".,"]
+        self.marks = [self._mark(m) for m in ".,"]
         self.table = PieceTable()
 
     def _load(self, path: str, plain_specials: bool) -> None:
@@ -114,6 +114,10 @@ class PieceEncoder:
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _mark(self, mark: str) -> np.ndarray:
+        """Ids of a full stop or comma behind a word."""
+        return self._raw([mark])[0]
+
     def _raw_pieces(self, pieces: list[str]) -> list[np.ndarray]:
         """Ids of single pieces: with the space before them, or with the line break."""
         return self._raw([self._text(p) for p in pieces])
