@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earmark.functions.columns import BUCKETS_PER_OCTAVE, FINE_PER_OCTAVE, value_bucket
+from earmark.session import stored
 
 # rows of one group that a single task may hold as an array
 MAX_GROUP_ROWS = 200_000
@@ -85,25 +86,27 @@ def running_totals(
 ) -> DataFrame:
     """Add ``<m>_before`` (sum over earlier rows) and ``<m>_total`` (sum over the key) per measure.
 
-    Order is by ``value``, then the ``then`` columns ascending. ``table`` must hold one row per
-    (keys, value, then): collapse equal values first, so that a hot value is one row.
+    Order is by ``value``, then the ``then`` columns ascending; with them it must be total within a key, or rows
+    that are equal in it come in any order. One range shuffle along (key, value, then) deals the rows into parts of
+    about equal size, whatever share a key or a value has, and the rows are stored with their part. Only the
+    totals of (part, key), fewer than parts and keys together, are summed along a key.
     """
     # the caller's columns may themselves be called _key
     own = {c: f"_own_{c}" for c in table.columns}
-    bucket = value_bucket(F.col(value), FINE_PER_OCTAVE)
-    placed = table.select(
-        *[F.col(c).alias(n) for c, n in own.items()],
-        (-bucket if descending else bucket).alias("_bucket"),
-        key_of(keys).alias("_key"),
-    )
-    offsets = bucket_offsets(placed, {m: F.sum(own[m]) for m in measures})
     direction = F.col(own[value]).desc() if descending else F.col(own[value]).asc()
-    inside = (
-        Window.partitionBy("_key", "_bucket")
-        .orderBy(direction, *[own[c] for c in then])
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return placed.join(offsets, ["_key", "_bucket"]).select(
+    order = [direction, *[F.col(own[c]).asc() for c in then]]
+    placed = table.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], key_of(keys).alias("_key"))
+    # the part is read back from the written rows, so that a retry cannot deal them anew
+    parted = stored(placed.repartitionByRange("_key", *order).withColumn("_part", F.spark_partition_id()), "ordered")
+    along = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole, inside = Window.partitionBy("_key"), Window.partitionBy("_part", "_key").orderBy(*order)
+    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
+    totals = parted.groupBy("_part", "_key").agg(*[F.sum(own[m]).alias(m) for m in measures]).select(
+        "_part", "_key",
+        *[F.coalesce(F.sum(m).over(along), F.lit(0)).alias(f"_{m}_offset") for m in measures],
+        *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures],
+    )
+    return parted.join(totals, ["_part", "_key"]).select(
         *[F.col(n).alias(c) for c, n in own.items()],
         *[
             (F.coalesce(F.sum(own[m]).over(inside), F.lit(0)) + F.col(f"_{m}_offset")).alias(f"{m}_before")

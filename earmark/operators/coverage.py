@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from earmark import constants as C
 from earmark.functions.columns import literal_table, ratio
 from earmark.operators.metrics import decision_counts, decision_ratios
-from earmark.operators.quality import applicable, validate_scores
+from earmark.operators.quality import applicable, judged, sound
 from earmark.sources.dims import with_profile
 
 ALL = "*"
@@ -20,8 +20,9 @@ def coverage_cube(preds: DataFrame, profile: str, *, split: str = "evaluation")
 
     Rows are counted once per (label, dataset); the grouping sets run over those few counts.
     """
-    leveled = with_profile(validate_scores(applicable(preds, split)), profile, label="label")
-    cells = leveled.groupBy("label", "dataset").agg(*decision_counts(leveled))
+    leveled = with_profile(judged(applicable(preds, split)), profile, label="label")
+    cells = leveled.groupBy("label", "dataset").agg(*decision_counts(leveled), F.max("_fault").alias("_fault"))
+    cells = sound(cells)
     counts = [c for c in cells.columns if c not in ("label", "dataset")]
     label, dataset = F.col("label"), F.col("dataset")
     cube = cells.groupingSets([[label, dataset], [label], [dataset], []], label, dataset).agg(

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import math
-import os
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from earmark import constants as C
-from earmark.functions.columns import f1_score, ratio, value_bucket
-from earmark.functions.ordered import MAX_WINDOW_ROWS, join_on, key_of, oversized_keys, running_totals
+from earmark.functions.columns import f1_score, ratio
+from earmark.functions.ordered import running_totals
 from earmark.operators.decisions import decision
-from earmark.operators.quality import validate_scores
+from earmark.operators.quality import judged, sound
 
 
 def binary_metrics(
@@ -20,13 +18,16 @@ def binary_metrics(
 ) -> DataFrame:
     """Metrics per key at the ``threshold`` column of each row (constant within a key).
 
-    With ``tie_break`` the average precision is added as ``pr_auc``. Scores are clipped to [0, 1]; a row
-    with a target other than 0 or 1 or a score that is not finite fails the job (set such rows aside
-    with ``validate_scores`` first).
+    With ``tie_break`` the average precision is added as ``pr_auc``, from the same pass over the ranked rows.
+    Scores are clipped to [0, 1]; a row with a target other than 0 or 1 or a score that is not finite fails the
+    job (set such rows aside with ``validate_scores`` first).
     """
-    preds = validate_scores(preds)
     hit, true = F.col("score") >= F.col("threshold"), F.col("target") == 1
-    counts = preds.groupBy(*keys).agg(
+    rows, rated = judged(preds), []
+    if tie_break is not None:
+        rows, rated = _ranked(rows, keys, tie_break, ["threshold"]), [_precision_sum()]
+    counts = rows.groupBy(*keys).agg(
+        F.max("_fault").alias("_fault"),
         F.max("threshold").alias("threshold"),
         F.count("*").alias("samples"),
         F.count_if(true).alias("positives"),
@@ -35,66 +36,40 @@ def binary_metrics(
         F.count_if(hit & true).alias("true_positive"),
         F.count_if(hit & ~true).alias("false_positive"),
         F.count_if(~hit & true).alias("false_negative"),
+        *rated,
     )
-    rated = counts.select(
-        "*",
+    return sound(counts).select(
+        *[c for c in counts.columns if c not in ("_fault", "pr_auc")],
         ratio(F.col("true_positive"), F.col("predicted_positive")).alias("precision"),
         ratio(F.col("true_positive"), F.col("positives")).alias("recall"),
         ratio(F.col("predicted_positive"), F.col("samples")).alias("coverage"),
+        *(["pr_auc"] if rated else []),
     ).withColumn("f1", f1_score(F.col("precision"), F.col("recall")))
-    if tie_break is None:
-        return rated
-    return join_on(rated, average_precision(preds, keys, tie_break), list(keys))
 
 
-def _tie_slice(rows: DataFrame, column: str, limit: int) -> Column:
-    """Slice of a tie group that does not decrease along the first tie-break column.
+def _ranked(judged_rows: DataFrame, keys: Sequence[str], tie_break: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    """Rows with ``rank`` and ``hits`` (positives up to here) along falling scores, ties by ``tie_break``.
 
-    Least and greatest value tell what the values share: texts are cut behind their common start,
-    with a character for every factor of ten in rows, and numbers are measured from the least one.
+    Rows are dealt into parts of equal size along that order, so a label, or one score that a third of all
+    rows share, is ranked by many tasks.
     """
-    low, high, n = rows.agg(F.min(column), F.max(column), F.count("*")).first()
-    if dict(rows.dtypes)[column] == "string":
-        shared = len(os.path.commonprefix([low or "", high or ""]))
-        return F.substring(F.col(column), shared + 1, 2 + int(math.log10(max(1, n / limit))))
-    start = float(low or 0)
-    return value_bucket(F.col(column).cast("double") - F.lit(start if math.isfinite(start) else 0.0))
-
+    columns = list(dict.fromkeys([*keys, "score", "target", "_fault", *tie_break, *more]))
+    rows = judged_rows.select(*columns, F.lit(1).cast("long").alias("_n"), F.col("target").cast("long").alias("_tp"))
+    totals = running_totals(rows, keys, "score", ["_n", "_tp"], descending=True, then=tie_break)
+    return totals.select(*columns, (F.col("_n_before") + 1).alias("rank"), (F.col("_tp_before") + F.col("_tp")).alias("hits"))
 
-def average_precision(
-    preds: DataFrame, keys: Sequence[str], tie_break: Sequence[str], *, limit: int = MAX_WINDOW_ROWS
-) -> DataFrame:
-    """Non-interpolated average precision; equal scores are ranked by ``tie_break``, a total order.
 
-    Counts per (key, score) give every tie group the rank and the hits before it, and only rows of
-    one tie group are ordered together, never a label. If a tie group exceeds ``limit`` rows (say,
-    a third of all rows at exactly 1.0), ties are cut further into slices along ``tie_break``.
-    """
-    ties = ["_key", "score"]
-    then: list[str] = []
-    rows = validate_scores(preds).withColumn("_key", key_of(keys)).select(*ties, "target", *tie_break)
-    if oversized_keys(rows, ties, limit) is not None:
-        then = ["_tie"]
-        rows = rows.withColumn("_tie", _tie_slice(rows, tie_break[0], limit))
-    groups = [*ties, *then]
-    hits = F.sum(F.col("target").cast("long"))
-    hist = rows.groupBy(*groups).agg(F.count("*").alias("n"), hits.alias("tp"))
-    before = running_totals(hist, ["_key"], "score", ["n", "tp"], descending=True, then=then)
-    inside = Window.partitionBy(*groups).orderBy(*tie_break)
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # a merge join leaves the rows partitioned as the ranking window needs them: one shuffle for both
-    offsets = before.select(*groups, "n_before", "tp_before").hint("merge")
-    ranked = rows.join(offsets, groups).select(
-        *[F.col("_key")[k].alias(k) for k in keys],
-        "target",
-        (F.col("n_before") + F.row_number().over(inside)).alias("rank"),
-        (F.col("tp_before") + hits.over(upto)).alias("hits"),
-    )
+def _precision_sum() -> Column:
+    """Mean of the precisions at the ranks of the positives, 0.0 without positives."""
     gain = F.sum(F.when(F.col("target") == 1, F.col("hits") / F.col("rank")))
     positives = F.sum(F.col("target").cast("long"))
-    return ranked.groupBy(*keys).agg(
-        F.when(positives > 0, gain / positives).otherwise(0.0).alias("pr_auc")
-    )
+    return F.when(positives > 0, gain / positives).otherwise(0.0).alias("pr_auc")
+
+
+def average_precision(preds: DataFrame, keys: Sequence[str], tie_break: Sequence[str]) -> DataFrame:
+    """Non-interpolated average precision; equal scores are ranked by ``tie_break``, a total order."""
+    ranked = _ranked(judged(preds), keys, tie_break)
+    return sound(ranked.groupBy(*keys).agg(_precision_sum(), F.max("_fault").alias("_fault")))
 
 
 def decision_counts(preds: DataFrame) -> list[Column]:
@@ -129,5 +104,5 @@ def decision_ratios(counts: DataFrame) -> DataFrame:
 
 def decision_coverage(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mutually exclusive confirmed / candidate / unknown counts, coverages and precisions."""
-    preds = validate_scores(preds)
-    return decision_ratios(preds.groupBy(*keys).agg(*decision_counts(preds)))
+    rows = judged(preds)
+    return decision_ratios(sound(rows.groupBy(*keys).agg(*decision_counts(rows), F.max("_fault").alias("_fault"))))

@@ -86,6 +86,19 @@ def score_fault(target: str = "target", score: str = "score") -> Column:
     )
 
 
+def judged(df: DataFrame, *, target: str = "target", score: str = "score") -> DataFrame:
+    """Scores clipped to [0, 1] and ``_fault``, why a row is unusable; an aggregate takes its maximum along."""
+    clipped = F.least(F.greatest(F.col(score).cast("double"), F.lit(0.0)), F.lit(1.0))
+    return df.withColumn("_fault", score_fault(target, score)).withColumn(score, clipped)
+
+
+def sound(aggregated: DataFrame) -> DataFrame:
+    """Aggregated rows without their ``_fault``; one that isn't null fails the job with its reason."""
+    reason = F.concat(F.lit("unusable labelled score: "), F.col("_fault"))
+    fine = F.when(F.col("_fault").isNull(), F.lit(True)).otherwise(F.raise_error(reason).cast("boolean"))
+    return aggregated.filter(fine).drop("_fault")
+
+
 def validate_scores(
     df: DataFrame, *, target: str = "target", score: str = "score", on_bad: str = "fail"
 ) -> DataFrame | tuple[DataFrame, DataFrame]:

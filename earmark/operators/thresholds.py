@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, functions as F
 from earmark import constants as C
 from earmark.functions.columns import f1_score, ratio
 from earmark.functions.ordered import join_on, running_totals
-from earmark.operators.quality import applicable, validate_scores
+from earmark.operators.quality import applicable, judged, sound
 
 
 def score_histogram(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows (n) and positives (tp) per key and distinct score, combined before the shuffle."""
-    return preds.groupBy(*keys, "score").agg(
-        F.count("*").alias("n"), F.sum(F.col("target").cast("long")).alias("tp")
+    """Rows (n) and positives (tp) per key and distinct clipped score, combined before the shuffle; ``_fault`` says
+    why a row is unusable."""
+    return judged(preds).groupBy(*keys, "score").agg(
+        F.count("*").alias("n"), F.sum(F.col("target").cast("long")).alias("tp"), F.max("_fault").alias("_fault")
     )
 
 
@@ -29,6 +30,7 @@ def _at_thresholds(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
         (F.col("tp_before") + F.col("tp")).alias("hits"),
         F.col("n_total").alias("samples"),
         F.col("tp_total").alias("positives"),
+        *[c for c in hist.columns if c == "_fault"],
     )
 
 
@@ -45,18 +47,18 @@ def search_threshold(
     No qualified score gives threshold 1.0 and zeros. Scores are clipped to [0, 1]; an unusable row
     fails the job (set such rows aside with ``validate_scores`` first).
     """
-    preds = validate_scores(preds)
     rows = _at_thresholds(score_histogram(preds, keys), keys)
     qualified = F.col("hits") / F.col("predicted") >= precision_target
     best = rows.groupBy(*keys).agg(
         F.min(F.when(qualified, F.struct("threshold", "predicted", "hits"))).alias("best"),
         F.max("samples").alias("samples"),
         F.max("positives").alias("positives"),
+        F.max("_fault").alias("_fault"),
     )
     predicted = F.coalesce(F.col("best.predicted"), F.lit(0))
     hits = F.coalesce(F.col("best.hits"), F.lit(0))
     met = F.col("best").isNotNull()
-    rated = best.select(
+    rated = sound(best).select(
         *keys,
         F.coalesce(F.col("best.threshold"), F.lit(1.0)).alias("threshold"),
         ratio(hits, predicted).alias("precision"),
@@ -123,13 +125,14 @@ def histogram_metrics(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     hit = F.col("score") >= F.col("threshold")
     zero = F.lit(0).cast("long")
     counts = hist.groupBy(*keys).agg(
+        F.max("_fault").alias("_fault"),
         F.max("threshold").alias("threshold"),
         F.sum("n").alias("samples"),
         F.sum("tp").alias("positives"),
         F.sum(F.when(hit, F.col("n")).otherwise(zero)).alias("predicted_positive"),
         F.sum(F.when(hit, F.col("tp")).otherwise(zero)).alias("true_positive"),
     )
-    rated = counts.select(
+    rated = sound(counts).select(
         "*",
         (F.col("samples") - F.col("positives")).alias("negatives"),
         (F.col("predicted_positive") - F.col("true_positive")).alias("false_positive"),

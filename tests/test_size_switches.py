@@ -5,12 +5,15 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from earmark.functions.columns import FINE_PER_OCTAVE, value_bucket
+from earmark.functions import ordered
 from earmark.functions.ordered import counted_slices, dense_index, order_statistics
-from earmark.operators.metrics import _tie_slice, average_precision, binary_metrics
+from earmark.operators.metrics import average_precision, binary_metrics
 from earmark.operators.sampling import late_fetch
 from earmark.operators.thresholds import search_threshold, validate_thresholds
 from earmark.plans.activity import label_intervals
+from earmark.session import stored
 
 NAN, INF = float("nan"), float("inf")
 
@@ -47,8 +50,8 @@ def test_dense_index_with_null_keys_and_orders(spark):
 def test_average_precision_keeps_a_null_label(spark):
     data = [(lab, t, s, n) for n, (lab, t, s) in enumerate([(None, 1, 0.9), (None, 0, 0.9), (None, 1, 0.2), ("a", 1, 1.7), ("a", 0, 1.2), ("a", 1, -0.3)])]
     df = spark.createDataFrame(data, "label string, target int, score double, no int")
-    small = _rows(average_precision(df, ["label"], ["no"], limit=10**6))
-    assert small == _rows(average_precision(df, ["label"], ["no"], limit=1)) and len(small) == 2
+    few, many = (_rows(average_precision(df.repartition(n), ["label"], ["no"])) for n in (1, 5))
+    assert few == many and len(few) == 2
     assert {r.label for r in search_threshold(df, ["label"]).collect()} == {None, "a"}
 
 
@@ -99,8 +102,37 @@ def test_hot_keys_are_cut_by_their_own_rows(spark):
     assert len(cut) > n / limit / 2
     crowded = df.groupBy(value_bucket(F.col("score"), FINE_PER_OCTAVE)).count().agg(F.max("count")).first()[0]
     assert crowded <= 2 * limit
-    for column in ("name", "no"):
-        ties = df.withColumn("t", _tie_slice(df, column, limit))
-        assert ties.groupBy("t").count().agg(F.max("count")).first()[0] <= 2 * limit
-        steps = ties.groupBy("t").agg(F.min(column).alias("a"), F.max(column).alias("b")).orderBy("t").collect()
-        assert all(x.b < y.a for x, y in zip(steps, steps[1:]))
+
+
+def test_running_totals_deal_a_hot_tie_group_evenly(spark, monkeypatch):
+    """One key, one score, and an outlying tie-break elsewhere: parts of about equal size, exact totals."""
+    n = 40_000
+    df = spark.range(n).select(
+        F.when(F.col("id") < 3, "other").otherwise("hot").alias("_key"),  # a clashing name
+        F.when(F.col("id") < 3, F.col("id") / 4.0).otherwise(F.lit(1.0)).alias("score"),
+        F.when(F.col("id") == 0, "~outlier").otherwise(F.format_string("sample_000%09d", "id")).alias("name"),
+        F.lit(1).cast("long").alias("n"),
+    )
+    kept = {}
+    monkeypatch.setattr(ordered, "stored", lambda d, name: kept.setdefault(name, stored(d, name)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is too small to be cut otherwise
+    try:
+        got = ordered.running_totals(df, ["_key"], "score", ["n"], descending=True, then=["name"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in kept["ordered"].groupBy("_part").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) <= 2 * n / len(sizes)
+    hot = got.filter("_key = 'hot'").orderBy("name").collect()
+    assert [r.n_before for r in hot] == list(range(n - 3)) and {r.n_total for r in hot} == {n - 3}
+    rest = {r.name: r.n_before for r in got.filter("_key = 'other'").collect()}
+    assert sorted(rest.values()) == [0, 1, 2] and rest["~outlier"] == 2
+
+
+def test_metric_plans_scan_once_and_fail_late(spark):
+    """One range shuffle and the stored rows instead of a self-join of the scan; no error expression on rows."""
+    sf = "/root/testdata/sf0.001"
+    for name in ("search_threshold", "average_precision", "binary_metrics"):
+        text = queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem" not in text, name  # the rows come from the store
+        assert text.count("Exchange hashpartitioning") + text.count("Exchange rangepartitioning") <= 4, name
+        assert text.count("raise_error") == 1, name
