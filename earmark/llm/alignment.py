@@ -30,7 +30,9 @@ from earmark.llm.common import merged, named, sliced, small_batches, written
 from earmark.llm.pieces import PieceEncoder, encoder, gather
 
 FRAGMENT_WORDS = 64
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 1_000_000
+# pieces that each of a worker's two encoders remembers
+KNOWN_PIECES = 150_000
 MARK = "▁"  # stands for a space in pieces
 _PIECES: dict[str, SentencePieces] = {}
 
@@ -68,7 +70,7 @@ class SentencePieces(PieceEncoder):
 def sentence_pieces(path: str) -> SentencePieces:
     """The worker's encoder for a model file, loaded once."""
     if path not in _PIECES:
-        _PIECES[path] = SentencePieces(path, True)
+        _PIECES[path] = SentencePieces(path, True, limit=KNOWN_PIECES)
     return _PIECES[path]
 
 
@@ -89,7 +91,7 @@ _VOCABULARIES: dict[str, Vocabulary] = {}
 
 def byte_vocabulary(path: str) -> Vocabulary:
     if path not in _VOCABULARIES:
-        letters, tokenizer = byte_letters(), encoder(path, True, True).tokenizer
+        letters, tokenizer = byte_letters(), encoder(path, True, True, KNOWN_PIECES).tokenizer
         special = set(tokenizer.get_added_tokens_decoder())
         tokens = [b""] * (max(tokenizer.get_vocab().values()) + 1)
         for token, i in tokenizer.get_vocab().items():
@@ -164,7 +166,7 @@ def align_texts(texts: list[str], a_path: str, b_path: str):
 
     A pair is one number: the A id times the size of B's vocabulary plus the B id; a document's pairs ascend.
     """
-    side = (encoder(a_path, True, True), sentence_pieces(b_path))
+    side = (encoder(a_path, True, True, KNOWN_PIECES), sentence_pieces(b_path))
     vocabulary = (byte_vocabulary(a_path), piece_vocabulary(b_path))
     raw = [(" " + t).encode() if t else b"" for t in texts]
     lengths = np.array([len(r) for r in raw], dtype=np.int64)

@@ -32,7 +32,7 @@ MAX_PIECE_CHARS = 16_000_000
 # new words that share one text when they are encoded
 SHARED_WORDS = 50
 
-_LOADED: dict[tuple[str, bool, bool], PieceEncoder] = {}
+_LOADED: dict[tuple[str, bool, bool, int], PieceEncoder] = {}
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -50,7 +50,8 @@ def strings(array: pa.Array) -> list[str]:
 class PieceTable:
     """Pieces and their ids; at the limit the half not used for longest goes."""
 
-    def __init__(self):
+    def __init__(self, limit: int = MAX_PIECES):
+        self.limit = limit
         self.index: dict[str, int] = {}
         self.values = np.zeros(0, dtype="<u4")
         self.starts = self.sizes = self.stamps = np.zeros(0, dtype=np.int64)
@@ -75,13 +76,13 @@ class PieceTable:
     def trim(self) -> None:
         self.clock += 1
         n = len(self.sizes)
-        if n <= MAX_PIECES and self.chars <= MAX_PIECE_CHARS and len(self.values) <= MAX_PIECE_CHARS:
+        if n <= self.limit and self.chars <= MAX_PIECE_CHARS and len(self.values) <= MAX_PIECE_CHARS:
             return
         keep = np.sort(np.argsort(self.stamps, kind="stable")[n // 2 :])
         names = list(self.index)  # in the order of their places
         names, values, sizes, stamps = [names[i] for i in keep], gather(self.values, self.starts[keep], self.sizes[keep]), self.sizes[keep], self.stamps[keep]
         clock = self.clock
-        self.__init__()
+        self.__init__(self.limit)
         self.clock = clock
         self.add(names, values, sizes)
         self.stamps = stamps
@@ -94,12 +95,12 @@ class PieceEncoder:
     ``plain_specials`` that the strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, space_counts: bool, plain_specials: bool = False):
+    def __init__(self, path: str, space_counts: bool, plain_specials: bool = False, limit: int = MAX_PIECES):
         self.lead = " " if space_counts else ""
         self.folds = False
         self._load(path, plain_specials)
         self.marks = [self._mark(m) for m in ".,"]
-        self.table = PieceTable()
+        self.table = PieceTable(limit)
 
     def _load(self, path: str, plain_specials: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -242,9 +243,9 @@ class PieceEncoder:
         return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
-def encoder(path: str, space_counts: bool, plain_specials: bool = False) -> PieceEncoder:
-    """The worker's encoder for a tokenizer file, loaded once."""
-    key = (path, space_counts, plain_specials)
+def encoder(path: str, space_counts: bool, plain_specials: bool = False, limit: int = MAX_PIECES) -> PieceEncoder:
+    """The worker's encoder for a tokenizer file, loaded once; its table keeps ``limit`` pieces."""
+    key = (path, space_counts, plain_specials, limit)
     if key not in _LOADED:
         _LOADED[key] = PieceEncoder(*key)
     return _LOADED[key]
