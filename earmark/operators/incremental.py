@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def task_key(sha: Column, profile: Column, separation: Column) -> Column:
@@ -67,3 +67,20 @@ def split_cached(required: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
 def merge_scores(cached: DataFrame, scored: DataFrame) -> DataFrame:
     """The full prediction table of a run: cached and newly scored rows."""
     return cached.unionByName(scored)
+
+
+CACHE_KEYS = ("sample_id", "label")
+
+
+def append_cache(scores: DataFrame, table: str, path: str, *, buckets: int = 64) -> None:
+    """Add (sample_id, label, score) to a score cache: a table bucketed by its keys, in a folder that stays.
+
+    A join with the cache reads its buckets where they lie; only the other side is shuffled.
+    """
+    rows = scores.select(*CACHE_KEYS, "score").repartition(buckets, *CACHE_KEYS)  # one file per bucket and run
+    writer = rows.write.mode("append").format("parquet").bucketBy(buckets, *CACHE_KEYS).sortBy(*CACHE_KEYS)
+    writer.option("path", path).saveAsTable(table)
+
+
+def read_cache(spark: SparkSession, table: str) -> DataFrame:
+    return spark.table(table)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from earmark.operators.incremental import (
+    append_cache,
     dedupe_submissions,
     fold_task_patches,
     merge_scores,
+    read_cache,
     split_cached,
     task_key,
 )
@@ -19,6 +23,7 @@ from earmark.plans.activity import with_rules
 from earmark.plans.adapters import with_inputs
 from earmark.plans.catalog.registry import register, tidied, tidy
 from earmark.plans.catalog.scores import EVENTS, interval_parts, score_parts
+from earmark.session import scratch_path
 from earmark.streaming.common import drain
 from earmark.streaming.interval_stream import live_intervals
 
@@ -81,6 +86,21 @@ def merged_query(spark, d):
     return tidy(merge_scores(cached.select(columns), todo.withColumn("score", F.lit(0.5)).select(columns)))
 
 
+@register("cached_runs", tidied(with_inputs(["doc_predictions"], """
+    SELECT sample_id, label, target, CASE WHEN dataset <> 'fr' THEN score ELSE 0.5::DOUBLE END AS score FROM required""",
+    required=_REQUIRED), "score"))
+def cached_runs_query(spark, d):
+    """Two runs over one bucketed cache: the first scores all but the French samples, the second finds those cached."""
+    table, path = f"score_cache_{uuid.uuid4().hex}", scratch_path(spark, "score-cache")
+    required = A.doc_predictions(spark, d).filter(F.col("target").isNotNull())
+    append_cache(required.filter(F.col("dataset") != "fr"), table, path)
+    cached, todo = split_cached(required.drop("score"), read_cache(spark, table))
+    append_cache(todo.withColumn("score", F.lit(0.5)), table, path)
+    cached, todo = split_cached(required.drop("score"), read_cache(spark, table))
+    columns = ["sample_id", "label", "target", "score"]
+    return tidy(merge_scores(cached.select(columns), todo.withColumn("score", F.lit(None).cast("double")).select(columns)))
+
+
 def _weights(width: int) -> list[float]:
     return [((k * 7) % 11 - 5) / 4 for k in range(width)]
 

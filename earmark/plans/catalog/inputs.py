@@ -11,7 +11,7 @@ from earmark.plans.activity import label_activity
 from earmark.plans.adapters import profile_sql, rules_sql, with_inputs
 from earmark.plans.catalog.registry import register, tidied, tidy
 from earmark.plans.catalog.scores import EVENTS, interval_parts, score_parts
-from earmark.session import scratch_path
+from earmark.session import scratch_path, small_splits, stored
 from earmark.sources import files
 from earmark.sources.dims import interval_rule_dim, taxonomy_dim, with_profile
 
@@ -67,6 +67,24 @@ def line_lookup_query(spark, d):
     return files.line_offset_lookup(lines, ".", 2, order=["file", "line_no"])
 
 
+_LICENSES = """
+    SELECT page_id, url, CASE WHEN url LIKE '%1%' THEN 'license ' || page_id
+                         ELSE 'Creative Commons; exact license unavailable in parsed metadata' END AS license FROM pages"""
+
+
+@register("track_licenses_file", _LICENSES)
+def license_file_query(spark, d):
+    """The same from a text file of three lines a track, numbered over small splits of the file."""
+    tracks = A.table(spark, d, "pages").select("page_id", "url", F.concat("page_id", F.lit(".mp3")).alias("path"))
+    path = scratch_path(spark, "licenses")
+    block = F.concat_ws("\n", "path", F.lit(""), F.concat(F.lit("license "), "page_id"))
+    tracks.filter(F.col("url").contains("1")).select(block.alias("value")).write.text(path)
+    with small_splits(spark, 16_384):
+        lines = stored(files.read_numbered_lines(spark, path), "lines")
+    found = files.with_license(tracks, files.line_offset_lookup(lines, ".mp3"))
+    return found.select("page_id", "url", "license")
+
+
 @register("track_licenses", """
     SELECT page_id, url, CASE WHEN url LIKE '%1%' THEN 'license ' || page_id
                          ELSE 'Creative Commons; exact license unavailable in parsed metadata' END AS license FROM pages""")
@@ -114,6 +132,35 @@ def manifest_query(spark, d):
     return files.targets_long(files.read_manifest(spark, path, lines=True))
 
 
+_TARGETS_SQL = f"""
+    SELECT doc_id::VARCHAR AS sample_id, source AS dataset, CASE WHEN doc_id % 4 = 0 THEN 'calibration' ELSE 'evaluation' END AS split,
+           CASE WHEN doc_id % 5 <> 0 THEN lang ELSE doc_id::VARCHAR END AS group_id,
+           ({A._list_sql(C.TARGET_LABELS)})[k + 1] AS label, ((doc_id + k) % 3 = 0)::INT AS target
+    FROM documents, (SELECT unnest(range(0, {len(C.TARGET_LABELS)})) AS k) WHERE (doc_id + k) % 3 <> 2"""
+
+
+@register("manifest_document", _TARGETS_SQL)
+def manifest_document_query(spark, d):
+    """One indented document per dataset, written out and read over small splits of its file."""
+    path = scratch_path(spark, "manifest-document")
+    samples = _manifest(spark, d)
+    record = F.to_json(F.struct(*samples.columns), {"pretty": "true", "ignoreNullFields": "false"})
+    first = samples.groupBy("dataset").agg(F.min("sample_id").alias("sample_id"), F.lit("").alias("comma"))
+    body = samples.join(first, ["dataset", "sample_id"], "left").select(
+        "dataset", "sample_id",
+        F.concat(F.coalesce("comma", F.lit(",\n")), F.lit("    "), F.regexp_replace(record, "\n", "\n    ")).alias("value"),
+    )
+    ends = first.select("dataset", F.explode(F.array(
+        F.struct(F.lit("").alias("sample_id"), F.lit('{\n  "version": {\n    "format": 1\n  },\n  "samples": [').alias("value")),
+        F.struct(F.lit("~").alias("sample_id"), F.lit('\n  ]\n}').alias("value")),
+    )).alias("e")).select("dataset", "e.*")
+    rows = body.unionByName(ends).repartition("dataset").sortWithinPartitions("dataset", "sample_id")
+    # a comma leads its record, so the line break behind the record before it is the sink's own
+    rows.select("dataset", F.ltrim("value", F.lit("\n")).alias("value")).write.partitionBy("dataset").text(path)
+    with small_splits(spark, 65_536):
+        return files.targets_long(files.read_manifest_document(spark, path))
+
+
 def _activity(spark, d):
     scores = A.frame_scores(spark, d)
     return label_activity(canonical_scores(scores), PROFILE, sized_by=scores)
@@ -139,6 +186,24 @@ def nested_query(spark, d):
     ))
 
 
+@register("replaced_results", tidied(with_inputs(EVENTS, f"""
+    SELECT d.clip_id::VARCHAR AS analysis_id, d.canonical_label, CASE WHEN d.clip_id % 3 = 0 THEN 'unknown' ELSE d.decision END AS decision,
+           d.score, count(i.start_s) AS n_ranges
+    FROM decided d LEFT JOIN intervals i USING (clip_id, canonical_label) WHERE d.clip_id % 3 <> 0 OR d.decision <> 'confirmed'
+    GROUP BY ALL""", **_DOC_PARTS), "score"))
+def replaced_query(spark, d):
+    """All documents, then every third analysis anew: the later documents hold fewer labels and other decisions."""
+    path = scratch_path(spark, "replaced")
+    documents = stored(files.nest_results(_activity(spark, d)), "documents")
+    files.replace_results(documents, path)
+    third = documents.filter(F.col("analysis_id").cast("long") % 3 == 0)
+    fewer = F.filter("instruments", lambda r: r["decision"] != "confirmed")
+    again = F.transform(fewer, lambda r: r.withField("decision", F.lit("unknown")))
+    files.replace_results(third.withColumn("instruments", again), path)
+    rows = files.result_rows(files.read_results(spark, path))
+    return tidy(rows.select("analysis_id", "canonical_label", "decision", "score", F.size("time_ranges").cast("long").alias("n_ranges")))
+
+
 @register("flat_export", with_inputs(EVENTS, f"""
     SELECT d.clip_id::VARCHAR AS analysis_id, d.canonical_label, n.display_name, d.decision, printf('%.6f', d.score) AS model_score,
            coalesce(string_agg(printf('%.2f', i.start_s) || '-' || printf('%.2f', i.end_s), '; ' ORDER BY i.start_s), '') AS time_ranges
@@ -154,6 +219,20 @@ def inventory_query(spark, d):
     return files.content_inventory(docs, body="text")
 
 
+@register("file_integrity", """
+    SELECT doc_id::VARCHAR AS path, CASE WHEN lang IN ('de', 'fr') THEN 'integrity_failure' END AS error FROM documents""")
+def file_integrity_query(spark, d):
+    """Texts as files of their own, read as binary files: the German ones were changed, the French ones are gone."""
+    path = scratch_path(spark, "content")
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "lang", "text")
+    changed = F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    docs.filter(F.col("lang") != "fr").select("path", changed.alias("value")).write.partitionBy("path").text(path)
+    name = F.regexp_extract("path", "path=([^/]+)/", 1)
+    found = files.read_inventory(spark, path).filter(F.col("size_bytes") > 0).withColumn("path", name)
+    manifest = docs.select("path", F.sha2(F.concat("text", F.lit("\n")), 256).alias("sha256"))  # the sink ends a text with a line break
+    return files.integrity_check(found, manifest).select("path", "error")
+
+
 @register("integrity_check", """
     SELECT doc_id::VARCHAR AS path, CASE WHEN lang IN ('de', 'fr') THEN 'integrity_failure' END AS error FROM documents""")
 def integrity_query(spark, d):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -38,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
@@ -46,6 +48,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+@contextlib.contextmanager
+def small_splits(spark: SparkSession, size: int):
+    """Files are cut into splits of ``size`` bytes by what runs inside; the caller's setting comes back."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n in names:
+            spark.conf.set(n, str(size))
+        yield
+    finally:
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/earmark/{name}-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from earmark import constants as C
+from earmark.functions.ordered import running_totals
 
 LABELLED = "label string, target int, model_score double"
 PREDICTIONS = (
@@ -102,7 +103,7 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with their number, counted over the file's splits in parallel.
 
     A line is numbered inside its split and moved up by the lines of the splits before it, so a
-    large file is read by many tasks.
+    large file is read by many tasks (``spark.sql.files.maxPartitionBytes`` sets the splits).
     """
     place = ["file", "_split"]
     lines = spark.read.text(path).select(
@@ -168,6 +169,30 @@ def read_manifest(spark: SparkSession, path: str, *, lines: bool = False) -> Dat
     return manifest_samples(samples.select("s.*"))
 
 
+# layout of a manifest document as it is usually written: one field to a line, two spaces a level
+RECORD_INDENT = "    "
+
+
+def read_manifest_document(spark: SparkSession, path: str) -> DataFrame:
+    """Samples of manifest documents of any size, each read by many tasks.
+
+    Expects the indented layout (two spaces a level) with ``samples`` as the only list of objects below the top. The
+    lines are read over the files' splits; a record's first and last line are known by their indent, so running
+    counts of both number the records, and the lines of one record are put together and parsed.
+    """
+    lines = read_numbered_lines(spark, path).withColumn("line", F.rtrim("line"))
+    opens = (F.col("line") == RECORD_INDENT + "{").cast("long")
+    closes = F.col("line").isin(RECORD_INDENT + "}", RECORD_INDENT + "},").cast("long")
+    marked = lines.select("*", opens.alias("opens"), closes.alias("closes"))
+    placed = running_totals(marked, ["file"], "line_no", ["opens", "closes"])
+    record = F.col("opens_before") + F.col("opens")
+    inside = placed.withColumn("record", record).filter(F.col("record") > F.col("closes_before"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    texts = inside.groupBy("file", "record").agg(F.rtrim(F.concat_ws("\n", parts), F.lit(",")).alias("text"))
+    parsed = F.from_json("text", SAMPLE, {"mode": "FAILFAST"})
+    return manifest_samples(texts.select(parsed.alias("s")).select("s.*"))
+
+
 def write_manifest(samples: DataFrame, path: str) -> None:
     """One record per line, in (dataset, split, sample_id) order over range-partitioned files: a
     single document would push every sample through one task."""
@@ -214,6 +239,12 @@ def write_results(documents: DataFrame, path: str) -> None:
     documents.write.mode("overwrite").json(path)
 
 
+def replace_results(documents: DataFrame, path: str) -> None:
+    """Result documents in one folder per analysis: those given replace their own folder and leave all others."""
+    folders = documents.repartition("analysis_id").write.mode("overwrite").partitionBy("analysis_id")
+    folders.option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").json(path)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESULT).json(path, mode="FAILFAST")
 
@@ -259,7 +290,7 @@ def content_inventory(content: DataFrame, path: str = "path", body: str = "conte
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Inventory of the files below a folder."""
+    """Inventory of the files below a folder. The reader lists no file without bytes, so an empty one counts as missing."""
     return content_inventory(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
 
 
