@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced."""
-    docs = pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"))
+    docs = pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"), pseudonyms.DEMO_KEY)
     return docs.select("doc_id", "text", "kinds", "n_replaced")
 
 

@@ -78,4 +78,17 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 def named(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Just these columns, whatever else the table holds."""
-    return docs.select(*[F.col(f"`{c}`") for c in columns])
+    return docs.select(*quoted(columns))
+
+
+def quoted(columns: Sequence[str]) -> list[Column]:
+    """The columns of these names, whatever signs they hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def free_name(columns: Sequence[str], name: str) -> str:
+    """A name like this one that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from earmark.llm.common import small_batches, text_slices
+from earmark.llm.common import free_name, quoted, small_batches, text_slices
 
 DIMENSIONS = 1024
 SEED = 11
@@ -178,5 +178,7 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], text: Column
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: str = "text") -> DataFrame:
     """The table with ``lang_pred`` and ``score``."""
-    out = docs.withColumn("_lang", predicted(docs, model, F.col(f"`{text_col}`")))
-    return out.withColumn("lang_pred", F.col("_lang.lang_pred")).withColumn("score", F.col("_lang.score")).drop("_lang")
+    new = free_name(docs.columns, "_lang")
+    out = docs.withColumn(new, predicted(docs, model, *quoted([text_col])))
+    kept = quoted([c for c in docs.columns if c not in ("lang_pred", "score")])
+    return out.select(*kept, F.col(f"{new}.lang_pred").alias("lang_pred"), F.col(f"{new}.score").alias("score"))

@@ -40,6 +40,8 @@ MISS = 1e-6
 SEED = 3
 # leaders that a bucket takes in round r: one, then FACTOR ** r
 FACTOR = 16
+# turns after which leaders outnumber the members of any bucket
+MAX_TURNS = 15
 MAX_WORDS = 400_000
 LOWER_AND_SPACE = bytes(
     32 if b in (9, 10, 11, 12, 13) else b + 32 if 65 <= b <= 90 else b for b in range(256)
@@ -275,10 +277,12 @@ def near_duplicates(
     # a merge join at every size: the ids wanted grow with the corpus
     texts = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
     full = written(shingle_sets(texts, words), "sets")
+    if full.count() > met_classes.count():  # ids repeat: copies of a set would multiply in the joins below
+        full = written(full.join(met_classes.select("cid").hint("merge"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
 
     roots = classes.select("cid", F.col("cid").alias("comp"))
     most = least_lanes(share)
-    for turn in range(64):
+    for turn in range(MAX_TURNS):
         counted = members.groupBy("bucket", "comp").agg(F.count("*").alias("n_comp"), F.min(-F.col("weight")).alias("weight"))
         mixed = counted.groupBy("bucket").agg(
             F.max_by("comp", F.struct("n_comp", "weight", "comp")).alias("largest"), F.count("*").alias("n_comps")
@@ -324,6 +328,8 @@ def near_duplicates(
         ).drop("largest")
         members = written(_renamed(rest, "comp", joined), "members")
         roots = written(_renamed(roots, "comp", joined), "roots")
+    else:
+        raise RuntimeError("buckets are still mixed after all turns")
 
     ids = classes.select("cid", "id").join(roots, "cid")
     smallest = written(ids.groupBy("comp").agg(F.min("id").alias("component_id")), "smallest")

@@ -14,9 +14,11 @@ nothing has to be remembered or joined. Whoever holds the key can invert it.
 | ssn | area, group and serial in range | layout, ranges |
 | ip | four octets, the first 1 to 223 | layout of four octets |
 | phone | 10 to 15 digits after +, 10 as 3-3-4 with or without a leading 1, 10 to 12 with a leading 0 | layout, country code or leading 0 or 1, leading digits in range |
-| date | calendar, 1900 to 2099 | layout |
+| date | calendar, 1900 to 2099 | layout: order, separator, digits of each part |
 | key, secret | prefixed access key; a value named as password, token, secret or key | prefix, character classes |
 
+Emails, keys and secrets are told apart by case: the same address in capitals is another value. A date has one
+pseudonym in all layouts that can write it with two digits for day and month; shorter layouts have their own.
 Not covered: phones without + that have no separator or other groupings, and phones written in letters.
 
 Defined results: null stays null; a text without such values is unchanged, byte for byte; invalid look-alikes
@@ -39,12 +41,12 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from earmark.llm.common import small_batches
+from earmark.llm.common import free_name, quoted, small_batches
 
 ROUNDS = 10
 # digits that one network permutes; longer values are chained part by part
 MAX_DIGITS = 2048
-DEMO_KEY = b"example key, replace in production"
+DEMO_KEY = b"example key, replace in production"  # for the registered queries only; anyone can invert it
 MAY_HOLD = re.compile(r"[0-9@=:]")
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 HEX, HEX_ONLY = "0123456789abcdef", re.compile(r"[0-9a-f]+")
@@ -247,24 +249,37 @@ def _phone(text: str, key: bytes) -> str | None:
 
 
 def _date(text: str, key: bytes) -> str | None:
-    parts = [int(x) for x in re.split(r"\D", text)]
+    """One permutation of all days, walked until the new day can be written in the given layout: a part of one
+    digit stays one digit, and with slashes a day-first date stays one that cannot be read month first."""
+    written = re.split(r"\D", text)
+    parts, widths = [int(x) for x in written], [len(x) for x in written]
     separators = re.findall(r"\D", text)
     if len(set(separators)) != 1:
         return None
-    iso = len(text.split(separators[0])[0]) == 4
+    iso = widths[0] == 4
     month_first = not iso and separators[0] == "/" and parts[1] <= 31 and parts[0] <= 12
-    year, month, day = parts if iso else (parts[2], *(parts[:2] if month_first else parts[1::-1]))
+    slots = (0, 1, 2) if iso else (2, 0, 1) if month_first else (2, 1, 0)  # where year, month and day stand
     try:
-        days = (datetime.date(year, month, day) - FIRST_DAY).days
+        days = (datetime.date(*(parts[i] for i in slots)) - FIRST_DAY).days
     except ValueError:
         return None
     if not 0 <= days < DAYS:
         return None
-    new = FIRST_DAY + datetime.timedelta(permuted(days, DAYS, key, "date"))
-    if iso:
-        return f"{new.year}{separators[0]}{new.month:02d}{separators[0]}{new.day:02d}"
-    pair = (new.month, new.day) if month_first else (new.day, new.month)
-    return separators[0].join([f"{pair[0]:02d}", f"{pair[1]:02d}", str(new.year)])
+    least_day = 13 if separators[0] == "/" and not iso and not month_first else 1
+    bare = 1 in widths  # beside a part of one digit, two digits have a leading 0 as they had before
+
+    def fits(value: int, i: int) -> bool:
+        return len(str(value)) <= widths[i] and (not bare or (value < 10) == (parts[i] < 10))
+
+    while True:
+        days = permuted(days, DAYS, key, "date")
+        new = FIRST_DAY + datetime.timedelta(days)
+        if new.day >= least_day and all(fits(v, i) for v, i in zip((new.month, new.day), slots[1:])):
+            break
+    out = [""] * 3
+    for value, i in zip((new.year, new.month, new.day), slots):
+        out[i] = str(value).zfill(widths[i])
+    return separators[0].join(out)
 
 
 def _email(text: str, key: bytes) -> str:
@@ -394,12 +409,10 @@ def replaced(docs: DataFrame, text: Column, key: bytes = DEMO_KEY) -> Column:
     return replace(text)
 
 
-def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, *, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, *, text_col: str = "text") -> DataFrame:
     """The table with its texts pseudonymised, and the columns ``kinds`` and ``n_replaced``."""
-    out = docs.withColumn("_new", replaced(docs, F.col(f"`{text_col}`"), key))
-    return (
-        out.withColumn(text_col, F.col("_new.text"))
-        .withColumn("kinds", F.col("_new.kinds"))
-        .withColumn("n_replaced", F.col("_new.n_replaced"))
-        .drop("_new")
-    )
+    new = free_name(docs.columns, "_new")
+    out = docs.withColumn(new, replaced(docs, *quoted([text_col]), key))
+    kept = [c for c in docs.columns if c not in ("kinds", "n_replaced")]
+    columns = [F.col(f"{new}.text").alias(c) if c == text_col else col for c, col in zip(kept, quoted(kept))]
+    return out.select(*columns, F.col(f"{new}.kinds").alias("kinds"), F.col(f"{new}.n_replaced").alias("n_replaced"))

@@ -20,7 +20,7 @@ The columns of the input stay; columns of the names written here are replaced.
 from __future__ import annotations
 
 import math
-import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,70 +29,107 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from earmark.llm.common import small_batches, text_slices
 
-BUCKETS = 1 << 15
+BUCKET_BITS = 15
+BUCKETS = 1 << BUCKET_BITS
 DIMENSIONS = 8
 NGRAMS = (2, 3, 4)
 SAMPLE_ROWS = 4_000
 EPOCHS = 4
 LEARNING_RATE = 2.0
 SEED = 5
-MAX_WORDS = 400_000
+# words and characters of one of a worker's two tables
+MAX_WORDS = 300_000
 MAX_WORD_CHARS = 12_000_000
 # characters of a word that its n-grams cover; longer words are read in parts of that length
 WORD_CHARS = 64
+# new words hashed at once
+WORDS_AT_ONCE = 20_000
+# odd factors of the places of a word
+PLACES = np.random.default_rng(11).integers(0, 1 << 63, WORD_CHARS + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 REPEAT = BUCKETS  # the item for a repeated word has a vector of its own
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word: itself and the character n-grams of its padded form."""
-    buckets = [zlib.crc32(word.encode()) % BUCKETS]
-    for start in range(0, len(word), WORD_CHARS):
-        padded = f"<{word[start : start + WORD_CHARS]}>"
-        for n in NGRAMS:
-            buckets += [zlib.crc32(padded[i : i + n].encode(), n) % BUCKETS for i in range(len(padded) - n + 1)]
-    return buckets
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, word of each): every word itself and the character n-grams of its padded form, hashed all at once."""
+    owner, number, parts = [], [], []
+    for i, w in enumerate(words):
+        for j in range(0, len(w), WORD_CHARS):
+            owner.append(i)
+            number.append(j // WORD_CHARS)
+            parts.append(f"<{w[j : j + WORD_CHARS]}>")
+    owner, number = np.array(owner, dtype=np.int64), np.array(number, dtype=np.uint64)
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(sizes)
+    part = np.repeat(np.arange(len(parts)), sizes)
+    place = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
+    whole = np.zeros(len(words), dtype=np.uint64)
+    if len(parts):
+        sums = np.add.reduceat(codes * PLACES[place], ends - sizes)
+        np.add.at(whole, owner, _mixed(sums + number))
+    found, of = [_mixed(whole) >> np.uint64(64 - BUCKET_BITS)], [np.arange(len(words))]
+    for n in NGRAMS:
+        starts = np.flatnonzero(place + n <= sizes[part])
+        grams = np.full(len(starts), n, dtype=np.uint64)
+        for k in range(n):
+            grams += codes[starts + k] * PLACES[k]
+        found.append(_mixed(grams) >> np.uint64(64 - BUCKET_BITS))
+        of.append(owner[part[starts]])
+    return np.concatenate(found).astype(np.int64), np.concatenate(of)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Every bit of a 64-bit number spread over the high ones."""
+    x = (x ^ (x >> np.uint64(31))) * PLACES[0]
+    return (x ^ (x >> np.uint64(29))) * PLACES[1]
 
 
 def sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(features, weights): the mean over items of the mean over each item's features."""
     words = text.split()
-    weights: dict[int, float] = {}
-    counted: dict[str, int] = {}
-    for w in words:
-        counted[w] = counted.get(w, 0) + 1
     repeats = sum(a == b for a, b in zip(words, words[1:]))
     items = max(1, len(words) + repeats)
-    for w, n in counted.items():
-        own = features(w)
-        for f in own:
-            weights[f] = weights.get(f, 0.0) + n / len(own) / items
-    if repeats:
-        weights[REPEAT] = repeats / items
-    order = sorted(weights)
-    return np.array(order, dtype=np.int32), np.array([weights[f] for f in order], dtype=np.float32)
+    counted = Counter(words)
+    buckets, of = features(list(counted))
+    share = np.fromiter(counted.values(), np.float64, len(counted)) / np.bincount(of, minlength=len(counted)) / items
+    weights = np.bincount(buckets, share[of], BUCKETS + 1)
+    weights[REPEAT] = repeats / items
+    at = np.flatnonzero(weights)
+    return at.astype(np.int32), weights[at].astype(np.float32)
 
 
 @dataclass
 class QualityModel:
-    """Difference of the classes per feature, and the bias; ``known`` is a worker's word table."""
+    """Difference of the classes per feature, and the bias; ``known`` and ``older`` are a worker's word tables."""
 
     difference: np.ndarray
     bias: float
     known: dict[str, float] = field(default_factory=dict)
+    older: dict[str, float] = field(default_factory=dict)
     chars: int = 0
 
     def __getstate__(self):
-        return {"difference": self.difference, "bias": self.bias, "known": {}, "chars": 0}
+        return {"difference": self.difference, "bias": self.bias, "known": {}, "older": {}, "chars": 0}
+
+    def _learn(self, words: set[str]) -> None:
+        """Values of all these words, each the mean over the word's features."""
+        if len(self.known) > MAX_WORDS or self.chars > MAX_WORD_CHARS:
+            self.older, self.known, self.chars = self.known, {}, 0
+        known, older = self.known, self.older
+        missing = [w for w in words if w not in known]
+        again = [w for w in missing if w in older]
+        known.update((w, older[w]) for w in again)
+        new = [w for w in missing if w not in known] if again else missing
+        self.chars += sum(map(len, missing))
+        for i in range(0, len(new), WORDS_AT_ONCE):
+            part = new[i : i + WORDS_AT_ONCE]
+            buckets, of = features(part)
+            sums = np.bincount(of, self.difference[buckets].astype(np.float64), len(part))
+            known.update(zip(part, (sums / np.bincount(of, minlength=len(part))).tolist()))
 
     def scores(self, texts: list[str | None]) -> list[float]:
         parts = [(t or "").split() for t in texts]
-        wanted = set().union(*parts) if parts else set()
-        if len(self.known) + len(wanted) > MAX_WORDS or self.chars > MAX_WORD_CHARS:
-            self.known, self.chars = {}, 0
-        for w in wanted.difference(self.known):
-            own = features(w)
-            self.known[w] = float(self.difference[own].sum()) / len(own)
-            self.chars += len(w)
+        self._learn(set().union(*parts) if parts else set())
         get, repeat = self.known.__getitem__, float(self.difference[REPEAT])
         out = []
         for words in parts:

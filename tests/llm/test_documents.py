@@ -1,6 +1,7 @@
 """Document operators against brute force, and on nulls, empty and long texts, repeats, empty tables and odd columns."""
 
 import collections
+import datetime
 import hashlib
 import random
 import re
@@ -252,9 +253,9 @@ def test_pseudonyms_keep_format_and_links(spark, odd):
     assert pseudonyms.pseudonymised("call 375-555-4393 or (375) 555-4393", b"k")[1] == {"phone": 2}
     clean = "Version 4.0.1 of 2024-02-30 has 4111 1111 1111 1112, 999.1.1.1 and 000-12-3456"
     assert pseudonyms.pseudonymised(clean, b"k") == (clean, {})
-    got = pseudonyms.pseudonymise(odd.withColumn("kinds", F.lit("clash")))
+    got = pseudonyms.pseudonymise(odd.withColumn("kinds", F.lit("clash")), b"k")
     assert [r.text for r in got.orderBy("doc_id").collect()] == [r.text for r in odd.orderBy("doc_id").collect()]
-    assert pseudonyms.pseudonymise(odd.filter("false")).count() == 0
+    assert pseudonyms.pseudonymise(odd.filter("false"), b"k").count() == 0
 
 
 def test_languages_held_out(spark, odd):
@@ -323,3 +324,50 @@ def test_pipeline_keeps_texts_of_unknown_language(spark):
 
     assert kept([None] * 6) == kept(["und"] * 6) == [1, 2, 3, 4, 5, 6]
     assert kept(["en", "fr", "und", "und", None, None]) == kept(["und", "fr", None, "en", None, "und"]) == [1, 2, 3, 6]
+
+
+@pytest.mark.parametrize("layout, least", [
+    ("{y}-{m:02d}-{d:02d}", 1), ("{y}/{m:02d}/{d:02d}", 1), ("{d:02d}.{m:02d}.{y}", 1), ("{d}.{m}.{y}", 1), ("{m:02d}/{d:02d}/{y}", 1), ("{d:02d}/{m:02d}/{y}", 13),
+])
+def test_dates_map_one_to_one_in_every_layout(layout, least):
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(i) for i in range(0, 73_049, 1 if layout.startswith("{d}") else 7)]
+    given = [layout.format(y=x.year, m=x.month, d=x.day) for x in days if x.day >= least]
+    new = [pseudonyms._date(x, b"k") for x in given]
+    assert len(set(new)) == len(given)
+    assert all([len(p) for p in re.split(r"\D", a)] == [len(p) for p in re.split(r"\D", b)] for a, b in zip(given, new))
+    whole = {layout.format(y=x.year, m=x.month, d=x.day) for x in (datetime.date(1900, 1, 1) + datetime.timedelta(i) for i in range(73_049)) if x.day >= least}
+    if "{d}" in layout:  # two parts of two digits may both have got a leading 0
+        assert all(x in whole or re.fullmatch(r"\d\d\.\d\d\.\d{4}", x) for x in new)
+    else:
+        assert set(new) <= whole
+    if least == 13:  # no day-first pseudonym can be read month first
+        assert all(int(x[:2]) > 12 for x in new)
+
+
+def test_a_key_must_be_given(odd):
+    with pytest.raises(TypeError):
+        pseudonyms.pseudonymise(odd)
+
+
+def test_copies_under_repeated_and_null_ids_do_not_multiply(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = base[:-1] + ["other"]
+    rows = [(None, " ".join(base))] * 400 + [(None, " ".join(near))] * 400 + [(7, " ".join(base))] * 400 + [(8, " ".join(near))] * 400 + [(9, "far away text here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {}
+    got = neardup.near_duplicates(df, words=3, similarity=85).groupBy("doc_id", "component_id", "kept").count().collect()
+    kept = {(r.doc_id, r.component_id, r.kept): r["count"] for r in got}
+    assert sum(kept.values()) == len(rows) and kept[9, 9, True] == 1
+    assert len({c for _, c, _ in kept if c != 9}) == 1  # one component of all copies
+
+
+def test_stages_keep_clashing_names(spark):
+    names = ["_n", "_row", "_new", "_lang", "_shingles", "a.b", "kinds", "score", "n"]
+    rows = [(i, f"text number {i} with some words to keep it apart {i * 7}, mail a{i}@example.org", *[f"{c}{i}" for c in names]) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    for stage in (corpus_pipeline.without_near_copies, corpus_pipeline.pseudonymous):
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns
+        assert {r["a.b"] for r in out.collect()} == {f"a.b{i}" for i in range(6)}
+    told = language.identify(df.withColumn("lang", F.lit("en")), language.train_prototypes(df.withColumn("lang", F.lit("en"))))
+    assert "_lang" in told.columns and "a.b" in told.columns and told.count() == 6
