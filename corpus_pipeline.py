@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from earmark.llm import catalog, language, neardup, packing, pseudonyms, quality
-from earmark.llm.common import written
+from earmark.llm.common import free_name, quoted, written
 
 QUALITY_THRESHOLD = 0.3
 WORDS, SIMILARITY = 5, 80
@@ -37,22 +37,23 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Rows are told apart by id and text, so a null or repeated id does not make unrelated texts copies.
     """
+    row, n, size = (free_name(docs.columns, x) for x in ("_row", "_n", "_shingles"))
     text = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    rows = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), text.alias("text")))
-    groups = written(neardup.near_duplicates(rows, words=WORDS, similarity=SIMILARITY, id_col="_row"), "groups")
-    kept = groups.filter("kept").groupBy("_row").agg(F.count("*").alias("_n"), F.max("n_shingles").alias("_shingles"))
+    rows = docs.withColumn(row, F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), text.alias("text")))
+    groups = written(neardup.near_duplicates(rows, words=WORDS, similarity=SIMILARITY, id_col=row), "groups")
+    kept = groups.filter("kept").groupBy(row).agg(F.count("*").alias(n), F.max("n_shingles").alias(size))
     kept = written(kept, "kept")
-    left = rows.join(kept, "_row")
+    left = rows.join(kept, row)
     # rows that agree in id and text are copies as well, unless the text has no words
-    again = (F.col("_n") > 1) & (F.col("_shingles") > 0)
+    again = (F.col(n) > 1) & (F.col(size) > 0)
     if not kept.filter(again).isEmpty():
-        left = left.filter(~again).unionByName(left.filter(again).dropDuplicates(["_row"]))
-    return left.select(*docs.columns)
+        left = left.filter(~again).unionByName(left.filter(again).dropDuplicates([row]))
+    return left.select(*quoted(docs.columns))
 
 
 def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their personal data replaced."""
-    return pseudonyms.pseudonymise(docs).select(*docs.columns)
+    return pseudonyms.pseudonymise(docs, pseudonyms.DEMO_KEY).select(*quoted(docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
