@@ -7,7 +7,7 @@ parts; how many of them is set on held-out sample queries, so that ``TARGET`` of
 Inside a part candidates are compared exactly, block by block, and the best are kept.
 
 Defined results: ties go to the smaller id; rows with the query's own id are no candidates; fewer candidates than k
-give fewer rows (with at most ``SMALL_ROWS`` rows every part is visited); null, zero and non-finite vectors take no part;
+give fewer rows; fewer than ``LEAST_ROWS`` rows are one part and all compared, as there is nothing to learn from; null, zero and non-finite vectors take no part;
 repeated rows are separate candidates; empty tables give no rows. All vectors have one length.
 """
 
@@ -27,11 +27,13 @@ SAMPLE_ROWS = 6_000
 HELD_OUT = 600
 GRAPH_NEIGHBOURS = 10
 ROUTE_NEIGHBOURS = 20
-PART_ROWS = 4_096
+PART_ROWS = 4_096  # aimed at as long as the sample can tell so many parts apart
 MAX_PARTS = 256
 MIN_PARTS = 8
-SMALL_ROWS = 2_000
-TARGET = 0.97
+LEAST_ROWS = 200
+# blocks of a part that one task reads; larger parts are dealt to several
+TASK_BLOCKS = 16
+TARGET = 0.95
 HIDDEN = 128
 EPOCHS = 30
 BLOCK_ROWS = 2_048
@@ -123,9 +125,39 @@ def train_network(x: np.ndarray, targets: np.ndarray) -> Network:
     return net
 
 
+def leading(at: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k best (query, id, score) of each query, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, at))
+    at, ids, scores = at[order], ids[order], scores[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    keep = rank < k
+    return [at[keep], ids[keep], scores[keep]]
+
+
+def best_pairs(q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, inner product) of at least the k best rows of each query.
+
+    A matrix product picks them, with a margin for its rounding; products are then added up in order, so that
+    equal vectors get equal scores.
+    """
+    rough = q @ x.T
+    rough[own] = -np.inf
+    keep = ~own
+    if len(x) > k:
+        margin = 1e-12 * (1 + np.abs(q).sum(axis=1) * np.abs(x).max(initial=0))
+        keep &= rough >= (np.partition(rough, -k, axis=1)[:, -k] - margin)[:, None]
+    at, which = np.nonzero(keep)
+    scores = np.zeros(len(at))
+    for d in range(q.shape[1]):
+        scores += q[at, d] * x[which, d]
+    return at, which, scores
+
+
 @dataclass
 class Index:
     blocks: DataFrame  # (key, ids, data, n): key is the part
+    kind: str
     router: Network | None
     parts: int
     probes: int
@@ -133,7 +165,7 @@ class Index:
 
 def learn(sample: np.ndarray, rows: int) -> tuple[Network | None, Network | None, int, int]:
     """(assigner, router, parts, probes) from a sample of a table of ``rows`` vectors."""
-    if rows <= SMALL_ROWS:
+    if len(sample) < LEAST_ROWS:
         return None, None, 1, 1
     parts = MIN_PARTS
     while parts < MAX_PARTS and parts * PART_ROWS < rows:
@@ -152,7 +184,7 @@ def learn(sample: np.ndarray, rows: int) -> tuple[Network | None, Network | None
     order = np.argsort(-router.logits(held_out), axis=1, kind="stable")
     covered = np.cumsum(np.take_along_axis(shares(held_out, False), order, axis=1), axis=1).mean(axis=0)
     probes = int(np.searchsorted(covered, TARGET) + 1)
-    return assigner, router, parts, min(parts, probes)
+    return assigner, router, parts, min(parts - 1, probes)
 
 
 def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Index:
@@ -172,8 +204,9 @@ def build_index(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Index:
             return pa.array(np.zeros(len(vector), dtype=np.int32))
         return pa.array(np.argmax(shared.value.logits(matrix(vector, np.float64)), axis=1).astype(np.int32))
 
-    blocks = packed(usable.withColumn("part", part("vector")), BLOCK_ROWS, "f4", "part")
-    return Index(written(blocks, "parts"), router, parts, probes)
+    kind = "f4" if "float" in usable.schema["vector"].dataType.simpleString() else "f8"
+    blocks = packed(usable.withColumn("part", part("vector")), BLOCK_ROWS, kind, "part")
+    return Index(written(blocks, "parts"), kind, router, parts, probes)
 
 
 def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -191,49 +224,43 @@ def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
         return pa.array(list(order.astype(np.int32)), type=pa.list_(pa.int32()))
 
     routed = usable.withColumn("part", F.explode(route("vector")))
-    asked = written(packed(routed, QUERY_ROWS, "f4", "part"), "asked")
+    asked = written(packed(routed, QUERY_ROWS, index.kind, "part"), "asked")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row holds a block
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        held: dict[tuple[int, bytes], list[np.ndarray]] = {}
 
         def out(key) -> pa.RecordBatch:
-            queries, ids, scores = held.pop(key)
-            at, which = np.nonzero(scores > -np.inf)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(queries[at]), pa.array(ids[at, which]), pa.array(scores[at, which])], ["query_id", "vec_id", "score"]
-            )
+            at, ids, scores = held.pop(key)
+            queries = np.frombuffer(key[1], dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(queries[at]), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
 
         for batch in batches:
             for part, ids, data, q_ids, q_data in zip(
                 *(batch.column(c).to_pylist() for c in ("key", "ids", "data", "q_ids", "q_data"))
             ):
-                ids, x = unpacked(ids, data, "f4")
-                queries, q = unpacked(q_ids, q_data, "f4")
-                x, q = x.astype(np.float64), q.astype(np.float64)
-                scores = np.zeros((len(q), len(x)))
-                for d in range(q.shape[1]):  # added up in order: equal vectors get equal scores
-                    scores += q[:, d, None] * x[None, :, d]
-                scores[queries[:, None] == ids[None, :]] = -np.inf
+                ids, x = unpacked(ids, data, index_kind)
+                queries, q = unpacked(q_ids, q_data, index_kind)
+                at, which, scores = best_pairs(q.astype(np.float64), x.astype(np.float64), queries[:, None] == ids[None, :], k)
                 key = (part, q_ids)
                 if key not in held and len(held) >= HELD_BLOCKS:
                     yield out(next(iter(held)))
-                _, had_ids, had = held.get(key, (queries, np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))))
-                best_ids, best = np.zeros((len(q), k), np.int64), np.full((len(q), k), -np.inf)
-                for i in range(len(q)):
-                    both = np.concatenate([had[i], scores[i]])
-                    if len(both) > k:
-                        near = np.flatnonzero(both >= np.partition(both, -k)[-k])
-                    else:
-                        near = np.arange(len(both))
-                    names = np.concatenate([had_ids[i], ids])[near]
-                    order = np.lexsort((names, -both[near]))[:k]
-                    best_ids[i, : len(order)], best[i, : len(order)] = names[order], both[near][order]
-                held[key] = (queries, best_ids, best)
+                both = [at, ids[which], scores]
+                if key in held:
+                    both = [np.concatenate(z) for z in zip(held[key], both)]
+                held[key] = leading(*both, k)
         for key in list(held):
             yield out(key)
 
-    met = index.blocks.join(asked.select("key", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "key")
+    index_kind = index.kind
+    # a part of many blocks is dealt to several tasks, each with all queries of the part
+    largest = index.blocks.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    slices = -(-largest // TASK_BLOCKS)
+    dealt = index.blocks.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
+    spread = asked.select(
+        "key", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")
+    )
+    met = dealt.join(spread, ["key", "slice"]).select("key", "ids", "data", "q_ids", "q_data")
     found = written(met.mapInArrow(compare, "query_id long, vec_id long, score double"), "found")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from earmark.llm import learned, vafile
+from earmark.llm import catalog, learned, vafile
 
 
 def _vectors(n, seed=0, kind=float):
@@ -67,7 +67,7 @@ def test_learned_partitions(spark):
     x = _vectors(4_000)
     df = _table(spark, x, float)
     index = learned.build_index(df, sample_rows=2_000)
-    assert index.parts > 1 and index.blocks.agg(F.sum("n")).first()[0] == 4_000
+    assert index.parts > index.probes > 0 and index.blocks.agg(F.sum("n")).first()[0] == 4_000
     got = learned.search(index, df.filter("vec_id % 20 = 0"), 20).collect()
     found = {}
     for r in got:
@@ -83,6 +83,47 @@ def test_learned_partitions(spark):
     assert hits >= 0.9 * total
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_registered_search_goes_through_its_parts(spark, sf):
+    """The registered function against brute force: recall of 0.9 at least, exact scores, ties to the smaller id."""
+    d = f"/root/testdata/sf{sf}"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()
+    rows = [(r[0], r[1]) for r in rows if r[1] and all(v is not None and np.isfinite(v) for v in r[1]) and any(r[1])]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)
+    index = learned.build_index(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector")))
+    assert 0 < index.probes < index.parts
+    found = {}
+    for r in catalog.op6_learned_partitions(spark, d).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        scores = np.add.accumulate(x * x[i], axis=1)[:, -1]
+        order = [j for j in np.lexsort((ids, -scores)) if j != i][:20]
+        own = sorted(found[ids[i]])
+        assert [n for n, _, _ in own] == list(range(1, 21))
+        exact = dict(zip(ids.tolist(), scores.tolist()))
+        assert all(exact[v] == s for _, v, s in own) and own == [(n + 1, v, s) for n, (v, s) in enumerate(sorted(((v, s) for _, v, s in own), key=lambda z: (-z[1], z[0])))]
+        hits, total = hits + len({v for _, v, _ in own} & set(ids[order].tolist())), total + 20
+    assert hits >= 0.9 * total
+
+
+def test_a_large_part_is_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(learned, "TASK_BLOCKS", 1)
+    monkeypatch.setattr(learned, "BLOCK_ROWS", 40)
+    df = _table(spark, _vectors(600), float)
+    index = learned.build_index(df)
+    got = sorted(map(tuple, learned.search(index, df.filter("vec_id % 20 = 0"), 20).collect()))
+    monkeypatch.undo()
+    assert got == sorted(map(tuple, learned.search(index, df.filter("vec_id % 20 = 0"), 20).collect())) and len(got) == 600
+
+
+def test_double_vectors_keep_their_digits(spark):
+    x = np.random.default_rng(1).standard_normal((30, 3)) + 1e-9
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, vector array<double>")
+    for r in learned.search(learned.build_index(df), df.filter("vec_id = 0"), 5).collect():
+        assert r.score == np.add.accumulate(x[0] * x[r.vec_id])[-1]
+
+
 def test_small_and_empty_tables(spark):
     df = _table(spark, _vectors(10), float)
     index = learned.build_index(df)
