@@ -1,8 +1,7 @@
-"""Live activity intervals: the batch rules with a small state per clip."""
+"""Live activity intervals: the batch rules with a small typed state per label of a clip."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,16 +9,50 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-ROW = (
-    "window_idx", "start_s", "canonical_label", "end_s", "score", "event_ms", "threshold", "release_ratio", "gap_s",
-    "min_duration_s", "min_windows",
+ROW = ("window_idx", "start_s", "end_s", "score", "event_ms", "threshold", "release_ratio", "gap_s")
+STATE = (
+    "is_on boolean, last_start double, last_idx bigint, seen_ms bigint, min_duration double, min_windows bigint, "
+    "start double, end double, peak double, total double, n bigint, due_ms bigint"
 )
-STATE = "labels string"
 OUTPUT = (
     "clip_id bigint, canonical_label string, start_s double, end_s double, peak_score double, "
     "confidence double, n_windows bigint"
 )
 NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
+# what is known of an interval: start, end, peak, sum of scores, windows, event time when it is surely over
+NOTHING = (None,) * 6
+
+
+def held_activity(scores: np.ndarray, threshold: np.ndarray, release: np.ndarray, before: bool) -> np.ndarray:
+    """On at the threshold, off below threshold * release, else as the window before."""
+    up = scores >= threshold
+    decided = up | (scores < threshold * release)
+    last = np.maximum.accumulate(np.where(decided, np.arange(len(scores)), -1))
+    return np.where(last < 0, before, up[np.maximum(last, 0)])
+
+
+def joined_intervals(opened: tuple, a, b, scores, due, gap) -> list[tuple]:
+    """Intervals (start, end, peak, sum, windows, due) of active windows in order, the first going on from ``opened``."""
+    if not len(a):
+        return [] if opened[0] is None else [opened]
+    reach = np.maximum.accumulate(np.concatenate([[-np.inf if opened[0] is None else opened[1]], b]))
+    new = a > reach[:-1] + gap
+    new[0] = new[0] or opened[0] is None
+    goes_on = not new[0]
+    new[0] = True
+    at = np.flatnonzero(new)
+    found = list(zip(
+        a[at].tolist(), np.maximum.reduceat(b, at).tolist(), np.maximum.reduceat(scores, at).tolist(),
+        np.add.reduceat(scores, at).tolist(), np.diff(np.append(at, len(a))).tolist(), np.fmax.reduceat(due, at).tolist(),
+    ))
+    found = [(*x[:5], None if x[5] != x[5] else int(x[5])) for x in found]
+    if goes_on:
+        x = found[0]
+        late = max((d for d in (opened[5], x[5]) if d is not None), default=None)
+        found[0] = (opened[0], max(opened[1], x[1]), max(opened[2], x[2]), opened[3] + x[3], opened[4] + x[4], late)
+    elif opened[0] is not None:
+        found.insert(0, opened)
+    return found
 
 
 def live_intervals(windows: DataFrame, *, delay: str = "1 hour", second_ms: int = 1000) -> DataFrame:
@@ -32,64 +65,60 @@ def live_intervals(windows: DataFrame, *, delay: str = "1 hour", second_ms: int
     has already processed is dropped as late. ``event_time`` is when a window starts; ``second_ms``
     is the event time, in milliseconds, that one second of ``start_s`` stands for.
 
-    The state of a clip is one open interval per label, as JSON: its size does not grow with the
-    number of windows. Labels share a group because a call per group is what costs. A label that is off, has nothing
-    open and was last seen before the watermark starts anew, so it is forgotten, and a clip without labels leaves the
-    state; a label that is on stays, as its next windows may hold.
+    The state is one row per label of a clip: whether it is on, what was processed last, and the open interval. It
+    does not grow with the number of windows, and the labels of a hot clip are spread over the tasks. The windows of a
+    trigger are worked off as arrays. A label that is off, has nothing open and was last seen before the watermark
+    starts anew, so it leaves the state; a label that is on stays, as its next windows may hold.
     """
 
     def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        labels: dict[str, dict] = json.loads(state.get[0]) if state.exists else {}
+        known = tuple(state.get) if state.exists else (False, None, None, None, 0.0, 1, *NOTHING)
+        (on, last_start, last_idx, seen, min_duration, min_windows), opened = known[:6], known[6:]
         closed: list[tuple] = []
-
-        def close(label: str, entry: dict) -> None:
-            start, end, peak, total, n, _ = entry["open"]
-            min_duration, min_windows = entry["keep"]
-            if end - start >= min_duration and n >= min_windows:
-                closed.append((key[0], label, start, end, peak, total / n, n))
-            entry["open"] = None
-
         batches = [] if state.hasTimedOut else list(frames)
         if batches:
-            values = [np.concatenate([f[c].to_numpy() for f in batches]) for c in ROW]
-            order = np.lexsort((values[0], values[1]))
-            for idx, a, label, b, score, ms, on, ratio, gap, *keep in zip(*(v[order].tolist() for v in values)):
-                entry = labels.setdefault(label, {"on": False, "open": None, "last": None, "seen": None, "keep": keep})
-                if entry["last"] is not None and [a, idx] <= entry["last"]:
-                    continue
-                entry["last"] = [a, idx]
-                if ms == ms:  # not a null time
-                    entry["seen"] = int(ms)
-                entry["on"] = score >= on or (entry["on"] and score >= on * ratio)
-                if not entry["on"]:
-                    continue
-                due = ms + int((b - a + gap) * second_ms)
-                if entry["open"] and a > entry["open"][1] + gap:
-                    close(label, entry)
-                start, end, peak, total, n, before = entry["open"] or (a, b, score, 0.0, 0, due)
-                entry["open"] = [start, max(end, b), max(peak, score), total + score, n + 1, max(before, due)]
+            if not state.exists:
+                min_duration, min_windows = float(batches[0]["min_duration_s"].iloc[0]), int(batches[0]["min_windows"].iloc[0])
+            idx, a, b, score, ms, threshold, release, gap = (np.concatenate([f[c].to_numpy() for f in batches]) for c in ROW)
+            order = np.lexsort((idx, a))
+            own, at = a[order], idx[order]
+            fresh = np.append(True, (np.diff(own) > 0) | (np.diff(at) > 0))  # a repeated window counts once
+            if last_start is not None:
+                fresh &= (own > last_start) | ((own == last_start) & (at > last_idx))
+            order = order[fresh]
+            if len(order):
+                idx, a, b, score, ms, threshold, release, gap = (
+                    x[order].astype(float) if x is not idx else x[order] for x in (idx, a, b, score, ms, threshold, release, gap)
+                )
+                last_start, last_idx = float(a[-1]), int(idx[-1])
+                if not np.isnan(ms).all():
+                    seen = int(ms[~np.isnan(ms)][-1])
+                active = held_activity(score, threshold, release, on)
+                on = bool(active[-1])
+                due = ms + np.trunc((b - a + gap) * second_ms)
+                found = joined_intervals(opened, *(x[active] for x in (a, b, score, due, gap)))
+                if found:
+                    closed, opened = found[:-1], found[-1]
         watermark = state.getCurrentWatermarkMs()
-        for label, entry in labels.items():
-            if entry["open"] and entry["open"][5] < watermark:
-                close(label, entry)
-        labels = {
-            label: e for label, e in labels.items()
-            if e["on"] or e["open"] or e["seen"] is None or e["seen"] >= watermark
-        }
-        if labels:
-            state.update((json.dumps(labels),))
-            waiting = [e["open"][5] for e in labels.values() if e["open"]]
-            waiting += [e["seen"] for e in labels.values() if not e["on"] and not e["open"] and e["seen"] is not None]
-            if waiting:
-                state.setTimeoutTimestamp(max(min(waiting), watermark + 1))
-        else:
+        if opened[0] is not None and opened[5] is not None and opened[5] < watermark:
+            closed, opened = [*closed, opened], NOTHING
+        if on or opened[0] is not None or seen is None or seen >= watermark:
+            state.update((on, last_start, last_idx, seen, min_duration, min_windows, *opened))
+            waits_for = opened[5] if opened[0] is not None else None if on else seen
+            if waits_for is not None:
+                state.setTimeoutTimestamp(max(waits_for, watermark + 1))
+        elif state.exists:
             state.remove()
-        if closed:
-            yield pd.DataFrame(closed, columns=NAMES)
+        kept = [
+            (*key, start, end, peak, total / n, n)
+            for start, end, peak, total, n, _ in closed if end - start >= min_duration and n >= min_windows
+        ]
+        if kept:
+            yield pd.DataFrame(kept, columns=NAMES)
 
     return (
         windows.withWatermark("event_time", delay)
         .withColumn("event_ms", F.unix_millis("event_time"))
-        .groupBy("clip_id")
+        .groupBy("clip_id", "canonical_label")
         .applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
