@@ -30,9 +30,11 @@ from earmark.llm.common import merged, named, sliced, small_batches, written
 from earmark.llm.pieces import PieceEncoder, encoder, gather
 
 FRAGMENT_WORDS = 64
-BLOCK_CHARS = 1_000_000
+# characters encoded at once, and of the documents of one block
+SLICE_CHARS = 1_000_000
+BLOCK_CHARS = 250_000
 # pieces that each of a worker's two encoders remembers
-KNOWN_PIECES = 150_000
+KNOWN_PIECES = 200_000
 MARK = "▁"  # stands for a space in pieces
 _PIECES: dict[str, SentencePieces] = {}
 
@@ -139,23 +141,37 @@ def lockstep(
     return tuple(np.concatenate(x) for x in zip(*links))
 
 
+_NAMES: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+
+def _decimals(most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters, starts, sizes) of the numbers 0 to ``most`` or beyond."""
+    if not _NAMES or len(_NAMES[0][2]) <= most:
+        names = np.arange(max(most + 1, 1 << 16)).astype("S")
+        sizes = np.char.str_len(names)
+        _NAMES[:] = [(np.frombuffer(b"".join(names.tolist()), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes)]
+    return _NAMES[0]
+
+
 def group_digests(a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray, a_bounds, b_bounds) -> list[str]:
     """sha256 of ``a1,a2|b1;a3|b2,b3`` for each document; a cut stands at the last token of a group on its side."""
     a_group, b_group = (np.cumsum(c) - c for c in (a_cut, b_cut))  # groups are numbered alike on both sides
-    order = np.lexsort((np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a_group, b_group])))
-    ids, side = np.concatenate([a, b])[order].astype(np.int64), np.repeat([0, 1], [len(a), len(b)])[order]
-    cut = np.concatenate([a_cut, b_cut])[order]
-    names = np.arange(int(ids.max(initial=-1)) + 1).astype("S")
-    sizes = np.char.str_len(names)
-    flat = np.frombuffer(b"".join(names.tolist()), dtype=np.uint8)
-    widths = sizes[ids] + 1
-    ends = np.cumsum(widths)
+    groups = int(a_cut.sum())
+    a_sizes, b_sizes = (np.bincount(g, minlength=groups) for g in (a_group, b_group))
+    # a group's A ids stand before its B ids
+    a_place = np.arange(len(a)) + (np.cumsum(b_sizes) - b_sizes)[a_group]
+    b_place = np.arange(len(b)) + np.cumsum(a_sizes)[b_group]
+    ids, signs = np.empty(len(a) + len(b), dtype=np.int64), np.empty(len(a) + len(b), dtype=np.uint8)
+    ids[a_place], ids[b_place] = a, b
+    signs[a_place], signs[b_place] = np.where(a_cut, ord("|"), ord(",")), np.where(b_cut, ord(";"), ord(","))
+    flat, starts, sizes = _decimals(int(ids.max(initial=0)))
+    own = sizes[ids]
+    ends = np.cumsum(own + 1)
     out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
-    signs = np.frombuffer(b",,|;", dtype=np.uint8)[2 * cut + side]  # behind a group's A ids, behind the group
-    out[ends - 1] = signs
     body = np.ones(len(out), dtype=bool)
     body[ends - 1] = False
-    out[body] = gather(flat, (np.cumsum(sizes) - sizes)[ids], sizes[ids])
+    out[ends - 1] = signs
+    out[body] = gather(flat, starts[ids], own)
     raw, bounds = out.tobytes(), np.append([0], ends)
     places = bounds[np.asarray(a_bounds) + np.asarray(b_bounds)].tolist()  # documents are contiguous on both sides
     return [hashlib.sha256(raw[s : e - 1]).hexdigest() if e > s else "" for s, e in zip(places, places[1:])]
@@ -173,8 +189,9 @@ def align_texts(texts: list[str], a_path: str, b_path: str):
     text_bytes = np.frombuffer(b"".join(raw), dtype=np.uint8)
     n, encoded = len(texts), []
     fine = lengths > 0
+    cuts = side[0].cut(texts, spaced=True)
     for own, names in zip(side, vocabulary):
-        ids, ends = own.encode(texts, spaced=True)
+        ids, ends = own.encode(texts, True, cuts)
         sizes = names.sizes[ids]
         of = np.repeat(np.arange(n), np.diff(ends, prepend=0))
         covered = np.bincount(of, sizes, n).astype(np.int64)
@@ -204,14 +221,16 @@ def align_texts(texts: list[str], a_path: str, b_path: str):
     bounds = [np.append([0], np.cumsum(c)) for c in counts]
     digests = group_digests(a, b, a_cut, b_cut, *bounds)
     width = len(vocabulary[1].sizes)
-    code, document = a[a_at] * width + b[b_at], a_of[a_at]
-    order = np.lexsort((code, document))
-    code, document = code[order], document[order]
-    new = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(document, prepend=-1) != 0))
-    links = np.diff(np.append(new, len(code)))
+    if len(vocabulary[0].sizes) * width > 1 << 32:
+        raise ValueError("pairs of ids of these vocabularies don't fit 32 bits")
+    # document and pair as one number
+    every = np.sort((a_of[a_at] << 32) | (a[a_at] * width + b[b_at]))
+    new = np.flatnonzero(np.diff(every, prepend=-1))
+    links = np.diff(np.append(new, len(every)))
+    code, document = every[new] & 0xFFFFFFFF, every[new] >> 32
     return (
-        *counts, np.bincount(a_of, a_cut, n).astype(np.int64), np.bincount(document, minlength=n),
-        digests, code[new], document[new], links,
+        *counts, np.bincount(a_of, a_cut, n).astype(np.int64), np.bincount(document, links, n).astype(np.int64),
+        digests, code, document, links,
     )
 
 
@@ -234,21 +253,26 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, *, id_col: str, text_col:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in merged(batches, BLOCK_CHARS):
-            for rows, texts in sliced(batch, "text", BLOCK_CHARS):
-                n_a, n_b, n_groups, n_links, digests, pairs, document, links = align_texts(texts, a_path, b_path)
+        for batch in merged(batches, SLICE_CHARS):
+            for rows, texts in sliced(batch, "text", SLICE_CHARS):
+                *counts, digests, pairs, document, links = align_texts(texts, a_path, b_path)
                 ids = rows.column("id")
-                arrays = [
-                    ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), ids.is_null().to_numpy(zero_copy_only=False),
-                    *(x.astype("<i8") for x in (n_a, n_b, n_groups, n_links)),
-                    np.frombuffer("".join(d.ljust(64) for d in digests).encode(), dtype=np.uint8),
-                    pairs.astype("<i8"), document.astype("<i4"), links.astype("<i4"),
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], type=pa.int64()), *[pa.array([x.tobytes()], type=pa.binary()) for x in arrays]],
-                    [c.split()[0] for c in BLOCK.split(", ")],
-                )
-                number += 1
+                missing, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+                # a slice is encoded at once and kept in smaller blocks
+                start = np.cumsum([0, *map(len, texts)])
+                firsts = np.flatnonzero(np.diff(start[:-1] // BLOCK_CHARS, prepend=-1)).tolist()
+                for i, j in zip(firsts, [*firsts[1:], len(texts)]):
+                    p, q = np.searchsorted(document, [i, j])
+                    arrays = [
+                        ids[i:j].astype("<i8"), missing[i:j], *(x[i:j].astype("<i8") for x in counts),
+                        np.frombuffer("".join(d.ljust(64) for d in digests[i:j]).encode(), dtype=np.uint8),
+                        pairs[p:q].astype("<i8"), (document[p:q] - i).astype("<i4"), links[p:q].astype("<i4"),
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([number], type=pa.int64()), *[pa.array([x.tobytes()], type=pa.binary()) for x in arrays]],
+                        [c.split()[0] for c in BLOCK.split(", ")],
+                    )
+                    number += 1
 
     return written(named(docs, [id_col, text_col]).toDF("id", "text").mapInArrow(align, BLOCK), "aligned")
 
@@ -292,9 +316,8 @@ def aligned_documents(
                     pair, count, top = (known.field(c).to_numpy(zero_copy_only=False) for c in ("pair", "n", "best"))
                     order = np.argsort(pair)
                     at = order[np.searchsorted(pair, pairs, sorter=order)]
-                    best, total = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-                    np.add.at(best, document, links * top[at])
-                    np.add.at(total, document, links * count[at])
+                    best = np.bincount(document, links * top[at], n).astype(np.int64)
+                    total = np.bincount(document, links * count[at], n).astype(np.int64)
                 digests = get("digests", "S64").astype(str)
                 ids = pa.array(get("ids", "<i8"), mask=get("missing", bool))
                 columns = [ids, *[pa.array(get(c, "<i8")) for c in ("n_a", "n_b", "n_groups", "n_links")], pa.array(best), pa.array(total)]

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,20 @@ class PieceTable:
         self.stamps = stamps
 
 
+@dataclass
+class Cuts:
+    """Code of each piece, pieces of each text, text of each piece, texts that go the other way, codes in use, and
+    the distinct pieces of those, for Arrow and for Python."""
+
+    codes: np.ndarray
+    sizes: np.ndarray
+    of: np.ndarray
+    whole: np.ndarray
+    use: np.ndarray
+    used: pa.Array
+    names: list[str]
+
+
 class PieceEncoder:
     """``encode(texts)``: ids of all texts in a row and the end of each; ``ids_of(texts)``: the ids of each as bytes.
 
@@ -200,24 +215,29 @@ class PieceEncoder:
             whole |= np.array([BREAK in t for t in texts], dtype=bool)
         return coded.dictionary, codes, sizes, whole
 
-    def encode(self, texts: list[str], spaced: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ends): unsigned 32-bit ids of all texts and where each text's ids end. ``spaced`` puts a space
-        before each text that isn't empty."""
-        if not texts:
-            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+    def cut(self, texts: list[str], spaced: bool = False) -> Cuts:
+        """The pieces of the texts, which encoders of the same kind may share."""
         distinct, codes, sizes, whole = self._pieces(texts, spaced)
         of = np.repeat(np.arange(len(texts)), sizes)
         use = np.zeros(len(distinct), dtype=bool)
         use[codes[~whole[of]]] = True
         used = distinct.filter(pa.array(use))
-        names = strings(used)
+        return Cuts(codes, sizes, of, whole, use, used, strings(used))
+
+    def encode(self, texts: list[str], spaced: bool = False, cuts: Cuts | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): unsigned 32-bit ids of all texts and where each text's ids end. ``spaced`` puts a space
+        before each text that isn't empty."""
+        if not texts:
+            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        cuts = cuts or self.cut(texts, spaced)
+        codes, sizes, of, whole, use, used, names = (getattr(cuts, c) for c in Cuts.__dataclass_fields__)
         self.table.trim()
         at = self.table.places(names)
         new = np.flatnonzero(at < 0)
         if len(new):
             self._learn(used.take(pa.array(new)))
             at[new] = self.table.places([names[i] for i in new])
-        place = np.zeros(len(distinct), dtype=np.int64)
+        place = np.zeros(len(use), dtype=np.int64)
         place[use] = at
         taken = np.where(whole[of], 0, self.table.sizes[place][codes]) if len(at) else np.zeros(len(codes), np.int64)
         starts = self.table.starts[place][codes] if len(at) else taken.copy()
