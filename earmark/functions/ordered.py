@@ -140,10 +140,17 @@ def dense_index(
 def oversized_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
     """Keys with more than ``limit`` rows, or None when there are none.
 
-    Counting reads only the key columns and combines before the shuffle. The number found is
-    checked here: up to MAX_BROADCAST_KEYS are marked for broadcast, more are joined by shuffle.
+    Counting reads only the key columns and combines before the shuffle.
     """
-    big = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*keys)
+    return large_keys(df.groupBy(*keys).agg(F.count("*").alias("_n")), keys, limit)
+
+
+def large_keys(sizes: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
+    """Keys whose size ``_n`` is above ``limit``, or None when there are none.
+
+    The number found is checked here: up to MAX_BROADCAST_KEYS are marked for broadcast, more are joined by shuffle.
+    """
+    big = sizes.filter(F.col("_n") > limit).select(*keys)
     found = big.limit(MAX_BROADCAST_KEYS + 1).count()
     if found == 0:
         return None
@@ -176,7 +183,7 @@ def order_statistics(
     top_means: Mapping[str, tuple[str, float]] | None = None,
     aggregates: Mapping[str, Column] | None = None,
     limit: int = MAX_GROUP_ROWS,
-    counted: tuple[DataFrame, int] | None = None,
+    sizes: DataFrame | None = None,
     known_small: bool = False,
 ) -> DataFrame:
     """Exact percentiles ``{out: (column, p)}`` and means of the top share per key.
@@ -184,15 +191,15 @@ def order_statistics(
     Groups of at most ``limit`` rows take one shuffle: their values travel as one bounded sorted
     array. Larger groups go through value histograms and running totals instead; both are exact.
     Null values are ignored. ``aggregates`` are ordinary aggregates computed alongside.
-    ``counted`` = (source, r) says that a group has at most one row per ``r`` rows of a source
-    table, so that sizes are read off the source instead of a derived table. ``known_small``
-    skips the size check where the caller has made it.
+    ``sizes`` (keys, ``_n``) holds no less than each group's rows where that is cheaper to count on a source than on a
+    derived table. ``known_small`` skips the size check where the caller has made it.
     """
     tops = dict(top_means or {})
     extra = dict(aggregates or {})
     columns = list(dict.fromkeys(c for c, _ in [*percentiles.values(), *tops.values()]))
-    source, rows_each = counted or (df, 1)
-    big = None if known_small else oversized_keys(source, keys, limit * rows_each)
+    big = None
+    if not known_small:
+        big = oversized_keys(df, keys, limit) if sizes is None else large_keys(sizes, keys, limit)
     usual = df if big is None else join_on(df, big, keys, "left_anti") if keys else df.limit(0)
 
     arrays = usual.groupBy(*keys).agg(

@@ -62,5 +62,10 @@ def frame_table(
     )
 
 
+def frame_counts(samples: DataFrame, hop: int) -> DataFrame:
+    """(clip_id, _n): at least as many frames as a clip has, from its last sample; a frame starts every ``hop`` samples."""
+    return samples.groupBy("clip_id").agg((F.floor(F.max("i") / F.lit(hop)) + 1).alias("_n"))
+
+
 def frame_slice() -> Column:
     return F.floor(F.col("frame") / SLICE_ROWS)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from earmark import constants as C
 from earmark.functions.ordered import MAX_GROUP_ROWS, order_statistics, ordered_changes
-from earmark.operators.framing import frame_sizes, frame_slice, frame_table
+from earmark.operators.framing import frame_counts, frame_sizes, frame_slice, frame_table
 
 
 def stereo_moments(samples: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def pan_track(samples: DataFrame, rate: int, *, limit: int = MAX_GROUP_ROWS) ->
     pans = frame_pans(samples, rate)
     spread = order_statistics(
         pans, ["clip_id"], {"p75": ("pan", 0.75), "p25": ("pan", 0.25)},
-        limit=limit, counted=(samples, hop),
+        limit=limit, sizes=frame_counts(samples, hop),
     )
     moves = ordered_changes(
         pans, ["clip_id"], "frame", "pan", lambda a, b: F.abs(b - a),

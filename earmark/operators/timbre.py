@@ -17,7 +17,7 @@ from earmark.functions.ordered import (
     previous_value,
     with_key_totals,
 )
-from earmark.operators.framing import SLICE_ROWS, frame_slice, frame_table
+from earmark.operators.framing import SLICE_ROWS, frame_counts, frame_slice, frame_table
 from earmark.sources.dims import norms_dim
 
 TINY = 1e-12
@@ -77,7 +77,7 @@ def envelope_features(
             "faded_at": F.min("faded_at"),
         },
         limit=limit,
-        counted=(mono, hop),
+        sizes=frame_counts(mono, hop),
     )
     tail = F.coalesce(F.col("faded_at"), F.col("n_frames")) - F.col("peak_at")
     span = 20 * F.log10((F.col("loud") + TINY) / (F.col("quiet") + TINY))
@@ -130,9 +130,11 @@ def spectral_frames(spectrum: DataFrame) -> DataFrame:
 
 
 def spectral_features(
-    spectrum: DataFrame, *, bins_per_frame: int = 1025, limit: int = MAX_GROUP_ROWS
+    spectrum: DataFrame, *, limit: int = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Medians over frames of the spectral summaries."""
+    frames = spectrum.select("clip_id", "frame").distinct()  # each frame once, however many bins it has
+    sizes = frames.groupBy("clip_id").agg(F.count("*").alias("_n"))
     return order_statistics(
         spectral_frames(spectrum),
         ["clip_id"],
@@ -143,7 +145,7 @@ def spectral_features(
             "spectral_flatness": ("flatness", 0.5),
         },
         limit=limit,
-        counted=(spectrum, bins_per_frame),
+        sizes=sizes,
     )
 
 

@@ -221,7 +221,7 @@ _SPECTRAL_DOUBLES = ("spectral_centroid_hz", "spectral_rolloff_hz", "high_freque
 
 @register("spectral_features", tidied(with_inputs(["spectrum"], _SPECTRAL), *_SPECTRAL_DOUBLES))
 def spectral_query(spark, d):
-    return tidy(spectral_features(A.spectrum(spark, d), bins_per_frame=64))
+    return tidy(spectral_features(A.spectrum(spark, d)))
 
 
 def _vote_sql(value: str, bounds: tuple[float, float], labels: tuple[str, str, str]) -> str:
@@ -257,6 +257,6 @@ def _timbre_sql() -> str:
     features="SELECT * FROM envelope_stats JOIN spectral USING (clip_id)"))
 def classify_timbre_query(spark, d):
     envelope = envelope_features(_mono(spark, d), SIGNAL_RATE, **ENVELOPE)
-    features = envelope.join(spectral_features(A.spectrum(spark, d), bins_per_frame=64), "clip_id")
+    features = envelope.join(spectral_features(A.spectrum(spark, d)), "clip_id")
     labels = F.array(*map(F.lit, ("drums", "bass", "piano", "strings", "woodwind")))
     return classify_timbre(features.withColumn("canonical_label", F.explode(labels)))

@@ -111,7 +111,7 @@ def test_spectrum_and_classes(spark):
     freq = np.arange(65) * 125.0
     df = spark.createDataFrame([("c", f, float(freq[b]), float(mags[f, b])) for f in range(4) for b in range(65)],
                                "clip_id string, frame int, freq_hz double, magnitude double")
-    row = spectral_features(df, bins_per_frame=65).first()
+    row = spectral_features(df).first()
     p = mags**2
     cum = p.cumsum(axis=1)
     assert row.spectral_centroid_hz == pytest.approx(np.median((freq * p).sum(1) / (p.sum(1) + 1e-12)))

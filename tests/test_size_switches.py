@@ -9,9 +9,11 @@ from __spark_entry__ import queries
 from earmark.functions.columns import FINE_PER_OCTAVE, value_bucket
 from earmark.functions import ordered
 from earmark.functions.ordered import counted_slices, dense_index, order_statistics
+from earmark.operators.framing import frame_counts, frame_table
 from earmark.operators.metrics import average_precision, binary_metrics
 from earmark.operators.sampling import late_fetch
 from earmark.operators.thresholds import search_threshold, validate_thresholds
+from earmark.operators.timbre import envelope_features, spectral_features
 from earmark.plans.activity import label_intervals
 from earmark.session import stored
 
@@ -136,3 +138,20 @@ def test_metric_plans_scan_once_and_fail_late(spark):
         assert "lineitem" not in text, name  # the rows come from the store
         assert text.count("Exchange hashpartitioning") + text.count("Exchange rangepartitioning") <= 4, name
         assert text.count("raise_error") == 1, name
+
+
+def test_frames_are_counted_not_declared(spark):
+    """A spectrum of few bins a frame, and clips of unequal length: sizes hold, and both ways give the same rows."""
+    spectrum = spark.range(4_000).select(
+        F.when(F.col("id") < 3_600, "long").otherwise("short").alias("clip_id"), F.floor(F.col("id") / 4).alias("frame"),
+        ((F.col("id") % 4) * 1000.0).alias("freq_hz"), (1 + F.col("id") * 7 % 13).cast("double").alias("magnitude"),
+    )
+    usual, sliced = (_rows(spectral_features(spectrum, limit=n)) for n in (10**6, 500))
+    assert len(usual) == 2 and all(_same(a, b) for x, y in zip(usual, sliced) for a, b in zip(x, y))
+    mono = spark.range(5_000).select(F.when(F.col("id") < 4_500, "long").otherwise("short").alias("clip_id"), "id")
+    mono = mono.select("clip_id", F.when(F.col("clip_id") == "long", F.col("id")).otherwise(F.col("id") - 4_500).alias("i"), F.sin(F.col("id") / 9.0).alias("mono"))
+    counts = {r.clip_id: r._n for r in frame_counts(mono, 16).collect()}
+    frames = {r.clip_id: r["count"] for r in frame_table(mono, 32, 16).groupBy("clip_id").count().collect()}
+    assert all(frames[k] <= n <= frames[k] + 2 for k, n in counts.items())
+    usual, sliced = (_rows(envelope_features(mono, 1000, size=32, hop=16, limit=n)) for n in (10**6, 50))
+    assert len(usual) == 2 and all(_same(a, b) for x, y in zip(usual, sliced) for a, b in zip(x, y))
