@@ -17,7 +17,6 @@ columns of the names written here are replaced.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,67 +28,88 @@ from earmark.llm.common import free_name, quoted, small_batches, text_slices
 DIMENSIONS = 1024
 SEED = 11
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
-MAX_WORDS = 300_000
-MAX_WORD_CHARS = 12_000_000
+# characters of a text that are worked on at once, and runs a table may hold before it is emptied
+CHUNK_CHARS = 32_768
 MAX_RUNS = 50_000
+BOUNDARY = 32
 _WORKER: dict[int, RunTable] = {}
+_LETTER: list[np.ndarray] = []
+
+
+def is_letter() -> np.ndarray:
+    """For every code point whether it is a letter (numbers of any kind and marks are none)."""
+    if not _LETTER:
+        _LETTER.append(np.char.isalpha(np.arange(0x110000, dtype="<u4").view("<U1")))
+    return _LETTER[0]
 
 
 class RunTable:
-    """Numbers and vectors of three-letter runs, and the runs of words, all bounded."""
+    """Numbers and vectors of three-letter runs, bounded."""
 
     def __init__(self, dimensions: int):
         self.dimensions = dimensions
-        self.letters: dict[str, np.ndarray] = {}
+        self.letters: dict[int, np.ndarray] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.runs: dict[str, int] = {}
+        self.runs: dict[int, int] = {}
         self.vectors = np.zeros((1024, self.dimensions), dtype=np.int8)
-        self.words: dict[str, bytes] = {}
-        self.chars = 0
 
-    def letter(self, c: str) -> np.ndarray:
-        if c not in self.letters:
+    def letter(self, code: int) -> np.ndarray:
+        if code not in self.letters:
             if len(self.letters) > 20_000:
                 self.letters = {}
-            bits = np.random.default_rng([SEED, ord(c)]).integers(0, 2, self.dimensions, dtype=np.int8)
-            self.letters[c] = 2 * bits - 1
-        return self.letters[c]
-
-    def run(self, abc: str) -> int:
-        if abc not in self.runs:
-            n = self.runs[abc] = len(self.runs)
+            bits = np.random.default_rng([SEED, code]).integers(0, 2, self.dimensions, dtype=np.int8)
+            self.letters[code] = 2 * bits - 1
+        return self.letters[code]
+
+    def run(self, key: int) -> int:
+        """The number of a run; its key holds three code points of 21 bits."""
+        n = self.runs.get(key)
+        if n is None:
+            n = self.runs[key] = len(self.runs)
             if n >= len(self.vectors):
                 self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-            a, b, c = (self.letter(x) for x in abc)
+            a, b, c = (self.letter(key >> shift & 0x1FFFFF) for shift in (42, 21, 0))
             self.vectors[n] = np.roll(a, 2) * np.roll(b, 1) * c
-        return self.runs[abc]
+        return n
 
     def full(self) -> bool:
-        return len(self.runs) > MAX_RUNS or len(self.words) > MAX_WORDS or self.chars > MAX_WORD_CHARS
-
-    def runs_of(self, text: str) -> np.ndarray:
-        """Numbers of all runs of a text, in order."""
-        words = text.split()
-        known = self.words
-        for w in set(words).difference(known):
-            numbers: list[int] = []
-            for letters in LETTERS.findall(w.lower()):
-                padded = f" {letters} "
-                numbers += [self.run(padded[i : i + 3]) for i in range(len(padded) - 2)]
-            known[w] = np.array(numbers, dtype=np.int32).tobytes()
-            self.chars += len(w)
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.int32)
-
-    def bundle(self, counts: np.ndarray) -> np.ndarray:
+        return len(self.runs) > MAX_RUNS
+
+    def chunks(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(numbers, counts) of the distinct runs of a text, a bounded number of characters at a time."""
+        codes = np.frombuffer(text.lower().encode("utf-32-le"), dtype="<u4")
+        for start in range(0, len(codes), CHUNK_CHARS):
+            # a letter's run is the letter between its neighbours; what is no letter is a boundary
+            own = codes[max(0, start - 1) : start + CHUNK_CHARS + 1]
+            letter = is_letter()[own]
+            padded = np.full(len(own) + 2, BOUNDARY, dtype=np.int64)
+            padded[1:-1][letter] = own[letter]
+            middle = np.flatnonzero(letter)
+            first = min(start, 1)
+            middle = middle[(middle >= first) & (middle < first + CHUNK_CHARS)]
+            keys = padded[middle] << 42 | padded[middle + 1] << 21 | padded[middle + 2]
+            distinct, counts = np.unique(keys, return_counts=True)
+            if len(distinct):
+                yield np.fromiter(map(self.run, distinct.tolist()), np.int64, len(distinct)), counts
+
+    def bundle(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Sum of the runs' vectors times their counts."""
         total = np.zeros(self.dimensions)
-        used = np.flatnonzero(counts)
-        for i in range(0, len(used), 4096):
-            part = used[i : i + 4096]
-            total += counts[part].astype(np.float32) @ self.vectors[part].astype(np.float32)
+        for i in range(0, len(numbers), 4096):
+            part = numbers[i : i + 4096]
+            total += counts[i : i + 4096].astype(np.float32) @ self.vectors[part].astype(np.float32)
+        return total
+
+    def bundle_of(self, text: str) -> np.ndarray | None:
+        """The bundle of a text, or None where it has no letter."""
+        total = None
+        for numbers, counts in self.chunks(text):
+            own = self.bundle(numbers, counts)
+            total = own if total is None else total + own
+            if self.full():
+                self.clear()
         return total
 
 
@@ -108,26 +128,28 @@ def train_prototypes(
         counts: dict[str, np.ndarray] = {}
 
         def sums() -> pa.RecordBatch:
-            rows = [np.rint(table.bundle(c)).astype(np.int64) for c in counts.values()]
+            used = [np.flatnonzero(c) for c in counts.values()]
+            rows = [np.rint(table.bundle(at, c[at])).astype(np.int64) for at, c in zip(used, counts.values())]
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(counts), type=pa.string()), pa.array(rows, type=pa.list_(pa.int64()))], ["lang", "sums"]
             )
 
-        def add(lang: str, numbers: np.ndarray) -> None:
-            own = np.bincount(numbers, minlength=len(table.runs))
+        def add(lang: str, numbers: np.ndarray, own: np.ndarray) -> None:
             have = counts.get(lang, np.zeros(0, np.int64))
-            if len(have) < len(own):
-                have = np.concatenate([have, np.zeros(2 * len(own) - len(have), np.int64)])
-            have[: len(own)] += own
+            if len(have) < len(table.runs):
+                have = np.concatenate([have, np.zeros(2 * len(table.runs) - len(have), np.int64)])
+            have[numbers] += own
             counts[lang] = have
 
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                if table.full():
-                    yield sums()
-                    counts.clear()
-                    table.clear()
-                add(lang, table.runs_of(text))
+                counts.setdefault(lang, np.zeros(0, np.int64))
+                for numbers, own in table.chunks(text):
+                    add(lang, numbers, own)
+                    if table.full():
+                        yield sums()
+                        counts.clear()
+                        table.clear()
         yield sums()
 
     learn = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
@@ -157,14 +179,11 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], text: Column
         names, scores = [], []
         for part in text_slices(texts):
             for t in part:
-                if table.full():
-                    table.clear()
-                numbers = table.runs_of(t) if t else ()
-                if not len(numbers) or not languages:
+                v = table.bundle_of(t) if t and languages else None
+                if v is None:
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                v = table.bundle(np.bincount(numbers))
                 cosines = prototypes @ v / max(np.linalg.norm(v), 1e-12)
                 best = int(np.argmax(cosines))
                 names.append(languages[best])

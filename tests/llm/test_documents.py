@@ -270,6 +270,35 @@ def test_languages_held_out(spark, odd):
     assert language.identify(odd.filter("false"), model).count() == 0
 
 
+def test_runs_of_letters_by_plain_counts():
+    """Runs counted over code points equal runs of padded words, across chunks too; numbers and marks are no letters."""
+    texts = ["\u0391\u03a3 \u0391\u03a3, \u0130stanbul \u00df \u65e5\u672c\u8a9e a\u00bd\u00b2b \u2167", "don't x_y \u0663\u0664 e\u0301\u0301", "ab" * 40_000 + " c", " " * 32_767 + "abc",
+             "\u00bd \u00b2 \u2167", "", "\U00010400x"]
+    for text in texts:
+        table = language.RunTable(64)
+        got = collections.Counter()
+        for numbers, counts in table.chunks(text):
+            name = {n: "".join(chr(k >> s & 0x1FFFFF) for s in (42, 21, 0)) for k, n in table.runs.items()}
+            for n, k in zip(numbers, counts):
+                got[name[int(n)]] += int(k)
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        assert got == collections.Counter(f" {w} "[i : i + 3] for w in words for i in range(len(w)))
+        assert (table.bundle_of(text) is None) == (not words)
+
+
+def test_byte_bpe_across_generations(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_ENTRIES", 40)
+    own, whole = bpe.ForcedBoundaryBpe(BYTE), Tokenizer.from_file(BYTE)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("aeiourstln") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    for _ in range(30):
+        batch = [" ".join(rng.choices(words, k=12)) for _ in range(2)]
+        for text, got in zip(batch, own.digests(batch)):
+            ids = whole.encode(text, add_special_tokens=False).ids
+            assert got[:2] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    assert own.old and own.entries
+
+
 def test_quality_held_out(spark, odd):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = quality.train(docs, labels.filter("doc_id % 5 <> 0"))
