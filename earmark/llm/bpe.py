@@ -29,8 +29,9 @@ from earmark.llm.pieces import CUT
 
 # the division into pieces that byte-level vocabularies of this family state as their pattern (fixed value)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MAX_ENTRIES = 600_000
-MAX_ENTRY_CHARS = 16_000_000
+# words and their characters that one of two generations holds
+MAX_ENTRIES = 400_000
+MAX_ENTRY_CHARS = 10_000_000
 # symbols up to which a fragment is merged by plain scans
 SHORT = 24
 NO_MERGE = (1 << 60, -1)
@@ -69,7 +70,10 @@ class ForcedBoundaryBpe:
         self.divide = regex.compile(PATTERN).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.fragments: dict[bytes, tuple[int, ...]] = {}
+        self.earlier: dict[bytes, tuple[int, ...]] = {}
+        # the words of late and the generation before; a word met again moves up
         self.entries: dict[str, tuple[str, bytes]] = {}
+        self.old: dict[str, tuple[str, bytes]] = {}
         self.chars = 0
 
     def cut(self, piece: bytes) -> list[bytes]:
@@ -134,7 +138,7 @@ class ForcedBoundaryBpe:
                 for fragment in self.cut(piece.encode()):
                     merged = self.fragments.get(fragment)
                     if merged is None:
-                        merged = self.merge(fragment)
+                        merged = self.earlier.get(fragment) or self.merge(fragment)
                         if len(fragment) <= 64:
                             self.fragments[fragment] = merged
                     ids.extend(merged)
@@ -149,11 +153,15 @@ class ForcedBoundaryBpe:
         parts = [CUT.split(t) for t in texts]
         wanted = {" " + w for w in {w for p in parts for w in p[1:]}} | {p[0] for p in parts}
         if len(self.entries) + len(wanted) > MAX_ENTRIES or self.chars > MAX_ENTRY_CHARS:
-            self.entries, self.fragments, self.chars = {}, {}, 0
-        entries = self.entries
+            self.old, self.entries, self.chars = self.entries, {}, 0
+            self.earlier, self.fragments = self.fragments, {}
+        entries, old = self.entries, self.old
         for w in wanted.difference(entries):
-            ids = self.encode(w)
-            entries[w] = (",".join(map(str, ids)), self.decode(ids))
+            entry = old.get(w)
+            if entry is None:
+                ids = self.encode(w)
+                entry = (",".join(map(str, ids)), self.decode(ids))
+            entries[w] = entry
             self.chars += len(w)
         out = []
         for p in parts:
