@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from earmark.llm.common import named, sliced, small_batches
+from earmark.llm.common import kept, named, sliced, small_batches
 from earmark.llm.pieces import CUT
 
 # the division into pieces that byte-level vocabularies of this family state as their pattern (fixed value)
@@ -35,7 +35,6 @@ MAX_ENTRY_CHARS = 10_000_000
 # symbols up to which a fragment is merged by plain scans
 SHORT = 24
 NO_MERGE = (1 << 60, -1)
-_LOADED: dict[str, ForcedBoundaryBpe] = {}
 
 
 def byte_letters() -> dict[str, int]:
@@ -175,9 +174,7 @@ class ForcedBoundaryBpe:
 
 def codec(path: str) -> ForcedBoundaryBpe:
     """The worker's codec for a vocabulary file, loaded once."""
-    if path not in _LOADED:
-        _LOADED[path] = ForcedBoundaryBpe(path)
-    return _LOADED[path]
+    return kept(f"codec {path}", lambda: ForcedBoundaryBpe(path))
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

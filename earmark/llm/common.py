@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,6 +16,19 @@ SLICE_CHARS = 6_000_000
 MERGED_BYTES = 6_000_000
 # rows that travel to a Python worker at once; texts may be long
 BATCH_ROWS = 1_000
+_KEPT: dict[str, Any] = {}
+
+
+def kept(operator: str, make: Callable[[], Any]) -> Any:
+    """What a worker keeps between the tasks of one operator; what it kept for another one is let go.
+
+    A worker serves one stage after the other, and their tables together would not fit.
+    """
+    if operator not in _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        _KEPT[operator] = make()
+    return _KEPT[operator]
 
 
 def small_batches(spark: SparkSession) -> None:

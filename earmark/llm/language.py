@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from earmark.llm.common import free_name, quoted, small_batches, text_slices
+from earmark.llm.common import free_name, kept, quoted, small_batches, text_slices
 
 DIMENSIONS = 1024
 SEED = 11
@@ -32,7 +32,6 @@ UNKNOWN = "und"
 CHUNK_CHARS = 32_768
 MAX_RUNS = 50_000
 BOUNDARY = 32
-_WORKER: dict[int, RunTable] = {}
 _LETTER: list[np.ndarray] = []
 
 
@@ -114,7 +113,7 @@ class RunTable:
 
 
 def _table(dimensions: int) -> RunTable:
-    return _WORKER.setdefault(dimensions, RunTable(dimensions))
+    return kept(f"language {dimensions}", lambda: RunTable(dimensions))
 
 
 def train_prototypes(
@@ -199,5 +198,5 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col:
     """The table with ``lang_pred`` and ``score``."""
     new = free_name(docs.columns, "_lang")
     out = docs.withColumn(new, predicted(docs, model, *quoted([text_col])))
-    kept = quoted([c for c in docs.columns if c not in ("lang_pred", "score")])
-    return out.select(*kept, F.col(f"{new}.lang_pred").alias("lang_pred"), F.col(f"{new}.score").alias("score"))
+    others = quoted([c for c in docs.columns if c not in ("lang_pred", "score")])
+    return out.select(*others, F.col(f"{new}.lang_pred").alias("lang_pred"), F.col(f"{new}.score").alias("score"))

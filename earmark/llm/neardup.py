@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType
 
-from earmark.llm.common import named, sliced, small_batches, written
+from earmark.llm.common import kept, named, sliced, small_batches, written
 
 LANES, BITS = 128, 4
 PARITY_BITS = 1024
@@ -42,7 +42,7 @@ SEED = 3
 FACTOR = 16
 # turns after which leaders outnumber the members of any bucket
 MAX_TURNS = 15
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 LOWER_AND_SPACE = bytes(
     32 if b in (9, 10, 11, 12, 13) else b + 32 if 65 <= b <= 90 else b for b in range(256)
 )
@@ -51,7 +51,6 @@ FACTORS = _rng.integers(0, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.
 SHIFTS = _rng.integers(0, 1 << 63, LANES, dtype=np.uint64)
 BAND_FACTORS = _rng.integers(0, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
-_WORDS: dict[bytes, bytes] = {}
 
 
 def bands_for(similarity: float) -> tuple[int, int]:
@@ -76,11 +75,12 @@ def shingles(text: str, words: int) -> np.ndarray:
     own = text.encode().translate(LOWER_AND_SPACE).split()
     if not own:
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > MAX_WORDS:
-        _WORDS.clear()
-    for w in set(own).difference(_WORDS):
-        _WORDS[w] = xxhash.xxh64_intdigest(w).to_bytes(8, "little")
-    hashes = np.frombuffer(b"".join(map(_WORDS.__getitem__, own)), dtype="<u8")
+    known = kept("shingles", dict)
+    if len(known) > MAX_WORDS:
+        known.clear()
+    for w in set(own).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w).to_bytes(8, "little")
+    hashes = np.frombuffer(b"".join(map(known.__getitem__, own)), dtype="<u8")
     n = min(words, len(own))
     rolled = np.full(len(own) - n + 1, n, dtype=np.uint64)
     for i in range(n):

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from earmark.llm.common import merged, named, sliced, small_batches, written
 from earmark.llm.pieces import encoder
 
+# pieces that a worker keeps with their ids
+KNOWN_PIECES = 400_000
 # pieces of one length that one slice holds on average
 SLICE_ROWS = 20_000
 
@@ -114,7 +116,7 @@ def token_pieces(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, space_counts).ids_of
+        encode = encoder(tokenizer_path, space_counts, limit=KNOWN_PIECES).ids_of
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in merged(batches):
             for rows, texts in sliced(batch, "text"):

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from earmark.llm.common import kept
+
 # a space before a visible character; other spaces stay with the piece before them
 CUT = re.compile(r" (?=\S)")
 # stands for a line break at the start of a piece
@@ -33,8 +35,6 @@ MAX_PIECE_CHARS = 16_000_000
 # new words that share one text when they are encoded
 SHARED_WORDS = 50
 
-_LOADED: dict[tuple[str, bool, bool, int], PieceEncoder] = {}
-
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs ``values[start : start + size]`` one after the other."""
@@ -266,6 +266,7 @@ class PieceEncoder:
 def encoder(path: str, space_counts: bool, plain_specials: bool = False, limit: int = MAX_PIECES) -> PieceEncoder:
     """The worker's encoder for a tokenizer file, loaded once; its table keeps ``limit`` pieces."""
     key = (path, space_counts, plain_specials, limit)
-    if key not in _LOADED:
-        _LOADED[key] = PieceEncoder(*key)
-    return _LOADED[key]
+    held = kept("pieces", dict)
+    if key not in held:
+        held[key] = PieceEncoder(*key)
+    return held[key]

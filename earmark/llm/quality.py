@@ -38,8 +38,8 @@ EPOCHS = 4
 LEARNING_RATE = 2.0
 SEED = 5
 # words and characters of one of a worker's two tables
-MAX_WORDS = 300_000
-MAX_WORD_CHARS = 12_000_000
+MAX_WORDS = 150_000
+MAX_WORD_CHARS = 6_000_000
 # characters of a word that its n-grams cover; longer words are read in parts of that length
 WORD_CHARS = 64
 # new words hashed at once
