@@ -294,6 +294,20 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     return content_inventory(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
 
 
+def write_bundles(content: DataFrame, path: str, body: str = "content") -> None:
+    """Many small files as members of bundles, one bundle a task: rows of ``path`` and bytes.
+
+    A folder or file per member would make the driver list and move each of them; bundles are as many as tasks.
+    """
+    members = content.select("path", F.col(body).cast("binary").alias("content"))
+    members.write.mode("errorifexists").parquet(path)
+
+
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """Inventory of the members of bundles; a member without bytes is there, unlike an empty file of ``read_inventory``."""
+    return content_inventory(spark.read.schema("path string, content binary").parquet(path))
+
+
 def integrity_check(inventory: DataFrame, manifest: DataFrame) -> DataFrame:
     """``error`` per manifest entry: integrity_failure when missing or different, else null."""
     found = inventory.select("path", F.col("sha256").alias("_found"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from earmark import constants as C
 from earmark.operators.incremental import append_cache, merge_scores, read_cache, split_cached
+from earmark.plans.catalog import inputs
 from earmark.session import scratch_path, small_splits
 from earmark.sources import files
 
@@ -84,6 +85,16 @@ def test_changed_and_missing_files_are_reported(spark, tmp_path):
     assert errors == {"same": None, "changed": "integrity_failure", "deep/other": None, "empty": "integrity_failure", "gone": "integrity_failure", "none": None}
 
 
+def test_many_texts_are_checked_without_a_folder_each(spark, tmp_path, monkeypatch):
+    """Null languages and texts keep their row, and the files written are as many as tasks, not as texts."""
+    rows = [(i, "text " * (i % 3), ("en", "de", "fr", None)[i % 4]) for i in range(400)] + [(400, None, "en"), (401, None, "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/in/documents.parquet")
+    monkeypatch.setattr(inputs, "scratch_path", lambda spark, name: f"{tmp_path}/out")
+    got = {r.path: r.error for r in inputs.file_integrity_query(spark, f"{tmp_path}/in").collect()}
+    assert got == {str(i): "integrity_failure" if lang in ("de", "fr") else None for i, _, lang in rows}
+    assert len([f for f in (tmp_path / "out").rglob("*") if f.suffix == ".parquet"]) <= 4
+
+
 def _above_scan(df, path):
     """Operators between the scan of a folder and the first join above it, that join included."""
     lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
