@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from earmark import constants as C
@@ -239,14 +241,35 @@ def write_results(documents: DataFrame, path: str) -> None:
     documents.write.mode("overwrite").json(path)
 
 
+# each replacement is a generation of its own; the newest document of an analysis counts
+GENERATION = "generation"
+
+
 def replace_results(documents: DataFrame, path: str) -> None:
-    """Result documents in one folder per analysis: those given replace their own folder and leave all others."""
-    folders = documents.repartition("analysis_id").write.mode("overwrite").partitionBy("analysis_id")
-    folders.option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").json(path)
+    """Result documents that replace those of their own analyses and leave all others.
+
+    They are written beside the earlier ones as the next generation, so the files written are as many as tasks, not as
+    analyses. One writer at a time; what was replaced stays in its folder.
+    """
+    spark, folder = documents.sparkSession, re.compile(f"/{GENERATION}=([0-9]+)/")
+    try:
+        written = spark.read.schema(RESULT).json(path).inputFiles()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        written = []
+    following = 1 + max((int(m.group(1)) for m in map(folder.search, written) if m), default=-1)
+    sink = documents.write.mode("append").option("ignoreNullFields", "false")
+    sink.json(f"{path.rstrip('/')}/{GENERATION}={following}")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RESULT).json(path, mode="FAILFAST")
+    """Result documents as written, or of each analysis those of its newest generation."""
+    rows = spark.read.schema(RESULT).json(path, mode="FAILFAST")
+    if GENERATION not in rows.columns:
+        return rows
+    newest = F.max(GENERATION).over(Window.partitionBy("analysis_id"))
+    return rows.withColumn("_newest", newest).filter(F.col(GENERATION) == F.col("_newest")).drop(GENERATION, "_newest")
 
 
 def result_rows(documents: DataFrame) -> DataFrame:

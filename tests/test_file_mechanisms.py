@@ -72,6 +72,22 @@ def test_results_are_replaced_one_by_one(spark):
     assert files.read_results(spark, path).count() == 5
 
 
+def test_replacing_many_results_writes_no_folder_each(spark, tmp_path):
+    path = f"{tmp_path}/results"
+    documents = spark.range(0, 600, 1, 3).select(
+        F.when(F.col("id") > 1, F.col("id").cast("string")).when(F.col("id") == 1, "").alias("analysis_id"), F.lit("1.0.0").alias("schema_version"),
+        F.array().cast(files.RESULT.split("instruments ")[1]).alias("instruments"),
+    )  # a null and an empty name among them
+    newer = documents.withColumn("schema_version", F.lit("2.0.0"))
+    files.replace_results(documents, path)
+    for some in (newer.filter("try_cast(analysis_id as int) % 3 = 0"), newer.limit(0), newer.filter("analysis_id is null or analysis_id = ''")):
+        files.replace_results(some, path)
+    got = [(r.analysis_id, r.schema_version) for r in files.read_results(spark, path).collect()]
+    names = [None, "", *map(str, range(2, 600))]
+    assert dict(got) == {n: "2.0.0" if not n or int(n) % 3 == 0 else "1.0.0" for n in names} and len(got) == 600
+    assert len(list((tmp_path / "results").rglob("*.json"))) <= 12
+
+
 def test_changed_and_missing_files_are_reported(spark, tmp_path):
     """The reader lists no file without bytes, so an empty one counts as missing."""
     (tmp_path / "deep").mkdir()
