@@ -31,10 +31,10 @@ from earmark.llm.pieces import PieceEncoder, encoder, gather
 
 FRAGMENT_WORDS = 64
 # characters encoded at once, and of the documents of one block
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 500_000
 BLOCK_CHARS = 250_000
 # pieces that each of a worker's two encoders remembers
-KNOWN_PIECES = 200_000
+KNOWN_PIECES = 100_000
 MARK = "▁"  # stands for a space in pieces
 _PIECES: dict[str, SentencePieces] = {}
 

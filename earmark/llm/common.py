@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -19,6 +21,14 @@ BATCH_ROWS = 1_000
 _KEPT: dict[str, Any] = {}
 
 
+def give_back() -> None:
+    """Freed memory returns to the system where the C library can do so; otherwise a worker holds what it ever held."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def kept(operator: str, make: Callable[[], Any]) -> Any:
     """What a worker keeps between the tasks of one operator; what it kept for another one is let go.
 
@@ -27,6 +37,7 @@ def kept(operator: str, make: Callable[[], Any]) -> Any:
     if operator not in _KEPT:
         _KEPT.clear()
         pa.default_memory_pool().release_unused()
+        give_back()
         _KEPT[operator] = make()
     return _KEPT[operator]
 

@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from earmark.llm.common import merged, named, sliced, small_batches, written
 from earmark.llm.pieces import encoder
 
-# pieces that a worker keeps with their ids
-KNOWN_PIECES = 400_000
+# characters encoded at once; pieces that a worker keeps with their ids
+SLICE_CHARS = 2_000_000
+KNOWN_PIECES = 200_000
 # pieces of one length that one slice holds on average
 SLICE_ROWS = 20_000
 
@@ -118,8 +119,8 @@ def token_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, space_counts, limit=KNOWN_PIECES).ids_of
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in merged(batches):
-            for rows, texts in sliced(batch, "text"):
+        for batch in merged(batches, SLICE_CHARS):
+            for rows, texts in sliced(batch, "text", SLICE_CHARS):
                 which, starts, pieces = [], [], []
                 for i, ids in enumerate(encode(texts)):
                     ids += end

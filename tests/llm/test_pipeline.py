@@ -81,3 +81,16 @@ def test_run_equals_its_stages_by_plain_loops(spark):
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
         assert sum(n for _, n in parts) <= 4096
     assert table.filter(F.col("doc_id").isNull()).count() == 0  # ids of the given table tell rows apart
+
+
+def test_a_worker_gives_memory_back_between_stages(monkeypatch):
+    from earmark.llm import common
+
+    given = []
+    monkeypatch.setattr(common, "_KEPT", {})
+    monkeypatch.setattr(common, "give_back", lambda: given.append(dict(common._KEPT)))
+    for stage in ("language", "language", "pieces", "pieces"):
+        common.kept(stage, dict)
+    assert given == [{}, {}]
+    monkeypatch.undo()
+    common.give_back()
