@@ -18,6 +18,8 @@ from earmark.session import stored
 MAX_GROUP_ROWS = 200_000
 # rows of one group that a single task may sort in a window (it spills to disk)
 MAX_WINDOW_ROWS = 5_000_000
+# rows of a part of an order that one task sorts; a task may get a few parts
+PART_ROWS = 250_000
 # oversized keys that may be sent to every executor
 MAX_BROADCAST_KEYS = 100_000
 
@@ -83,13 +85,15 @@ def running_totals(
     *,
     descending: bool = False,
     then: Sequence[str] = (),
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``<m>_before`` (sum over earlier rows) and ``<m>_total`` (sum over the key) per measure.
 
     Order is by ``value``, then the ``then`` columns ascending; with them it must be total within a key, or rows
     that are equal in it come in any order. One range shuffle along (key, value, then) deals the rows into parts of
-    about equal size, whatever share a key or a value has, and the rows are stored with their part. Only the
-    totals of (part, key), fewer than parts and keys together, are summed along a key.
+    about equal size (of ``PART_ROWS`` rows at most or so), whatever share a key or a value has, and the rows are stored with
+    their part. Only the totals of (part, key), fewer than parts and keys together, are summed along a key.
+    ``sized_by`` has as many rows and is cheaper to count.
     """
     # the caller's columns may themselves be called _key
     own = {c: f"_own_{c}" for c in table.columns}
@@ -97,7 +101,9 @@ def running_totals(
     order = [direction, *[F.col(own[c]).asc() for c in then]]
     placed = table.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], key_of(keys).alias("_key"))
     # the part is read back from the written rows, so that a retry cannot deal them anew
-    parted = stored(placed.repartitionByRange("_key", *order).withColumn("_part", F.spark_partition_id()), "ordered")
+    n = row_parts(table if sized_by is None else sized_by)
+    dealt = placed.repartitionByRange("_key", *order) if n is None else placed.repartitionByRange(n, "_key", *order)
+    parted = stored(dealt.withColumn("_part", F.spark_partition_id()), "ordered")
     along = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole, inside = Window.partitionBy("_key"), Window.partitionBy("_part", "_key").orderBy(*order)
     inside = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -106,16 +112,25 @@ def running_totals(
         *[F.coalesce(F.sum(m).over(along), F.lit(0)).alias(f"_{m}_offset") for m in measures],
         *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures],
     )
-    return parted.join(totals, ["_part", "_key"]).select(
+    # summed along before the join, so that the rows are sorted once, for both
+    together = parted if n is None else parted.repartition(n, "_part", "_key")
+    summed = together.select("*", *[F.coalesce(F.sum(own[m]).over(inside), F.lit(0)).alias(f"_{m}_inside") for m in measures])
+    return summed.join(totals, ["_part", "_key"]).select(
         *[F.col(n).alias(c) for c, n in own.items()],
-        *[
-            (F.coalesce(F.sum(own[m]).over(inside), F.lit(0)) + F.col(f"_{m}_offset")).alias(f"{m}_before")
-            for m in measures
-        ],
+        *[(F.col(f"_{m}_inside") + F.col(f"_{m}_offset")).alias(f"{m}_before") for m in measures],
         *[f"{m}_total" for m in measures],
     )
 
 
+def row_parts(table: DataFrame, rows: int | None = None) -> int | None:
+    """Parts of about ``rows`` rows each, or None where the session's shuffle partitions are enough of them.
+
+    The session's number is fixed, so parts would grow with the table; the count reads no column it can do without.
+    """
+    parts = -(-table.count() // (rows or PART_ROWS))
+    return parts if parts > int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def dense_index(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, *, limit: int = MAX_WINDOW_ROWS
 ) -> DataFrame:

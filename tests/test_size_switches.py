@@ -130,6 +130,19 @@ def test_running_totals_deal_a_hot_tie_group_evenly(spark, monkeypatch):
     assert sorted(rest.values()) == [0, 1, 2] and rest["~outlier"] == 2
 
 
+def test_parts_of_an_order_do_not_grow_with_the_table(spark, monkeypatch):
+    """More parts than the session has shuffle partitions, and few rows in any task; the totals are the same."""
+    kept = {}
+    monkeypatch.setattr(ordered, "PART_ROWS", 500, raising=False)
+    monkeypatch.setattr(ordered, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    rows = spark.range(12_000).select("id", (F.col("id") * 7919 % 12_000).alias("x"), F.lit("hot").alias("k"), F.lit(1).alias("n"))
+    got = ordered.running_totals(rows, ["k"], "x", ["n"])
+    assert all(r.n_before == r.x and r.n_total == 12_000 for r in got.collect())
+    sizes = [r["count"] for r in kept["ordered"].groupBy("_part").count().collect()]
+    assert len(sizes) >= 20 and max(sizes) <= 1_000
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 10
+
+
 def test_metric_plans_scan_once_and_fail_late(spark):
     """One range shuffle and the stored rows instead of a self-join of the scan; no error expression on rows."""
     sf = "/root/testdata/sf0.001"
