@@ -186,7 +186,7 @@ def read_manifest_document(spark: SparkSession, path: str) -> DataFrame:
     opens = (F.col("line") == RECORD_INDENT + "{").cast("long")
     closes = F.col("line").isin(RECORD_INDENT + "}", RECORD_INDENT + "},").cast("long")
     marked = lines.select("*", opens.alias("opens"), closes.alias("closes"))
-    placed = running_totals(marked, ["file"], "line_no", ["opens", "closes"])
+    placed = running_totals(marked, ["file"], "line_no", ["opens", "closes"], sized_by=spark.read.text(path))
     record = F.col("opens_before") + F.col("opens")
     inside = placed.withColumn("record", record).filter(F.col("record") > F.col("closes_before"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])

@@ -50,6 +50,17 @@ def test_one_document_is_read_by_many_tasks(spark, tmp_path, n):
     assert rows == sorted(map(str, whole.collect())) and len(rows) == n
 
 
+def test_documents_of_a_dataset_are_bounded(spark, tmp_path, monkeypatch):
+    """One dataset of many samples is several documents, each of about the given number, and no sample is lost."""
+    rows = spark.range(900).select(F.col("id").alias("doc_id"), F.lit("src").alias("source"), F.lit("en").alias("lang"), F.lit("x").alias("text"))
+    rows.write.parquet(f"{tmp_path}/in/documents.parquet")
+    monkeypatch.setattr(inputs, "DOCUMENT_SAMPLES", 100, raising=False)
+    monkeypatch.setattr(inputs, "scratch_path", lambda spark, name: f"{tmp_path}/out")
+    got = inputs.manifest_document_query(spark, f"{tmp_path}/in").select("sample_id").distinct().count()
+    sizes = [f.read_text().count('"sample_id"') for f in (tmp_path / "out").rglob("*.txt")]
+    assert got == sum(sizes) == 900 and len(sizes) == 9 and max(sizes) <= 200
+
+
 def test_a_document_with_other_labels_is_refused(spark, tmp_path):
     bad = _sample(1) | {"targets": {"drums": True}}
     (tmp_path / "manifest.json").write_text(json.dumps({"samples": [_sample(0), bad]}, indent=2))
