@@ -1,4 +1,4 @@
-"""Live activity intervals: the batch rules with a small typed state per label of a clip."""
+"""Live activity intervals: the batch rules with a small typed state per label of a clip, many labels to a state row."""
 
 from __future__ import annotations
 
@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ROW = ("window_idx", "start_s", "end_s", "score", "event_ms", "threshold", "release_ratio", "gap_s")
-STATE = (
-    "is_on boolean, last_start double, last_idx bigint, seen_ms bigint, min_duration double, min_windows bigint, "
-    "start double, end double, peak double, total double, n bigint, due_ms bigint"
-)
+KEY = ("clip_id", "canonical_label", "no_clip")
+RULE = ("min_duration_s", "min_windows")
+# one entry of each list for every label of a clip in the slot
+STATE = ", ".join(
+    f"{part.split()[0]} array<{part.split()[1]}>" for part in (
+        "clip bigint, label string, is_on boolean, last_start double, last_idx bigint, seen_ms bigint, min_duration double, "
+        "min_windows bigint, start double, end double, peak double, total double, n bigint, due_ms bigint"
+    ).split(", ")
+)
 OUTPUT = (
     "clip_id bigint, canonical_label string, start_s double, end_s double, peak_score double, "
     "confidence double, n_windows bigint"
@@ -21,6 +26,10 @@ OUTPUT = (
 NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
 # what is known of an interval: start, end, peak, sum of scores, windows, event time when it is surely over
 NOTHING = (None,) * 6
+# a label of a clip before its first window
+FIRST = (False, None, None, None, 0.0, 1, *NOTHING)
+# state rows that the labels of all clips share
+SLOTS = 4096
 
 
 def held_activity(scores: np.ndarray, threshold: np.ndarray, release: np.ndarray, before: bool) -> np.ndarray:
@@ -55,7 +64,50 @@ def joined_intervals(opened: tuple, a, b, scores, due, gap) -> list[tuple]:
     return found
 
 
-def live_intervals(windows: DataFrame, *, delay: str = "1 hour", second_ms: int = 1000) -> DataFrame:
+def advanced(known: tuple, fresh_key: bool, rows: tuple, second_ms: int) -> tuple[tuple, list[tuple]]:
+    """What is known of one label of a clip after its windows of a trigger, and the intervals that they closed."""
+    (on, last_start, last_idx, seen, min_duration, min_windows), opened = known[:6], known[6:]
+    idx, a, b, score, ms, threshold, release, gap, durations, numbers = rows
+    if fresh_key:
+        min_duration, min_windows = float(durations[0]), int(numbers[0])
+    order = np.lexsort((idx, a))
+    own, at = a[order], idx[order]
+    fresh = np.append(True, (np.diff(own) > 0) | (np.diff(at) > 0))  # a repeated window counts once
+    if last_start is not None:
+        fresh &= (own > last_start) | ((own == last_start) & (at > last_idx))
+    order = order[fresh]
+    closed: list[tuple] = []
+    if len(order):
+        idx = idx[order]
+        a, b, score, ms, threshold, release, gap = (x[order].astype(float) for x in (a, b, score, ms, threshold, release, gap))
+        last_start, last_idx = float(a[-1]), int(idx[-1])
+        if not np.isnan(ms).all():
+            seen = int(ms[~np.isnan(ms)][-1])
+        active = held_activity(score, threshold, release, on)
+        on = bool(active[-1])
+        due = ms + np.trunc((b - a + gap) * second_ms)
+        found = joined_intervals(opened, *(x[active] for x in (a, b, score, due, gap)))
+        if found:
+            closed, opened = found[:-1], found[-1]
+    return (on, last_start, last_idx, seen, min_duration, min_windows, *opened), closed
+
+
+def rows_by_key(frames: list[pd.DataFrame]) -> Iterator[tuple[tuple, tuple]]:
+    """(clip, label) and the arrays of its rows, in the order they came."""
+    columns = {c: np.concatenate([f[c].to_numpy() for f in frames]) for c in (*KEY, *ROW, *RULE)}
+    codes, names = pd.factorize(columns["canonical_label"], use_na_sentinel=False)
+    clip, none = columns["clip_id"], columns["no_clip"].astype(bool)
+    order = np.lexsort((codes, clip, none))
+    changes = [np.diff(x[order]) != 0 for x in (codes, clip, none.astype(np.int8))]
+    firsts = np.flatnonzero(np.append(True, changes[0] | changes[1] | changes[2]))
+    for start, end in zip(firsts.tolist(), [*firsts[1:].tolist(), len(order)]):
+        at = order[start:end]
+        label = names[codes[at[0]]]
+        key = (None if none[at[0]] else int(clip[at[0]]), label if isinstance(label, str) else None)
+        yield key, tuple(columns[c][at] for c in (*ROW, *RULE))
+
+
+def live_intervals(windows: DataFrame, *, delay: str = "1 hour", second_ms: int = 1000, slots: int = SLOTS) -> DataFrame:
     """Intervals of a stream of scored windows.
 
     Columns: clip_id, canonical_label, window_idx, start_s, end_s, score, event_time, and the rules
@@ -65,60 +117,50 @@ def live_intervals(windows: DataFrame, *, delay: str = "1 hour", second_ms: int
     has already processed is dropped as late. ``event_time`` is when a window starts; ``second_ms``
     is the event time, in milliseconds, that one second of ``start_s`` stands for.
 
-    The state is one row per label of a clip: whether it is on, what was processed last, and the open interval. It
-    does not grow with the number of windows, and the labels of a hot clip are spread over the tasks. The windows of a
-    trigger are worked off as arrays. A label that is off, has nothing open and was last seen before the watermark
-    starts anew, so it leaves the state; a label that is on stays, as its next windows may hold.
+    What is kept of a label of a clip: whether it is on, what was processed last, and the open interval. It does not grow
+    with the number of windows. Labels of clips are dealt by hash to ``slots`` state rows, so that a trigger calls Python
+    once a slot and not once a label, and the labels of a hot clip are spread over the tasks. A label that is off, has
+    nothing open and was last seen before the watermark starts anew, so it leaves the state; a label that is on stays,
+    as its next windows may hold.
     """
 
-    def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = tuple(state.get) if state.exists else (False, None, None, None, 0.0, 1, *NOTHING)
-        (on, last_start, last_idx, seen, min_duration, min_windows), opened = known[:6], known[6:]
-        closed: list[tuple] = []
-        batches = [] if state.hasTimedOut else list(frames)
-        if batches:
-            if not state.exists:
-                min_duration, min_windows = float(batches[0]["min_duration_s"].iloc[0]), int(batches[0]["min_windows"].iloc[0])
-            idx, a, b, score, ms, threshold, release, gap = (np.concatenate([f[c].to_numpy() for f in batches]) for c in ROW)
-            order = np.lexsort((idx, a))
-            own, at = a[order], idx[order]
-            fresh = np.append(True, (np.diff(own) > 0) | (np.diff(at) > 0))  # a repeated window counts once
-            if last_start is not None:
-                fresh &= (own > last_start) | ((own == last_start) & (at > last_idx))
-            order = order[fresh]
-            if len(order):
-                idx, a, b, score, ms, threshold, release, gap = (
-                    x[order].astype(float) if x is not idx else x[order] for x in (idx, a, b, score, ms, threshold, release, gap)
-                )
-                last_start, last_idx = float(a[-1]), int(idx[-1])
-                if not np.isnan(ms).all():
-                    seen = int(ms[~np.isnan(ms)][-1])
-                active = held_activity(score, threshold, release, on)
-                on = bool(active[-1])
-                due = ms + np.trunc((b - a + gap) * second_ms)
-                found = joined_intervals(opened, *(x[active] for x in (a, b, score, due, gap)))
-                if found:
-                    closed, opened = found[:-1], found[-1]
-        watermark = state.getCurrentWatermarkMs()
-        if opened[0] is not None and opened[5] is not None and opened[5] < watermark:
-            closed, opened = [*closed, opened], NOTHING
-        if on or opened[0] is not None or seen is None or seen >= watermark:
-            state.update((on, last_start, last_idx, seen, min_duration, min_windows, *opened))
-            waits_for = opened[5] if opened[0] is not None else None if on else seen
-            if waits_for is not None:
-                state.setTimeoutTimestamp(max(waits_for, watermark + 1))
+    def step(_: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = {(k[0], k[1]): k[2:] for k in zip(*state.get)} if state.exists else {}
+        batches = [] if state.hasTimedOut else [f for f in frames if len(f)]
+        over: dict[tuple, list[tuple]] = {}
+        for key, rows in rows_by_key(batches) if batches else ():
+            before = known.get(key)
+            known[key], over[key] = advanced(before or FIRST, before is None, rows, second_ms)
+        watermark, kept, waits, rest = state.getCurrentWatermarkMs(), [], [], []
+        for key, own in known.items():
+            on, seen, min_duration, min_windows, opened, closed = own[0], own[3], own[4], own[5], own[6:], over.get(key, [])
+            if opened[0] is not None and opened[5] is not None and opened[5] < watermark:
+                closed, opened = [*closed, opened], NOTHING
+            if on or opened[0] is not None or seen is None or seen >= watermark:
+                rest.append((*key, *own[:6], *opened))
+                waits_for = opened[5] if opened[0] is not None else None if on else seen
+                if waits_for is not None:
+                    waits.append(waits_for)
+            kept += [
+                (*key, start, end, peak, total / n, n)
+                for start, end, peak, total, n, _ in closed if end - start >= min_duration and n >= min_windows
+            ]
+        if rest:
+            state.update(tuple(map(list, zip(*rest))))
+            if waits:
+                state.setTimeoutTimestamp(max(min(waits), watermark + 1))
         elif state.exists:
             state.remove()
-        kept = [
-            (*key, start, end, peak, total / n, n)
-            for start, end, peak, total, n, _ in closed if end - start >= min_duration and n >= min_windows
-        ]
         if kept:
-            yield pd.DataFrame(kept, columns=NAMES)
+            found = pd.DataFrame(kept, columns=NAMES)
+            yield found.assign(clip_id=pd.array([k[0] for k in kept], dtype="Int64"))
 
     return (
         windows.withWatermark("event_time", delay)
         .withColumn("event_ms", F.unix_millis("event_time"))
-        .groupBy("clip_id", "canonical_label")
+        .withColumn("slot", F.pmod(F.xxhash64("clip_id", "canonical_label"), F.lit(slots)))
+        .withColumn("no_clip", F.col("clip_id").isNull())
+        .withColumn("clip_id", F.coalesce("clip_id", F.lit(0)))
+        .groupBy("slot")
         .applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )

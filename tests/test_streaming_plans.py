@@ -51,6 +51,24 @@ def test_live_intervals_forget_idle_clips(spark, tmp_path):
     assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 2
 
 
+def test_live_intervals_share_state_rows(spark, tmp_path):
+    """Clips of one slot keep apart over triggers, ids above 2 ** 53 and a missing one among them."""
+    clips = [None, 0, 1, 2**60, 2**60 + 1, *range(10, 60)]
+    for batch, (start, score) in enumerate(((0, 0.9), (2, 0.4), (50, 0.9), (200, 0.1))):
+        rows = [(c, "xy"[i % 2], batch, start + 0.0, start + 2.0, score, 0.6, 0.5, 2.0, 1.0, 1) for i, c in enumerate(clips)]
+        df = spark.createDataFrame(rows, LIVE.replace("event_time timestamp, ", ""))
+        df.withColumn("event_time", F.timestamp_millis((F.col("start_s") * 1000).cast("long") + 1_700_000_000_000)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(LIVE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = (
+        live_intervals(source, delay="0 seconds", slots=3).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+        .option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    got = {(r.clip_id, r.canonical_label, r.start_s, r.end_s, r.n_windows) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(c, "xy"[i % 2], *x) for i, c in enumerate(clips) for x in ((0.0, 4.0, 2), (50.0, 52.0, 1))}
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 3
+
+
 def test_no_python_outside_the_plug_ins(spark):
     python = {"apply_scorer", "live_intervals"}
     for name in ("label_activity", "label_activity_dense", "average_precision", "coverage_cube", "holdout_validation",
