@@ -6,6 +6,9 @@ holds for a line break between visible characters. A text cut there gives pieces
 their ids in order are the ids of the text. Arrow makes the cuts for a slice of texts at once and looks its distinct
 pieces up in the worker's bounded table; what is new is encoded, words of Latin letters several to a text; numpy
 puts the ids together. Texts with other white space beside a space or line break go the same way with fewer cuts.
+
+Word files drop the spaces and divide letters from signs, so every spelling of a Latin word (capitals, signs behind it)
+uses the one entry of its bare word, and every run of signs an entry of its own.
 """
 
 from __future__ import annotations
@@ -27,6 +30,10 @@ BREAK = "\ue001"
 # a word of Latin letters with or without a full stop or comma
 LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 LATIN_LINES = f"^{BREAK}?{LATIN[1:]}"
+# a bare word, its letters, and the signs that word files divide from it; an apostrophe may begin a suffix
+BARE = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+LETTERS = "".join(c for c in map(chr, range(256)) if re.match(BARE, c))
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # white space of any alphabet (and the signs that Python takes for it)
 SPACE = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\pZ]"
 # entries, characters and ids of the table
@@ -92,7 +99,7 @@ class PieceTable:
 @dataclass
 class Cuts:
     """Code of each piece, pieces of each text, text of each piece, texts that go the other way, codes in use, and
-    the distinct pieces of those, for Arrow and for Python."""
+    the distinct pieces of those, for Arrow and (byte-level files) for Python."""
 
     codes: np.ndarray
     sizes: np.ndarray
@@ -157,8 +164,7 @@ class PieceEncoder:
         return ids, np.diff(np.append(at, len(ids))) if self.lead else np.diff(np.concatenate([[-1], at]))
 
     def _learn(self, fresh: pa.Array) -> None:
-        """Encode new pieces. A full stop or comma after a Latin word is a piece of its own, and a vocabulary
-        without capitals has one entry for all spellings of a Latin word."""
+        """Encode new pieces. A full stop or comma after a Latin word is a piece of its own."""
         table = self.table
         latin = pc.match_substring_regex(fresh, LATIN_LINES if self.lead else LATIN)
         odd = strings(fresh.filter(pc.invert(latin)))
@@ -167,8 +173,6 @@ class PieceEncoder:
             table.add(odd, np.concatenate(ids), np.array([len(x) for x in ids], dtype=np.int64))
         words = fresh.filter(latin)
         stems = pc.utf8_rtrim(words, characters=".,")
-        if self.folds:
-            stems = pc.utf8_lower(stems)
         wanted = [s for s in strings(stems.unique()) if s not in table.index]
         lines = [s for s in wanted if s[0] == BREAK]
         if lines:
@@ -187,6 +191,35 @@ class PieceEncoder:
         sizes = np.stack([table.sizes[at], np.array([0, *map(len, self.marks)])[mark]], axis=1)
         table.add(names, gather(np.concatenate([table.values, *self.marks]), starts, sizes.ravel()), sizes.sum(axis=1))
 
+    def _places(self, pieces: pa.Array, names: list[str]) -> np.ndarray:
+        """Places of distinct pieces in the table; new ones are encoded."""
+        at = self.table.places(names)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            self._learn(pieces.take(pa.array(new)))
+            at[new] = self.table.places([names[i] for i in new])
+        return at
+
+    def _known(self, pieces: pa.Array, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, sizes) of distinct pieces. In a word file a Latin word with signs behind it is two entries."""
+        table = self.table
+        if self.lead:
+            at = self._places(pieces, names)
+            return table.values, table.starts[at], table.sizes[at]
+        stems = pc.utf8_rtrim(pieces, characters=SIGNS)
+        latin = pc.match_substring_regex(stems, BARE)
+        signed = pc.and_(latin, pc.less(pc.binary_length(stems), pc.binary_length(pieces)))
+        behind = pc.utf8_ltrim(pieces.filter(signed), characters=LETTERS)
+        stems = pc.if_else(latin, pc.utf8_lower(stems) if self.folds else stems, pieces)
+        coded = pa.concat_arrays([stems, behind]).dictionary_encode()
+        at = self._places(coded.dictionary, strings(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
+        n = len(pieces)
+        parts = np.zeros((n, 2, 2), dtype=np.int64)  # of each piece: word and signs, start and size
+        parts[:, 0] = np.stack([table.starts[at[:n]], table.sizes[at[:n]]], axis=1)
+        parts[signed.to_numpy(zero_copy_only=False), 1] = np.stack([table.starts[at[n:]], table.sizes[at[n:]]], axis=1)
+        sizes = parts[:, :, 1].sum(axis=1)
+        return gather(table.values, parts[:, :, 0].ravel(), parts[:, :, 1].ravel()), np.cumsum(sizes) - sizes, sizes
+
     def _whole(self, text: str) -> np.ndarray:
         """Ids of a text with other white space: cut at spaces before visible characters only."""
         first, *rest = CUT.split(text)
@@ -222,7 +255,7 @@ class PieceEncoder:
         use = np.zeros(len(distinct), dtype=bool)
         use[codes[~whole[of]]] = True
         used = distinct.filter(pa.array(use))
-        return Cuts(codes, sizes, of, whole, use, used, strings(used))
+        return Cuts(codes, sizes, of, whole, use, used, strings(used) if self.lead else [])
 
     def encode(self, texts: list[str], spaced: bool = False, cuts: Cuts | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): unsigned 32-bit ids of all texts and where each text's ids end. ``spaced`` puts a space
@@ -232,21 +265,17 @@ class PieceEncoder:
         cuts = cuts or self.cut(texts, spaced)
         codes, sizes, of, whole, use, used, names = (getattr(cuts, c) for c in Cuts.__dataclass_fields__)
         self.table.trim()
-        at = self.table.places(names)
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            self._learn(used.take(pa.array(new)))
-            at[new] = self.table.places([names[i] for i in new])
-        place = np.zeros(len(use), dtype=np.int64)
-        place[use] = at
-        taken = np.where(whole[of], 0, self.table.sizes[place][codes]) if len(at) else np.zeros(len(codes), np.int64)
-        starts = self.table.starts[place][codes] if len(at) else taken.copy()
+        values, own_starts, own_sizes = self._known(used, names)
+        places = np.zeros((2, len(use)), dtype=np.int64)
+        places[:, use] = own_starts, own_sizes
+        starts, taken = places[0][codes], places[1][codes]  # nothing of texts that go the other way
+        taken[whole[of]] = 0
         if self.lead and not spaced:  # the break put before each text is no part of it
             heads = (np.cumsum(sizes) - sizes)[~whole]
             starts[heads] += 1
             taken[heads] -= 1
         counts = np.bincount(of, taken, len(texts)).astype(np.int64)
-        ids = gather(self.table.values, starts, taken)
+        ids = gather(values, starts, taken)
         if whole.any():
             bounds, parts, done = np.cumsum(counts) - counts, [], 0
             for i in np.flatnonzero(whole):

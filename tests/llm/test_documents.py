@@ -51,6 +51,17 @@ def test_pieces_equal_whole_texts(path, space):
     assert [np.frombuffer(x, "<u4").tolist() for x in own.ids_of(given)] == want
 
 
+def test_spellings_of_a_word_share_one_entry():
+    own, whole = PieceEncoder(WORD, False), Tokenizer.from_file(WORD)
+    signs = ["", ".", ",", "!", "$$$", "...", '";', ")", "*&", "@[", "_"]
+    given = [f"{w}{s}" for w in ("zqweble", "Zqweble", "ZQWEBLE") for s in signs]
+    given += ["Äößty? äÖßty%%", "it's it' It'S. 's\n're's! <|endoftext|>, word<|endoftext|>. <|ENDOFTEXT|>", "ẖ! H\u0331! E\u0301; e\u0301.", "x9. 9x# a-b- İ. ſ!"]
+    want = [e.ids for e in whole.encode_batch(given, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.ids_of(given)] == want
+    assert [p for p in own.table.index if "zqweble" in p.lower()] == ["zqweble"]
+    assert not [p for p in own.table.index if p.lower().startswith("äößty") and p != "äößty"]
+
+
 def test_forced_boundaries_equal_the_library():
     own, whole, given = bpe.ForcedBoundaryBpe(BYTE), Tokenizer.from_file(BYTE), texts(1500, 1)
     for t, (n, ids, decoded) in zip(given, own.digests(given)):
