@@ -18,6 +18,7 @@ are documents of their own; an empty table gives no rows; other columns are not
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from earmark.llm.bpe import byte_letters
 from earmark.llm.common import merged, named, sliced, small_batches, written
-from earmark.llm.pieces import PieceEncoder, encoder, gather
+from earmark.llm.pieces import LETTERS, SIGNS, PieceEncoder, encoder, gather
 
 FRAGMENT_WORDS = 64
 # characters encoded at once, and of the documents of one block
@@ -49,8 +50,9 @@ class SentencePieces(PieceEncoder):
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         if any(MARK in n.lstrip(MARK) or "\n" in n for n in names):
             raise ValueError("the model has pieces across word starts")
-        if any(n[1:].strip(MARK).endswith((".", ",")) and n.strip(MARK)[0].isalpha() for n in names):
-            raise ValueError("the model has pieces of letters and marks")
+        text = [n for i, n in enumerate(names) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i))]
+        if any(re.search(f"[{LETTERS}][{re.escape(SIGNS)}]", n) for n in text):
+            raise ValueError("the model has pieces of letters and signs")
         self.edge = np.array([n.startswith(MARK) for n in names])
         self.line = self.model.piece_to_id("<0x0A>")
 
@@ -62,8 +64,8 @@ class SentencePieces(PieceEncoder):
             out.append(ids if text[:1] == " " else ids[1:])  # before a line break the added space is a token of its own
         return out
 
-    def _mark(self, mark: str) -> np.ndarray:
-        return self._raw(["\n" + mark])[0][1:]
+    def _raw_signs(self, signs: list[str]) -> list[np.ndarray]:
+        return [x[1:] for x in self._raw(["\n" + s for s in signs])]
 
     def _whole(self, text: str) -> np.ndarray:
         return self._raw([text])[0]

@@ -7,8 +7,8 @@ their ids in order are the ids of the text. Arrow makes the cuts for a slice of
 pieces up in the worker's bounded table; what is new is encoded, words of Latin letters several to a text; numpy
 puts the ids together. Texts with other white space beside a space or line break go the same way with fewer cuts.
 
-Word files drop the spaces and divide letters from signs, so every spelling of a Latin word (capitals, signs behind it)
-uses the one entry of its bare word, and every run of signs an entry of its own.
+Both kinds divide letters from signs, so a Latin word with signs behind it uses the one entry of its bare word, and
+every run of signs an entry of its own. Word files may fold capitals too; then all spellings share the entry.
 """
 
 from __future__ import annotations
@@ -27,18 +27,19 @@ from earmark.llm.common import kept
 CUT = re.compile(r" (?=\S)")
 # stands for a line break at the start of a piece
 BREAK = "\ue001"
-# a word of Latin letters with or without a full stop or comma
-LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
-LATIN_LINES = f"^{BREAK}?{LATIN[1:]}"
-# a bare word, its letters, and the signs that word files divide from it; an apostrophe may begin a suffix
+# a word of Latin letters, its letters, and the signs that are divided from it; an apostrophe may begin a suffix
 BARE = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+BARE_LINES = f"^{BREAK}?{BARE[1:]}"
 LETTERS = "".join(c for c in map(chr, range(256)) if re.match(BARE, c))
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# byte-level files: stands before signs behind a word, which are no piece of their own; no piece holds it
+BEHIND = " "
 # white space of any alphabet (and the signs that Python takes for it)
 SPACE = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\pZ]"
-# entries, characters and ids of the table
+# entries of the table, bytes of their names and their ids
 MAX_PIECES = 700_000
-MAX_PIECE_CHARS = 16_000_000
+MAX_NAME_BYTES = 24_000_000
+MAX_PIECE_IDS = 16_000_000
 # new words that share one text when they are encoded
 SHARED_WORDS = 50
 
@@ -56,26 +57,29 @@ def strings(array: pa.Array) -> list[str]:
 
 
 class PieceTable:
-    """Pieces and their ids; at the limit the half not used for longest goes."""
+    """Entries and their ids, names in one Arrow array; at the limit the half not used for longest goes."""
 
     def __init__(self, limit: int = MAX_PIECES):
         self.limit = limit
-        self.index: dict[str, int] = {}
+        self.names = pa.array([], type=pa.large_string())
         self.values = np.zeros(0, dtype="<u4")
         self.starts = self.sizes = self.stamps = np.zeros(0, dtype=np.int64)
-        self.clock = self.chars = 0
+        self.clock = 0
 
-    def places(self, pieces: list[str]) -> np.ndarray:
-        """Place of each piece, -1 where it is unknown."""
-        get = self.index.get
-        at = np.array([get(p, -1) for p in pieces], dtype=np.int64)
+    @property
+    def index(self) -> list[str]:
+        """The names in the order of their places."""
+        return strings(self.names)
+
+    def places(self, names: pa.Array) -> np.ndarray:
+        """Place of each name, -1 where it is unknown."""
+        at = pc.index_in(names, value_set=self.names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         self.stamps[at[at >= 0]] = self.clock
         return at
 
-    def add(self, pieces: list[str], values: np.ndarray, sizes: np.ndarray) -> None:
-        n, ends = len(self.sizes), len(self.values) + np.cumsum(sizes)
-        self.index.update(zip(pieces, range(n, n + len(pieces))))
-        self.chars += sum(map(len, pieces))
+    def add(self, names: pa.Array, values: np.ndarray, sizes: np.ndarray) -> None:
+        ends = len(self.values) + np.cumsum(sizes)
+        self.names = pa.concat_arrays([self.names, names])
         self.values = np.concatenate([self.values, values])
         self.starts = np.concatenate([self.starts, ends - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
@@ -84,30 +88,29 @@ class PieceTable:
     def trim(self) -> None:
         self.clock += 1
         n = len(self.sizes)
-        if n <= self.limit and self.chars <= MAX_PIECE_CHARS and len(self.values) <= MAX_PIECE_CHARS:
+        if n <= self.limit and self.names.nbytes <= MAX_NAME_BYTES and len(self.values) <= MAX_PIECE_IDS:
             return
         keep = np.sort(np.argsort(self.stamps, kind="stable")[n // 2 :])
-        names = list(self.index)  # in the order of their places
-        names, values, sizes, stamps = [names[i] for i in keep], gather(self.values, self.starts[keep], self.sizes[keep]), self.sizes[keep], self.stamps[keep]
-        clock = self.clock
-        self.__init__(self.limit)
-        self.clock = clock
-        self.add(names, values, sizes)
-        self.stamps = stamps
+        self.names = self.names.take(pa.array(keep))
+        self.values = gather(self.values, self.starts[keep], self.sizes[keep])
+        self.sizes, self.stamps = self.sizes[keep], self.stamps[keep]
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
 
 @dataclass
 class Cuts:
-    """Code of each piece, pieces of each text, text of each piece, texts that go the other way, codes in use, and
-    the distinct pieces of those, for Arrow and (byte-level files) for Python."""
+    """Code of each piece, pieces of each text, text of each piece, texts that go the other way, codes in use, the
+    distinct entries of those, the first entry of each, which have signs behind a word, and the entries of these signs."""
 
     codes: np.ndarray
     sizes: np.ndarray
     of: np.ndarray
     whole: np.ndarray
     use: np.ndarray
-    used: pa.Array
-    names: list[str]
+    entries: pa.Array
+    first: np.ndarray
+    signed: np.ndarray
+    behind: np.ndarray
 
 
 class PieceEncoder:
@@ -119,9 +122,10 @@ class PieceEncoder:
 
     def __init__(self, path: str, space_counts: bool, plain_specials: bool = False, limit: int = MAX_PIECES):
         self.lead = " " if space_counts else ""
+        self.bare = BARE_LINES if space_counts else BARE
         self.folds = False
+        self.signs = SIGNS
         self._load(path, plain_specials)
-        self.marks = [self._mark(m) for m in ".,"]
         self.table = PieceTable(limit)
 
     def _load(self, path: str, plain_specials: bool) -> None:
@@ -138,13 +142,16 @@ class PieceEncoder:
         self.edge = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
         self.edge[[i for t, i in vocab.items() if (t.startswith("Ġ") if self.lead else t.endswith("</w>"))]] = True
         self.line = vocab.get("Ċ", -1)
+        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if not plain_specials and any(re.fullmatch(f"[{LETTERS}]+[{re.escape(SIGNS)}]+", t) for t in specials):
+            self.signs = ""  # a special token may reach from a word into the signs behind it
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _mark(self, mark: str) -> np.ndarray:
-        """Ids of a full stop or comma behind a word."""
-        return self._raw([mark])[0]
+    def _raw_signs(self, signs: list[str]) -> list[np.ndarray]:
+        """Ids of signs behind a word."""
+        return self._raw(signs)
 
     def _raw_pieces(self, pieces: list[str]) -> list[np.ndarray]:
         """Ids of single pieces: with the space before them, or with the line break."""
@@ -163,60 +170,45 @@ class PieceEncoder:
             raise ValueError("words of letters did not keep to the vocabulary's division")
         return ids, np.diff(np.append(at, len(ids))) if self.lead else np.diff(np.concatenate([[-1], at]))
 
-    def _learn(self, fresh: pa.Array) -> None:
-        """Encode new pieces. A full stop or comma after a Latin word is a piece of its own."""
-        table = self.table
-        latin = pc.match_substring_regex(fresh, LATIN_LINES if self.lead else LATIN)
-        odd = strings(fresh.filter(pc.invert(latin)))
-        if odd:
-            ids = self._raw_pieces(odd)
-            table.add(odd, np.concatenate(ids), np.array([len(x) for x in ids], dtype=np.int64))
-        words = fresh.filter(latin)
-        stems = pc.utf8_rtrim(words, characters=".,")
-        wanted = [s for s in strings(stems.unique()) if s not in table.index]
-        lines = [s for s in wanted if s[0] == BREAK]
-        if lines:
-            wanted = [s for s in wanted if s[0] != BREAK]
-            table.add(lines, *self._shared([s[1:] for s in lines], True))
-        table.add(wanted, *self._shared(wanted, False))
-        other = pc.not_equal(words, stems)
-        derived = words.filter(other)
-        pairs = [p for p in zip(strings(derived), strings(stems.filter(other))) if p[0] not in table.index]
-        if not pairs:
-            return
-        names, own = zip(*pairs)
-        at, mark = table.places(own), np.array([1 + ".,".find(w[-1]) for w in names])
-        first = np.cumsum([0, 0, len(self.marks[0])])[mark] + len(table.values)
-        starts = np.stack([table.starts[at], first], axis=1).ravel()
-        sizes = np.stack([table.sizes[at], np.array([0, *map(len, self.marks)])[mark]], axis=1)
-        table.add(names, gather(np.concatenate([table.values, *self.marks]), starts, sizes.ravel()), sizes.sum(axis=1))
-
-    def _places(self, pieces: pa.Array, names: list[str]) -> np.ndarray:
-        """Places of distinct pieces in the table; new ones are encoded."""
-        at = self.table.places(names)
+    def _learn(self, fresh: pa.Array) -> np.ndarray:
+        """Places of new entries, which are encoded and added."""
+        bare, line = pc.match_substring_regex(fresh, self.bare), pc.starts_with(fresh, BREAK)
+        behind = pc.starts_with(fresh, BEHIND)
+        odd = pc.invert(pc.or_(bare, behind))
+        places, names, values, sizes, n = np.zeros(len(fresh), dtype=np.int64), [], [], [], len(self.table.sizes)
+        for kind in (pc.and_not(bare, line), pc.and_(bare, line), odd, behind):
+            names.append(fresh.filter(kind))
+            own = strings(names[-1])
+            if not own:
+                continue
+            places[kind.to_numpy(zero_copy_only=False)] = np.arange(n, n + len(own))
+            n += len(own)
+            if kind is odd or kind is behind:
+                ids = self._raw_pieces(own) if kind is odd else self._raw_signs([s[1:] for s in own])
+                values += ids
+                sizes.append(np.array([len(x) for x in ids], dtype=np.int64))
+            else:
+                lines = own[0][0] == BREAK
+                ids, lengths = self._shared([s[1:] for s in own] if lines else own, lines)
+                values.append(ids)
+                sizes.append(lengths)
+        self.table.add(pa.concat_arrays(names), np.concatenate(values), np.concatenate(sizes))
+        return places
+
+    def _places(self, entries: pa.Array) -> np.ndarray:
+        """Places of distinct entries in the table; new ones are encoded."""
+        at = self.table.places(entries)
         new = np.flatnonzero(at < 0)
         if len(new):
-            self._learn(pieces.take(pa.array(new)))
-            at[new] = self.table.places([names[i] for i in new])
+            at[new] = self._learn(entries.take(pa.array(new)))
         return at
 
-    def _known(self, pieces: pa.Array, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, starts, sizes) of distinct pieces. In a word file a Latin word with signs behind it is two entries."""
-        table = self.table
-        if self.lead:
-            at = self._places(pieces, names)
-            return table.values, table.starts[at], table.sizes[at]
-        stems = pc.utf8_rtrim(pieces, characters=SIGNS)
-        latin = pc.match_substring_regex(stems, BARE)
-        signed = pc.and_(latin, pc.less(pc.binary_length(stems), pc.binary_length(pieces)))
-        behind = pc.utf8_ltrim(pieces.filter(signed), characters=LETTERS)
-        stems = pc.if_else(latin, pc.utf8_lower(stems) if self.folds else stems, pieces)
-        coded = pa.concat_arrays([stems, behind]).dictionary_encode()
-        at = self._places(coded.dictionary, strings(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
-        n = len(pieces)
-        parts = np.zeros((n, 2, 2), dtype=np.int64)  # of each piece: word and signs, start and size
-        parts[:, 0] = np.stack([table.starts[at[:n]], table.sizes[at[:n]]], axis=1)
-        parts[signed.to_numpy(zero_copy_only=False), 1] = np.stack([table.starts[at[n:]], table.sizes[at[n:]]], axis=1)
+    def _known(self, cuts: Cuts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, sizes) of distinct pieces: of their first entry and of the signs behind a word."""
+        at, table = self._places(cuts.entries), self.table
+        parts = np.zeros((len(cuts.first), 2, 2), dtype=np.int64)  # of each piece: word and signs, start and size
+        for i, (rows, own) in enumerate([(slice(None), at[cuts.first]), (cuts.signed, at[cuts.behind])]):
+            parts[rows, i] = np.stack([table.starts[own], table.sizes[own]], axis=1)
         sizes = parts[:, :, 1].sum(axis=1)
         return gather(table.values, parts[:, :, 0].ravel(), parts[:, :, 1].ravel()), np.cumsum(sizes) - sizes, sizes
 
@@ -254,8 +246,20 @@ class PieceEncoder:
         of = np.repeat(np.arange(len(texts)), sizes)
         use = np.zeros(len(distinct), dtype=bool)
         use[codes[~whole[of]]] = True
-        used = distinct.filter(pa.array(use))
-        return Cuts(codes, sizes, of, whole, use, used, strings(used) if self.lead else [])
+        return Cuts(codes, sizes, of, whole, use, *self._divided(distinct.filter(pa.array(use))))
+
+    def _divided(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct entries, first entry of each piece, pieces of a word and signs, entries of these signs)."""
+        stems = pc.utf8_rtrim(pieces, characters=self.signs)
+        latin = pc.match_substring_regex(stems, self.bare)
+        signed = pc.and_(latin, pc.less(pc.binary_length(stems), pc.binary_length(pieces)))
+        behind = pc.utf8_ltrim(pieces.filter(signed), characters=LETTERS + BREAK)
+        if self.lead:
+            behind = pc.binary_join_element_wise(pa.scalar(BEHIND, pieces.type), behind, pa.scalar("", pieces.type))
+        stems = pc.if_else(latin, pc.utf8_lower(stems) if self.folds else stems, pieces)
+        coded = pa.concat_arrays([stems, behind]).dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        return coded.dictionary, at[: len(pieces)], signed.to_numpy(zero_copy_only=False), at[len(pieces) :]
 
     def encode(self, texts: list[str], spaced: bool = False, cuts: Cuts | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): unsigned 32-bit ids of all texts and where each text's ids end. ``spaced`` puts a space
@@ -263,9 +267,9 @@ class PieceEncoder:
         if not texts:
             return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
         cuts = cuts or self.cut(texts, spaced)
-        codes, sizes, of, whole, use, used, names = (getattr(cuts, c) for c in Cuts.__dataclass_fields__)
+        codes, sizes, of, whole, use = cuts.codes, cuts.sizes, cuts.of, cuts.whole, cuts.use
         self.table.trim()
-        values, own_starts, own_sizes = self._known(used, names)
+        values, own_starts, own_sizes = self._known(cuts)
         places = np.zeros((2, len(use)), dtype=np.int64)
         places[:, use] = own_starts, own_sizes
         starts, taken = places[0][codes], places[1][codes]  # nothing of texts that go the other way

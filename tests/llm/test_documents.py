@@ -11,15 +11,17 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from earmark.llm import bpe, language, licenses, neardup, packing, pseudonyms, quality, token_files
+from earmark.llm import alignment, bpe, language, licenses, neardup, packing, pseudonyms, quality, token_files
 from earmark.llm.pieces import PieceEncoder
 from earmark.session import scratch_path
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+PIECE = public_tokenizers.path("piece_bpe_32k.model")
 SF = "/root/testdata/sf0.001"
 PARTS = ["a", "B", "é", "ß", "İ", "Σ", "'", "'s", "'ll", " ", "  ", "\n", "\t", " ", "\x1c", "\x85", ".", ",", "1", "٣",
          "<|endoftext|>", "<|ENDOFTEXT|>", "é", " ́", "日本", "😀", "\r\n", "hello", "World", "!!"]
@@ -62,6 +64,31 @@ def test_spellings_of_a_word_share_one_entry():
     assert not [p for p in own.table.index if p.lower().startswith("äößty") and p != "äößty"]
 
 
+def test_signs_behind_a_word_have_their_own_entry():
+    signs = ["", ".", ",", "!", "$$$", ".%%%", ",###", '";', ")", "*&", "@[", "_", "~", "^`", "'", "'.", ".'"]
+    given = [f"{w}{s}" for w in ("zqweble", "Äößty") for s in signs] + [f"{a} zqweble{s}\nzqweble{s} {s}" for a in signs for s in signs]
+    given += ["don't. it's! 's, 'S.", "word<|endoftext|>. <|endoftext|>, a<|>", "x9. a-b- İ. ſ! é.", "日本. «mot». mot»,", "zqweble.\r zqweble.\t,", "\ue001.\n\ue001a.", " . a\u0338= a=\u0338"]
+    byte, whole = PieceEncoder(BYTE, True), Tokenizer.from_file(BYTE)
+    want = [e.ids for e in whole.encode_batch(given, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in byte.ids_of(given)] == want
+    piece, model = alignment.SentencePieces(PIECE, True), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    ids, ends = piece.encode(given, spaced=True)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == model.encode(given)
+    for own in (byte, piece):
+        spelled = {p for p in own.table.index if "zqweble" in p}
+        assert {p for p in spelled if "'" not in p} == {"zqweble", "\ue001zqweble"}
+        assert {" .", " $$$", " ^`"} < set(own.table.index)
+
+
+def test_table_keeps_what_was_used_last():
+    own, whole = PieceEncoder(BYTE, True, limit=40), Tokenizer.from_file(BYTE)
+    rng = random.Random(4)
+    for _ in range(60):
+        given = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 30) + rng.choice(["", ".", "!!"]) for _ in range(12)) for _ in range(3)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.ids_of(given)] == [e.ids for e in whole.encode_batch(given, add_special_tokens=False)]
+        assert len(own.table.index) == len(set(own.table.index)) <= 40 + 3 * 12 + 4
+
+
 def test_forced_boundaries_equal_the_library():
     own, whole, given = bpe.ForcedBoundaryBpe(BYTE), Tokenizer.from_file(BYTE), texts(1500, 1)
     for t, (n, ids, decoded) in zip(given, own.digests(given)):
