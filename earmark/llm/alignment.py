@@ -35,7 +35,7 @@ FRAGMENT_WORDS = 64
 SLICE_CHARS = 500_000
 BLOCK_CHARS = 250_000
 # pieces that each of a worker's two encoders remembers
-KNOWN_PIECES = 100_000
+KNOWN_PIECES = 200_000
 MARK = "▁"  # stands for a space in pieces
 _PIECES: dict[str, SentencePieces] = {}
 
@@ -143,39 +143,33 @@ def lockstep(
     return tuple(np.concatenate(x) for x in zip(*links))
 
 
-_NAMES: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+_NAMES: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def _decimals(most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(characters, starts, sizes) of the numbers 0 to ``most`` or beyond."""
-    if not _NAMES or len(_NAMES[0][2]) <= most:
+def _decimals(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(characters, digits) of the numbers 0 to ``most`` or beyond: a row has zero bytes behind its digits, the last for a sign."""
+    if not _NAMES or len(_NAMES[0][1]) <= most:
         names = np.arange(max(most + 1, 1 << 16)).astype("S")
-        sizes = np.char.str_len(names)
-        _NAMES[:] = [(np.frombuffer(b"".join(names.tolist()), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes)]
+        _NAMES[:] = [(np.pad(names.view(np.uint8).reshape(len(names), -1), ((0, 0), (0, 1))), np.char.str_len(names))]
     return _NAMES[0]
 
 
 def group_digests(a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray, a_bounds, b_bounds) -> list[str]:
     """sha256 of ``a1,a2|b1;a3|b2,b3`` for each document; a cut stands at the last token of a group on its side."""
-    a_group, b_group = (np.cumsum(c) - c for c in (a_cut, b_cut))  # groups are numbered alike on both sides
-    groups = int(a_cut.sum())
-    a_sizes, b_sizes = (np.bincount(g, minlength=groups) for g in (a_group, b_group))
+    a_last, b_last = np.flatnonzero(a_cut), np.flatnonzero(b_cut)  # groups are numbered alike on both sides
+    a_sizes, b_sizes = (np.diff(x, prepend=-1) for x in (a_last, b_last))
     # a group's A ids stand before its B ids
-    a_place = np.arange(len(a)) + (np.cumsum(b_sizes) - b_sizes)[a_group]
-    b_place = np.arange(len(b)) + np.cumsum(a_sizes)[b_group]
-    ids, signs = np.empty(len(a) + len(b), dtype=np.int64), np.empty(len(a) + len(b), dtype=np.uint8)
+    a_place = np.arange(len(a)) + np.repeat(np.cumsum(b_sizes) - b_sizes, a_sizes)
+    b_place = np.arange(len(b)) + np.repeat(np.cumsum(a_sizes), b_sizes)
+    ids = np.empty(len(a) + len(b), dtype=np.int64)
     ids[a_place], ids[b_place] = a, b
-    signs[a_place], signs[b_place] = np.where(a_cut, ord("|"), ord(",")), np.where(b_cut, ord(";"), ord(","))
-    flat, starts, sizes = _decimals(int(ids.max(initial=0)))
-    own = sizes[ids]
-    ends = np.cumsum(own + 1)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
-    body = np.ones(len(out), dtype=bool)
-    body[ends - 1] = False
-    out[ends - 1] = signs
-    out[body] = gather(flat, starts[ids], own)
-    raw, bounds = out.tobytes(), np.append([0], ends)
-    places = bounds[np.asarray(a_bounds) + np.asarray(b_bounds)].tolist()  # documents are contiguous on both sides
+    names, digits = _decimals(int(ids.max(initial=0)))
+    characters = names[ids]
+    characters[:, -1] = ord(",")
+    characters[a_place[a_last], -1], characters[b_place[b_last], -1] = ord("|"), ord(";")
+    raw, bounds = characters.tobytes().translate(None, b"\0"), np.append([0], np.cumsum(digits[ids] + 1))
+    # documents are contiguous on both sides
+    places = bounds[np.asarray(a_bounds) + np.asarray(b_bounds)].tolist()
     return [hashlib.sha256(raw[s : e - 1]).hexdigest() if e > s else "" for s, e in zip(places, places[1:])]
 
 

@@ -166,6 +166,25 @@ def plain_alignment(rows):
     )
 
 
+def test_group_digests_equal_joined_ids():
+    rng = random.Random(5)
+    own, want, bounds = [[], [], [], []], [], [[0], [0]]
+    for _ in range(60):
+        groups = [[[rng.choice([0, 7, 9, 10, 99999, 65535, 65536, 123456]) for _ in range(rng.randint(1, 4))] for _ in "ab"] for _ in range(rng.randint(0, 5))]
+        for group in groups:
+            for side in (0, 1):
+                own[side] += group[side]
+                own[2 + side] += [False] * (len(group[side]) - 1) + [True]
+        for side in (0, 1):
+            bounds[side].append(len(own[side]))
+        text = ";".join("|".join(",".join(map(str, ids)) for ids in group) for group in groups)
+        want.append(hashlib.sha256(text.encode()).hexdigest() if groups else "")
+    arrays = [np.array(x, dtype=kind) for x, kind in zip(own, (np.int64, np.int64, bool, bool))]
+    assert alignment.group_digests(*arrays, *map(np.array, bounds)) == want
+    none = np.zeros(0, dtype=np.int64)
+    assert alignment.group_digests(none, none, none.astype(bool), none.astype(bool), np.zeros(3, int), np.zeros(3, int)) == ["", ""]
+
+
 def test_alignment_of_odd_rows(spark, odd):
     got = alignment.aligned_documents(odd.repartition(3), A, B)
     want = plain_alignment([(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()])
